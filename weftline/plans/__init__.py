@@ -1 +1,6 @@
+"""Registered queries; importing the package fills the registry."""
 
+from weftline.plans import tables  # noqa: F401
+from weftline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
