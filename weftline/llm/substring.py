@@ -5,8 +5,8 @@ first of equals). Equal windows have equal phrases at equal offsets, so a window
 
 1. Count phrases: one hash per choice, about a ninth of the words, summed over the corpus; those seen twice recur.
 2. Route the recurring phrases to the documents that hold them. Each task compiles those of its batch of
-   documents into an automaton (pyahocorasick over word numbers; a batch is the shard, so an automaton is no larger
-   than the text it serves) and streams the batch through it to locate every occurrence.
+   documents into an automaton (pyahocorasick over word numbers of fixed width; a batch is the shard, so an automaton
+   is no larger than the text it serves) and streams the batch through it to locate every occurrence.
 3. Consecutive windows that share an occurrence form a *segment* of at most 35 words. Equal segments repeat all
    their windows, so the first of them stands for the others; only where one phrase has several different
    segments are single windows compared. Whatever is not first in (doc_id, start) is removed.
@@ -19,11 +19,13 @@ document: neither is earlier than the other. Other columns of the input are not
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,36 +85,69 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["phrase", "d", "n"])
 
 
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the documents of each batch, from an automaton over the batch's recurring phrases."""
-    hashes, one, two = Hashes(), Rolling(BASES[0]), Rolling(BASES[1])
-    names = ["phrase", "a", "b", "d", "variant", "start", "n", "windows"]
+class Numbers(dict):
+    """Word -> its number in a shard; keeps the words' hashes, and writes numbers as letters.
+
+    A number is a fixed count of letters of an alphabet of 64, so the automaton's nodes branch little.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.hashes, self.width = array("Q"), 4
+        while 64**self.width <= size:
+            self.width += 1
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, str]:
+        """Hashes of the words, and their numbers as one string."""
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        letters = (ids[:, None] >> np.arange(6 * (self.width - 1), -1, -6) & 63) + 48
+        return np.frombuffer(self.hashes, np.uint64)[ids], letters.astype(np.uint8).tobytes().decode("ascii")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[list[tuple]]:
+    """Groups of about ``size`` bytes of text: (text, recurring phrases, d, variant)."""
+    group, held = [], 0
     for batch in batches:
-        numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        known: set[tuple] = set()
-        held = []
+        phrases = batch.column("phrases")
         for row, text in enumerate(text_rows(batch)):
+            group.append((text, np.array(phrases[row].values).view(np.uint64), batch.column("d")[row].as_py(), batch.column("variant")[row].as_py()))
+            held += len(text)
+            if held >= size:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of the documents of each shard, from an automaton over the shard's recurring phrases."""
+    one, two = Rolling(BASES[0]), Rolling(BASES[1])
+    names = ["phrase", "a", "b", "d", "variant", "start", "n", "windows"]
+    for shard in _shards(batches):
+        numbers = Numbers(sum(len(row[0]) for row in shard) // 2 + 1)
+        w, automaton, held = numbers.width, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
+        for text, recurring, d, variant in shard:
             words = text.split()
             if len(words) < WINDOW:
                 continue
-            h = hashes.of(words)
-            ids = tuple([numbers.setdefault(w, len(numbers)) for w in words])
+            h, coded = numbers.of(words)
             phrase, pick = chosen(h, one)
-            recurring = np.array(batch.column("phrases")[row].values).view(np.uint64)
             for p in (q := np.unique(pick))[np.isin(phrase[q], recurring)].tolist():
-                if (key := ids[p : p + PHRASE]) not in known:
-                    known.add(key)
-                    automaton.add_word(key, 1)
-            held.append((row, h, ids, phrase, pick))
-        if not known:
+                automaton.add_word(coded[p * w : (p + PHRASE) * w])
+            held.append((h, coded, phrase, pick, d, variant))
+        if not len(automaton):
             continue
         automaton.make_automaton()
         out: list[list] = [[] for _ in names]
-        for row, h, ids, phrase, pick in held:
-            found = np.fromiter((end for end, _ in automaton.iter(ids)), np.int64) - (PHRASE - 1)
+        for h, coded, phrase, pick, d, variant in held:
+            end = np.fromiter((end for end, _ in automaton.iter(coded)), np.int64) + 1
             located = np.zeros(len(h), bool)
-            located[found] = True
+            located[end[end % w == 0] // w - PHRASE] = True  # other ends lie within a word
             first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
             last = np.concatenate([first[1:], [len(pick)]])
             keep = located[pick[first]]
@@ -123,22 +158,21 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(len(pick))
             key = one.ranges(p1, at, at + WINDOW) ^ two.ranges(p2, at, at + WINDOW) * _MIX
             end = last + WINDOW - 1
+            n = last - first
+            inside = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for column, x in zip(
                 out,
                 (
                     phrase[pick[first]].view(np.int64), one.ranges(p1, first, end).view(np.int64),
                     (two.ranges(p2, first, end) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    np.full(len(first), batch.column("d")[row].as_py()), np.full(len(first), batch.column("variant")[row].as_py(), np.int32),
-                    first.astype(np.int32), (last - first).astype(np.int32),
-                ), strict=False,
+                    np.full(len(first), d), np.full(len(first), variant, np.int32), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64),
+                ), strict=True,
             ):
                 column.append(x)
-            out[-1].append([key[a:b].view(np.int64) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
         if out[0]:
-            lists = [x for some in out[-1] for x in some]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            arrays = [pa.array(np.concatenate(x)) for x in out[:-1]]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], names)
+            *flat, windows = (np.concatenate(x) for x in out)
+            offsets = np.concatenate([[0], np.cumsum(flat[-1])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows))], names)
 
 
 def keyed(docs: DataFrame, *columns) -> DataFrame:
