@@ -26,6 +26,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,27 @@ def chosen(h: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the text by its zstd frame, which is what the joins by document shuffle; null stays null."""
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        frames = [None if t.as_py() is None else pack(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+        yield batch.set_column(at, "text", pa.array(frames, pa.binary()))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    kinds = ", ".join(f"`{n}` {'binary' if n == 'text' else k}" for n, k in docs.dtypes)
+    return docs.mapInArrow(_pack, kinds)
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """Texts of packed rows; null is empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for frame in batch.column("text"):
+        yield unpack(frame.as_py()) if frame.is_valid else b""
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(phrase, d, n): a document's chosen phrases and how often each is chosen."""
     hashes, rolling = Hashes(), Rolling(BASES[0])
@@ -114,7 +136,7 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[
     group, held = [], 0
     for batch in batches:
         phrases = batch.column("phrases")
-        for row, text in enumerate(text_rows(batch)):
+        for row, text in enumerate(unpacked(batch)):
             group.append((text, np.array(phrases[row].values).view(np.uint64), batch.column("d")[row].as_py(), batch.column("variant")[row].as_py()))
             held += len(text)
             if held >= size:
@@ -175,7 +197,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows))], names)
 
 
-def keyed(docs: DataFrame, *columns) -> DataFrame:
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with d, the id (null: the greatest long), and variant, which tells different texts of one id apart."""
     return docs.select(*columns, F.coalesce("doc_id", F.lit(MAX_LONG)).alias("d"), F.hash("text").alias("variant"))
 
@@ -187,7 +209,7 @@ def segments(docs: DataFrame) -> DataFrame:
     phrases = rows.select("d", "text").mapInArrow(_phrases, "phrase long, d long, n int")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
     wanted = phrases.select("phrase", "d").join(recurring, "phrase").groupBy("d").agg(F.collect_set("phrase").alias("phrases"))
-    return rows.join(wanted, "d").mapInArrow(
+    return packed(rows).join(wanted, "d").mapInArrow(
         _located, "phrase long, a long, b int, d long, variant int, start int, n int, windows array<long>"
     )
 
@@ -224,14 +246,14 @@ def kept_words(text: bytes, runs) -> tuple[list[bytes], int]:
 
 
 def _with_runs(docs: DataFrame, *columns) -> DataFrame:
-    return keyed(docs, *columns).join(removals(docs), ["d", "variant"], "left").drop("d", "variant")
+    return packed(keyed(docs, *columns)).join(removals(docs), ["d", "variant"], "left").drop("d", "variant")
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         runs = batch.column("runs")
-        for row, text in enumerate(text_rows(batch)):
+        for row, text in enumerate(unpacked(batch)):
             kept, n = kept_words(text, runs[row].values)
             rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         if rows:
@@ -248,21 +270,18 @@ def rewrite(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated words: texts with removals become their kept words joined by a space, others stay."""
     ship(docs.sparkSession)
     columns = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in columns]).alias("row"))
-    joined = _with_runs(packed, "doc_id", "text", "row").select(F.col("row"), "text", "runs")
+    rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("row")
+    joined = _with_runs(docs.select("doc_id", "text", rest), "text", "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, texts = batch.column("runs"), batch.column("text")
+            runs, frames = batch.column("runs"), batch.column("text")
             new = []
-            for row, text in enumerate(text_rows(batch)):
-                if runs[row].values is None:
-                    new.append(texts[row].as_py())
-                else:
-                    new.append(b" ".join(kept_words(text, runs[row].values)[0]).decode())
+            for row, text in enumerate(unpacked(batch)):
+                left = text if runs[row].values is None else b" ".join(kept_words(text, runs[row].values)[0])
+                new.append(left.decode() if frames[row].is_valid else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "text"])
 
-    kind = dict(packed.dtypes)["row"]
-    out = joined.mapInArrow(cut, f"row {kind}, text string")
-    fields = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text")).cast("long")}
+    out = joined.mapInArrow(cut, f"row {dict(joined.dtypes)['row']}, text string")
+    fields = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[fields[c].alias(c) if c in fields else F.col("row")[c].alias(c) for c in columns])
