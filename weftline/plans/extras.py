@@ -10,7 +10,8 @@ from weftline.operators import merges as M
 from weftline.operators import patterns as P
 from weftline.operators import reports as C
 from weftline.plans.pile import PILE, Pile, pile
-from weftline.plans.registry import Tables, over, register
+from weftline.plans.registry import ORACLES, Tables, over, register
+from weftline.plans.tables import CORE
 from weftline.sources import bronze as B
 from weftline.sources import gazetteer as Z
 
@@ -213,7 +214,16 @@ register(
     over("repos", "SELECT id, full_name, stars FROM repos WHERE stars IS NOT NULL"),
 )(lambda t: C.written(t.repos.where("stars IS NOT NULL").select("id", "full_name", "stars")))
 
-for _part in ("counts", "languages", "categories", "top", "cross_project"):
-    register(f"c1_summary_{_part}", None)(lambda t, part=_part: C.summary(t.repos, t.owners, t.contributions, t.repo_languages, t.repo_topics)[part])
-for _part in ("repos", "people", "languages", "topics", "releases", "dependencies", "links", "universe", "owners"):
-    register(f"c2_intel_{_part}", None)(lambda t, part=_part: C.intel(t, Z.gazetteer(t.spark))[part])
+_CHILD = {"languages": ("repo_languages", "repo_id, language, bytes"), "topics": ("repo_topics", "repo_id, topic"), "releases": ("releases", "repo_id, tag, author_login"),
+          "dependencies": ("dependencies", "repo_id, package, version, ecosystem"), "links": ("contributions", "repo_id, owner_login, contributions")}
+for _part, _same in (("counts", "a5_summary_counts"), ("languages", "a1_language_shares"), ("categories", "a2_category_shares"), ("top", "a3_top_repos"), ("cross_project", "a4_cross_project")):
+    register(f"c1_summary_{_part}", ORACLES[_same])(lambda t, part=_part: C.summary(t.repos, t.owners, t.contributions, t.repo_languages, t.repo_topics)[part])
+for _part, _same in (("people", "a6_people"), ("universe", "a7_universe_counts"), ("owners", "w5_located_owners")):
+    register(f"c2_intel_{_part}", ORACLES[_same])(lambda t, part=_part: C.intel(t, Z.gazetteer(t.spark))[part])
+for _part, (_table, _columns) in _CHILD.items():
+    register(f"c2_intel_{_part}", over(_MODEL, f"SELECT {_columns} FROM {_table} WHERE repo_id IN (SELECT id FROM core)", CORE))(
+        lambda t, part=_part, columns=_columns: C.intel(t, Z.gazetteer(t.spark))[part].select(*columns.split(", "))
+    )
+register("c2_intel_repos", over(_MODEL, "SELECT id, full_name, owner_login, stars, owner_type FROM core", CORE))(
+    lambda t: C.intel(t, Z.gazetteer(t.spark))["repos"].select("id", "full_name", "owner_login", "stars", "owner_type")
+)

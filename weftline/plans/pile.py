@@ -306,7 +306,7 @@ query(
     """SELECT login, type, repos, total, visible, coalesce(top, '') AS top, coalesce(languages, '') AS languages FROM (SELECT c.owner_login AS login, o.type, count(*) AS repos, CAST(sum(contributions) AS BIGINT) AS total,
 count(n.id) AS visible FROM contributions c LEFT JOIN owners o ON o.login = c.owner_login LEFT JOIN nodes n ON n.id = c.repo_id GROUP BY 1, 2) x
 LEFT JOIN (SELECT owner_login, string_agg(repo_id || ':' || contributions, ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY owner_login ORDER BY contributions DESC, repo_id) AS r FROM contributions) WHERE r <= 40 GROUP BY 1) y ON y.owner_login = x.login
-LEFT JOIN (SELECT owner_login, string_agg(language || ':' || k, ',' ORDER BY k DESC, language) AS languages FROM (SELECT owner_login, coalesce(primary_language, '—') AS language, count(*) AS k FROM contributions c JOIN facts f ON f.id = c.repo_id GROUP BY 1, 2) GROUP BY 1) z ON z.owner_login = x.login""",
+LEFT JOIN (SELECT owner_login, string_agg(language || ':' || k, ',' ORDER BY k DESC, language) AS languages FROM (SELECT c.owner_login, coalesce(primary_language, '—') AS language, count(*) AS k FROM contributions c JOIN facts f ON f.id = c.repo_id GROUP BY 1, 2) GROUP BY 1) z ON z.owner_login = x.login""",
 )(lambda p: R.person_inspector(p.tables.contributions, p.tables.owners, p.core, p.nodes))
 query("r3_star_percentile", "SELECT id, stars, round((rank() OVER (ORDER BY stars) - 1)::DOUBLE / count(*) OVER (), 6) AS percentile FROM nodes")(lambda p: R.star_percentile(p.nodes))
 query(
@@ -323,7 +323,7 @@ query(
     f"""SELECT x.*, y.language, z.top_repo, coalesce(c.clusters, 0) AS clusters, coalesce(c.clusters, 0) >= 2 AS bridge, coalesce(k.mates, '') AS mates FROM
 (SELECT l.owner_login AS login, CASE WHEN ends_with(l.owner_login, '[bot]') OR ends_with(l.owner_login, '-bot') THEN 'bot' WHEN o.type = 'Organization' THEN 'organisation' ELSE 'user' END AS kind,
  count(*) AS repos, CAST(sum(contributions) AS BIGINT) AS commits FROM inn l LEFT JOIN owners o ON o.login = l.owner_login GROUP BY 1, 2) x
-LEFT JOIN (SELECT owner_login, arg_min(language, (-k, language)) AS language FROM (SELECT owner_login, primary_language AS language, count(*) AS k FROM inn JOIN nodes n ON n.id = repo_id WHERE primary_language IS NOT NULL GROUP BY 1, 2) GROUP BY 1) y ON y.owner_login = x.login
+LEFT JOIN (SELECT owner_login, arg_min(language, (-k, language)) AS language FROM (SELECT inn.owner_login, primary_language AS language, count(*) AS k FROM inn JOIN nodes n ON n.id = repo_id WHERE primary_language IS NOT NULL GROUP BY 1, 2) GROUP BY 1) y ON y.owner_login = x.login
 LEFT JOIN (SELECT owner_login, arg_min(repo_id, (-contributions, repo_id)) AS top_repo FROM inn GROUP BY 1) z ON z.owner_login = x.login
 LEFT JOIN (SELECT owner_login, count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters FROM inn JOIN clusters c ON c.id = repo_id GROUP BY 1) c ON c.owner_login = x.login
 LEFT JOIN (SELECT a, string_agg(b || ':' || k, ',' ORDER BY k DESC, b) AS mates FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY k DESC, b) AS r FROM
