@@ -206,7 +206,7 @@ def segments(docs: DataFrame) -> DataFrame:
     """Located segments: phrase, (a, b) its key, (d, variant) its document, start, n windows and their keys."""
     ship(docs.sparkSession)
     rows = keyed(docs, "text")
-    phrases = rows.select("d", "text").mapInArrow(_phrases, "phrase long, d long, n int")
+    phrases = materialize(rows.select("d", "text").mapInArrow(_phrases, "phrase long, d long, n int"), "phrases")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
     wanted = phrases.select("phrase", "d").join(recurring, "phrase").groupBy("d").agg(F.collect_set("phrase").alias("phrases"))
     return packed(rows).join(wanted, "d").mapInArrow(
