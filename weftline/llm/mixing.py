@@ -4,8 +4,9 @@ Of all document rates between 0 and ``CAP`` that meet every source's token targe
 closest, in Kullback-Leibler divergence over the token mass, to rate 1. The solution is the exponential tilt
 ``min(CAP, exp(lambda_source))`` whose multipliers solve a convex dual; distributed Newton steps find them, each one
 aggregation over a histogram of (source, size) in which equal documents are one row. Rates are then rounded to
-copies: documents of a source are dealt by hash into groups of bounded size, and in each group, from large to small,
-the rounding error is carried on, so a source's total stays within about its smallest documents of the target.
+copies, none to ``CAP``: documents of a source are dealt by hash into groups of bounded size, and in each group, from
+large to small, the rounding error is carried on, so a source's total stays within about its smallest documents of the
+target.
 
 Null text has size 0; empty documents take no words. A null source is a source of its own, the last. Rows equal in
 doc_id and text are rounded one by one in a fixed order. An empty table gives an empty result.
@@ -102,9 +103,8 @@ def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, (now, size, rate) in enumerate(zip(keys, rows["size"].tolist(), rows["rate"].tolist(), strict=True)):
             if now != key:
                 key, error = now, 0.0
-            low = int(rate + 1e-9)
             wish = error + rate * size
-            copies[k] = low + (rate - low > 1e-9 and wish - low * size >= 0.5 * size)
+            copies[k] = min(int(CAP), max(0, int(np.floor(wish / size + 0.5)))) if size else round(rate)
             error = wish - copies[k] * size
         yield rows.assign(copies=copies).drop(columns=["absent", "name", "part", "rate"])
 
