@@ -103,7 +103,7 @@ def hits(docs: DataFrame, base=BASE, notices=TEMPLATES) -> DataFrame:
 
 
 def spans(docs: DataFrame, base=BASE, notices=TEMPLATES) -> DataFrame:
-    """(key, doc_id, label, is_base, first_word, last_word, coverage) of every merged diagonal; exact for base phrases."""
+    """(key, doc_id, label, is_base, start, first_word, last_word, coverage) of every merged diagonal; exact for base phrases."""
     found = hits(docs, base, notices).withColumn("diagonal", F.col("pos") - F.col("tpos"))
     votes = found.groupBy("key", "doc_id", "template", "label", "is_base", "n", "k", "diagonal").agg(F.collect_set("tpos").alias("at"))
     order = Window.partitionBy("key", "doc_id", "template").orderBy("diagonal")
@@ -114,7 +114,7 @@ def spans(docs: DataFrame, base=BASE, notices=TEMPLATES) -> DataFrame:
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + F.col("k") - 1)))))
     return several.select(
-        "key", "doc_id", "label", "is_base", (F.col("low") + F.array_min("at")).alias("first_word"),
+        "key", "doc_id", "label", "is_base", F.col("low").alias("start"), (F.col("low") + F.array_min("at")).alias("first_word"),
         (F.col("high") + F.array_max("at") + F.col("k") - 1).alias("last_word"), (covered / F.col("n")).alias("coverage"),
     )
 
@@ -126,11 +126,14 @@ def _joined(labels: Column) -> Column:
 def scan(docs: DataFrame, base=BASE, notices=TEMPLATES, cover: float = COVER) -> DataFrame:
     """The contract's columns, one row per row of ``docs(doc_id, text)``.
 
-    Base labels need the whole phrase, others the share ``cover`` of a notice; score is the largest share found.
+    Base labels need the whole phrase, others the share ``cover`` of a notice; of notices that start at one place the best
+    covered count. Score is the largest share found.
     """
     found = spans(docs, base, notices)
+    best = F.max(F.when(~F.col("is_base"), F.col("coverage"))).over(Window.partitionBy("key", "doc_id", "start"))
+    found = found.withColumn("best", best)
     whole = F.col("is_base") & (F.col("coverage") == 1.0)
-    good = whole | ~F.col("is_base") & (F.col("coverage") >= cover)
+    good = whole | ~F.col("is_base") & (F.col("coverage") >= cover) & (F.col("coverage") == F.col("best"))
     per_doc = found.where(whole | ~F.col("is_base")).groupBy("key", "doc_id").agg(
         F.count_if(whole).alias("n_base"), F.min(F.when(whole, F.col("first_word"))).alias("first_word"),
         F.max(F.when(whole, F.col("first_word"))).alias("last_word"), _joined(F.collect_set(F.when(whole, F.col("label")))).alias("base_labels"),
