@@ -5,13 +5,13 @@ first of equals). Equal windows have equal phrases at equal offsets, so a window
 
 1. Count phrases: one hash per choice, about a ninth of the words, summed over the corpus; those seen twice recur.
 2. Route the recurring phrases to the documents that hold them. Each task compiles those of its batch of
-   documents into an automaton (pyahocorasick over word numbers of fixed width; a batch is the shard, so an automaton
-   is no larger than the text it serves) and streams the batch through it to locate every occurrence.
+   documents into an automaton (pyahocorasick over words spelled by bits of their hashes; a batch is the shard, so an
+   automaton is no larger than the text it serves) and streams the batch through it to locate every occurrence.
 3. Consecutive windows that share an occurrence form a *segment* of at most 35 words. Equal segments repeat all
    their windows, so the first of them stands for the others; only where one phrase has several different
    segments are single windows compared. Whatever is not first in (doc_id, start) is removed.
 
-Hashes are 64 bits for words and phrases and 96 for segments; windows are told apart by 128 bits (with their phrase's).
+Hashes are 64 bits for words and phrases, 160 for segments (with their phrase's) and 96 for windows.
 Null and empty texts have no words. A null doc_id sorts last. Rows equal in doc_id and text count as one
 document: neither is earlier than the other. Other columns of the input are not read.
 """
@@ -19,20 +19,17 @@ document: neither is earlier than the other. Other columns of the input are not
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import MAX_LONG, materialize, ship, text_rows
-from weftline.llm.quality_rules import Hashes
 
 WINDOW, PHRASE = 20, 5
 SPAN = WINDOW - PHRASE + 1
@@ -55,17 +52,56 @@ class Rolling:
         self.grow(len(h) + 1)
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[: len(h)])])
 
+    def every(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all ranges of ``k`` words."""
+        x = (prefix[k:] - prefix[:-k]) * self.inverses[: len(prefix) - k]
+        x = (x ^ x >> np.uint64(32)) * _MIX
+        return x ^ x >> np.uint64(29)
+
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         x = (prefix[end] - prefix[start]) * self.inverses[start]
         x = (x ^ x >> np.uint64(32)) * _MIX
         return x ^ x >> np.uint64(29)
 
 
-def chosen(h: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase hash of every position, and of every window the position of its phrase."""
-    at = np.arange(len(h) - PHRASE + 1)
-    phrase = rolling.ranges(rolling.prefix(h), at, at + PHRASE)
-    return phrase, sliding_window_view(phrase, SPAN).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+#: Low bits of a phrase's hash that do not take part in the choice; the position stands there while the least is sought.
+PLACE = np.uint64(24)
+
+
+def chosen(prefix: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase hash of every position, and per run of windows that share a phrase its position and first window."""
+    phrase = rolling.every(prefix, PHRASE)
+    high = phrase >> PLACE
+    if len(phrase) < 1 << int(PLACE):
+        least = high << PLACE | np.arange(len(phrase), dtype=np.uint64)
+        width = 1
+        while width < SPAN:  # least of twice as many neighbours, until the span is covered
+            step = min(width, SPAN - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        pick = (least & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    else:
+        pick = sliding_window_view(high, SPAN).argmin(axis=1) + np.arange(len(phrase) - SPAN + 1)
+    first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
+    return phrase, pick[first], first
+
+
+class WordHashes:
+    """64-bit hashes of a text's words, from prefix sums over its bytes; no word is made a Python object."""
+
+    def __init__(self):
+        rng = np.random.default_rng(2024)  # fixed: the same hashes in every task
+        self.table = rng.integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
+        self.separator = np.zeros(256, bool)
+        self.separator[[9, 10, 11, 12, 13, 32]] = True
+        self.rolling = Rolling(0xA0761D6478BD642F)
+
+    def of(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.separator[data]
+        change = np.flatnonzero(inside[1:] != inside[:-1])
+        return self.rolling.ranges(self.rolling.prefix(self.table[data]), change[::2], change[1::2])
 
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -94,41 +130,27 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(phrase, d, n): a document's chosen phrases and how often each is chosen."""
-    hashes, rolling = Hashes(), Rolling(BASES[0])
+    hashes, rolling = WordHashes(), Rolling(BASES[0])
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], []]
         for text, d in zip(text_rows(batch), np.array(batch.column("d")), strict=True):
-            words = text.split()
-            if len(words) >= WINDOW:
-                phrase, pick = chosen(hashes.of(words), rolling)
-                found, n = np.unique(phrase[np.unique(pick)], return_counts=True)
+            h = hashes.of(text)
+            if len(h) >= WINDOW:
+                phrase, pick, _ = chosen(rolling.prefix(h), rolling)
+                found, n = np.unique(phrase[pick], return_counts=True)
                 out[0].append(found.view(np.int64)), out[1].append(np.full(len(found), d)), out[2].append(n.astype(np.int32))
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["phrase", "d", "n"])
 
 
-class Numbers(dict):
-    """Word -> its number in a shard; keeps the words' hashes, and writes numbers as letters.
-
-    A number is a fixed count of letters of an alphabet of 64, so the automaton's nodes branch little.
-    """
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.hashes, self.width = array("Q"), 4
-        while 64**self.width <= size:
-            self.width += 1
+#: Letters of a word in the automaton: 24 bits of its hash, four of an alphabet of 64, so nodes branch little. Words that
+#: share them may only locate more than recurs, which the comparison of segments settles.
+LETTERS = 4
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return n
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, str]:
-        """Hashes of the words, and their numbers as one string."""
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        letters = (ids[:, None] >> np.arange(6 * (self.width - 1), -1, -6) & 63) + 48
-        return np.frombuffer(self.hashes, np.uint64)[ids], letters.astype(np.uint8).tobytes().decode("ascii")
+def spelled(h: np.ndarray) -> str:
+    letters = (h[:, None] >> np.arange(40, 40 + 6 * LETTERS, 6, dtype=np.uint64) & np.uint64(63)) + np.uint64(48)
+    return letters.astype(np.uint8).tobytes().decode("ascii")
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[list[tuple]]:
@@ -148,45 +170,42 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of the documents of each shard, from an automaton over the shard's recurring phrases."""
-    one, two = Rolling(BASES[0]), Rolling(BASES[1])
+    hashes, one, two = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
     names = ["phrase", "a", "b", "d", "variant", "start", "n", "windows"]
     for shard in _shards(batches):
-        numbers = Numbers(sum(len(row[0]) for row in shard) // 2 + 1)
-        w, automaton, held = numbers.width, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
+        w, automaton, held = LETTERS, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
         for text, recurring, d, variant in shard:
-            words = text.split()
-            if len(words) < WINDOW:
+            h = hashes.of(text)
+            if len(h) < WINDOW:
                 continue
-            h, coded = numbers.of(words)
-            phrase, pick = chosen(h, one)
-            for p in (q := np.unique(pick))[np.isin(phrase[q], recurring)].tolist():
+            coded = spelled(h)
+            p1 = one.prefix(h)
+            phrase, pick, first = chosen(p1, one)
+            for p in pick[np.isin(phrase[pick], recurring)].tolist():
                 automaton.add_word(coded[p * w : (p + PHRASE) * w])
-            held.append((h, coded, phrase, pick, d, variant))
+            held.append((h, p1, coded, phrase[pick], pick, first, d, variant))
         if not len(automaton):
             continue
         automaton.make_automaton()
         out: list[list] = [[] for _ in names]
-        for h, coded, phrase, pick, d, variant in held:
+        for h, p1, coded, phrase, pick, first, d, variant in held:
             end = np.fromiter((end for end, _ in automaton.iter(coded)), np.int64) + 1
             located = np.zeros(len(h), bool)
             located[end[end % w == 0] // w - PHRASE] = True  # other ends lie within a word
-            first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-            last = np.concatenate([first[1:], [len(pick)]])
-            keep = located[pick[first]]
-            first, last = first[keep], last[keep]
-            if not len(first):
+            last = np.concatenate([first[1:], [len(h) - WINDOW + 1]])
+            keep = located[pick]
+            if not keep.any():
                 continue
-            p1, p2 = one.prefix(h), two.prefix(h)
-            at = np.arange(len(pick))
-            key = one.ranges(p1, at, at + WINDOW) ^ two.ranges(p2, at, at + WINDOW) * _MIX
+            phrase, first, last = phrase[keep], first[keep], last[keep]
+            p2 = two.prefix(h)
+            key = one.every(p1, WINDOW) ^ two.every(p2, WINDOW) * _MIX
             end = last + WINDOW - 1
             n = last - first
             inside = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for column, x in zip(
                 out,
                 (
-                    phrase[pick[first]].view(np.int64), one.ranges(p1, first, end).view(np.int64),
-                    (two.ranges(p2, first, end) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    phrase.view(np.int64), one.ranges(p1, first, end).view(np.int64), (two.ranges(p2, first, end) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                     np.full(len(first), d), np.full(len(first), variant, np.int32), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64),
                 ), strict=True,
             ):
@@ -224,7 +243,7 @@ def removals(docs: DataFrame) -> DataFrame:
     disputed = first.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("phrase")
     heads = first.join(disputed, "phrase").select("a", "b", "phrase", "first.d", "first.start")
     windows = found.join(heads, ["a", "b", "phrase", "d", "start"]).select(
-        "phrase", "d", "variant", "start", F.posexplode("windows").alias("k", "window")
+        F.shiftright("phrase", 32).cast("int").alias("phrase"), "d", "variant", "start", F.posexplode("windows").alias("k", "window")
     ).select("phrase", "window", "d", "variant", (F.col("start") + F.col("k")).alias("start"))
     windows = materialize(windows, "windows")
     earliest = windows.groupBy("phrase", "window").agg(F.min(place).alias("first"))
