@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_TYPES = {"long": T.LongType(), "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type, ...``; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (c.split() for c in text.split(", "))])
 
 
 #: Table -> fixed schema.
