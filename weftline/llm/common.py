@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,7 +39,24 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._weftline_path = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that no later step reads, and the shuffle files of finished steps.
+
+    Spark removes shuffle files when the driver collects the plans that made them; one collection frees the plans and
+    the next what they held.
+    """
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._weftline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def ship(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MAX_LONG, materialize, ship, text_rows
+from weftline.llm.common import MAX_LONG, materialize, release, ship, text_rows
 
 WINDOW, PHRASE = 20, 5
 SPAN = WINDOW - PHRASE + 1
@@ -222,33 +222,52 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Located segments: phrase, (a, b) its key, (d, variant) its document, start, n windows and their keys."""
+    """Table of located segments: phrase, (a, b) its key, (d, variant) its document, start, n windows and their keys."""
     ship(docs.sparkSession)
     rows = keyed(docs, "text")
     phrases = materialize(rows.select("d", "text").mapInArrow(_phrases, "phrase long, d long, n int"), "phrases")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
     wanted = phrases.select("phrase", "d").join(recurring, "phrase").groupBy("d").agg(F.collect_set("phrase").alias("phrases"))
-    return packed(rows).join(wanted, "d").mapInArrow(
+    located = packed(rows).join(wanted, "d").mapInArrow(
         _located, "phrase long, a long, b int, d long, variant int, start int, n int, windows array<long>"
     )
+    found = materialize(located, "segments")
+    del recurring, wanted, located
+    release(docs.sparkSession, phrases)
+    return found
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(d, variant, runs): per document the runs of windows (start, n) that also start earlier."""
-    found = materialize(segments(docs), "segments")
+    spark, found = docs.sparkSession, segments(docs)
     place = F.struct("d", "start")
+    later = place > F.col("first")
+    single = _repeated_windows(found, place, later)
     first = found.groupBy("a", "b", "phrase").agg(F.min(place).alias("first"))
     short = found.select("a", "b", "phrase", "d", "variant", "start", "n")
-    whole = short.join(first, ["a", "b", "phrase"]).where(place > F.col("first")).select("d", "variant", "start", "n")
+    whole = materialize(short.join(first, ["a", "b", "phrase"]).where(later).select("d", "variant", "start", "n"), "repeated")
+    del first, short
+    release(spark, found)
+    return whole.unionAll(single).groupBy("d", "variant").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+
+def _repeated_windows(found: DataFrame, place, later) -> DataFrame:
+    """Table of the single windows (d, variant, start, 1) that repeat part of a different segment of their phrase."""
+    first = found.groupBy("a", "b", "phrase").agg(F.min(place).alias("first"))
     disputed = first.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("phrase")
     heads = first.join(disputed, "phrase").select("a", "b", "phrase", "first.d", "first.start")
     windows = found.join(heads, ["a", "b", "phrase", "d", "start"]).select(
         F.shiftright("phrase", 32).cast("int").alias("phrase"), "d", "variant", "start", F.posexplode("windows").alias("k", "window")
     ).select("phrase", "window", "d", "variant", (F.col("start") + F.col("k")).alias("start"))
     windows = materialize(windows, "windows")
+    del first, disputed, heads
+    release(found.sparkSession)
     earliest = windows.groupBy("phrase", "window").agg(F.min(place).alias("first"))
-    single = windows.join(earliest, ["phrase", "window"]).where(place > F.col("first")).select("d", "variant", "start", F.lit(1).alias("n"))
-    return whole.unionAll(single).groupBy("d", "variant").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    repeated = windows.join(earliest, ["phrase", "window"]).where(later).select("d", "variant", "start", F.lit(1).alias("n"))
+    single = materialize(repeated, "repeated")
+    del earliest, repeated
+    release(found.sparkSession, windows)
+    return single
 
 
 def kept_words(text: bytes, runs) -> tuple[list[bytes], int]:
