@@ -166,6 +166,43 @@ def test_substring_against_brute_force(docs):
     assert substring.report(docs.limit(0)).count() == 0
 
 
+def test_substring_with_null_and_shared_ids(spark, monkeypatch):
+    """Documents of one id meet only their own phrases, and an earlier id's passage is cut from each of them."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(50))
+    own = lambda k: " ".join(f"u{k}x{i}" for i in range(30))
+    rows = [(1, passage + " end"), *((None if k % 2 else 5, f"{own(k)} {passage} {own(k)[::-1]}") for k in range(60)), *((None, own(k) + " tail") for k in range(60))]
+    located = substring._located
+
+    def bounded(batches):
+        def seen():
+            for batch in batches:
+                for text, phrases in zip(substring.unpacked(batch), batch.column("phrases"), strict=True):
+                    if len(phrases.values) > len(text.split()):
+                        raise ValueError(f"{len(phrases.values)} phrases for {len(text.split())} words")
+                yield batch
+
+        return located(seen())
+
+    monkeypatch.setattr(substring, "_located", bounded)
+    got = sorted((r.doc_id or 9, r.n_words, r.n_removed) for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # own(k) also stands in the document of the same k, where id 5 is the earlier and null ids at the same place are equal
+    want = [(d or 9, len(t.split()), 0 if d == 1 else 50 if passage in t else 30 if int(t[1:].split("x")[0]) % 2 == 0 else 0) for d, t in rows]
+    assert got == sorted(want)
+
+
+def test_substring_tells_texts_of_one_id_apart(spark):
+    """Two texts without an id whose 32-bit hashes are equal: only the one that repeats a passage loses it."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    seeds = spark.range(300_000).select(F.concat(F.lit(passage + " a"), "id").alias("a"), F.concat(F.lit("clean b"), "id", F.lit(" c" * 40)).alias("b"))
+    pair = seeds.select("a", F.hash("a").alias("h")).join(seeds.select("b", F.hash("b").alias("h")), "h").orderBy("a").limit(1).head()
+    rows = [(1, passage + " first"), (None, pair.a), (None, pair.b)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(pair.b.split())
+    alone = {(r.doc_id, r.n_words): r.n_removed for r in substring.report(spark.createDataFrame([rows[2]], "doc_id long, text string")).collect()}
+    assert got == {(1, 31): 0, (None, 31): 30, (None, n): alone[None, n]}
+
+
 def test_mixing(docs, clash):
     out = mixing.report(docs).collect()
     assert len(out) == docs.count()

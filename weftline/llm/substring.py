@@ -11,7 +11,7 @@ first of equals). Equal windows have equal phrases at equal offsets, so a window
    their windows, so the first of them stands for the others; only where one phrase has several different
    segments are single windows compared. Whatever is not first in (doc_id, start) is removed.
 
-Hashes are 64 bits for words and phrases, 160 for segments (with their phrase's) and 96 for windows.
+Hashes are 64 bits for words, phrases and texts, 160 for segments (with their phrase's) and 96 for windows.
 Null and empty texts have no words. A null doc_id sorts last. Rows equal in doc_id and text count as one
 document: neither is earlier than the other. Other columns of the input are not read.
 """
@@ -129,18 +129,18 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(phrase, d, n): a document's chosen phrases and how often each is chosen."""
+    """(phrase, doc, n): a document's chosen phrases and how often each is chosen."""
     hashes, rolling = WordHashes(), Rolling(BASES[0])
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], []]
-        for text, d in zip(text_rows(batch), np.array(batch.column("d")), strict=True):
+        for text, doc in zip(text_rows(batch), np.array(batch.column("doc")), strict=True):
             h = hashes.of(text)
             if len(h) >= WINDOW:
                 phrase, pick, _ = chosen(rolling.prefix(h), rolling)
                 found, n = np.unique(phrase[pick], return_counts=True)
-                out[0].append(found.view(np.int64)), out[1].append(np.full(len(found), d)), out[2].append(n.astype(np.int32))
+                out[0].append(found.view(np.int64)), out[1].append(np.full(len(found), doc)), out[2].append(n.astype(np.int32))
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["phrase", "d", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["phrase", "doc", "n"])
 
 
 #: Letters of a word in the automaton: 24 bits of its hash, four of an alphabet of 64, so nodes branch little. Words that
@@ -206,7 +206,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out,
                 (
                     phrase.view(np.int64), one.ranges(p1, first, end).view(np.int64), (two.ranges(p2, first, end) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    np.full(len(first), d), np.full(len(first), variant, np.int32), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64),
+                    np.full(len(first), d), np.full(len(first), variant), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64),
                 ), strict=True,
             ):
                 column.append(x)
@@ -217,19 +217,24 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with d, the id (null: the greatest long), and variant, which tells different texts of one id apart."""
-    return docs.select(*columns, F.coalesce("doc_id", F.lit(MAX_LONG)).alias("d"), F.hash("text").alias("variant"))
+    """``docs`` with d, the id (null: the greatest long), and variant, which tells different texts of one id apart.
+
+    d is shared by all null ids, so it only orders documents; (d, variant) names them.
+    """
+    return docs.select(*columns, F.coalesce("doc_id", F.lit(MAX_LONG)).alias("d"), F.xxhash64("text").alias("variant"))
 
 
 def segments(docs: DataFrame) -> DataFrame:
     """Table of located segments: phrase, (a, b) its key, (d, variant) its document, start, n windows and their keys."""
     ship(docs.sparkSession)
-    rows = keyed(docs, "text")
-    phrases = materialize(rows.select("d", "text").mapInArrow(_phrases, "phrase long, d long, n int"), "phrases")
+    # one key of a document's id and text, so that no list of phrases is longer than its own text whatever the ids; documents
+    # that share it by chance get each other's recurring phrases, which changes nothing
+    rows = keyed(docs, "text").withColumn("doc", F.xxhash64("d", "variant"))
+    phrases = materialize(rows.select("doc", "text").mapInArrow(_phrases, "phrase long, doc long, n int"), "phrases")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    wanted = phrases.select("phrase", "d").join(recurring, "phrase").groupBy("d").agg(F.collect_set("phrase").alias("phrases"))
-    located = packed(rows).join(wanted, "d").mapInArrow(
-        _located, "phrase long, a long, b int, d long, variant int, start int, n int, windows array<long>"
+    wanted = phrases.select("phrase", "doc").join(recurring, "phrase").groupBy("doc").agg(F.collect_set("phrase").alias("phrases"))
+    located = packed(rows).join(wanted, "doc").mapInArrow(
+        _located, "phrase long, a long, b int, d long, variant long, start int, n int, windows array<long>"
     )
     found = materialize(located, "segments")
     del recurring, wanted, located
