@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow.fs as fs
+import pytest
 
 from weftline.llm import embedding_dedup, html_text, warc
 from weftline.llm.common import fresh_dir
@@ -96,6 +97,25 @@ def test_main_text():
     assert html_text.main_text("") == "" == html_text.main_text("<script>x</script>")
 
 
+@pytest.mark.parametrize("tag", ["pre", "ul", "ol", "table", "section", "div", "em", "strong"])
+def test_article_around_one_large_part(tag):
+    """A part with over half of the text is not the article."""
+    inner = {"ul": "<li>{}</li>", "ol": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag, "{}")
+    paragraphs = [f"Paragraph {k} of the story, with a fair number of words in it." for k in range(4)]
+    large = "This part holds more than half of all the text. " * 7
+    page = "<body><div id='nav'><a>Home</a></div><div>{}{}<{t}>{}</{t}>{}{}</div><div class='footer'>(c)</div></body>"
+    p = [f"<p>{x}</p>" for x in paragraphs]
+    text = html_text.main_text(page.format(p[0], p[1], inner.format(large), p[2], p[3], t=tag))
+    assert text == "\n".join([*paragraphs[:2], large.strip(), *paragraphs[2:]])
+
+
+def test_head_without_an_end():
+    title, long = "<title>T</title><meta charset=utf-8><style>p {}</style>", "A long paragraph of text. " * 9
+    for start in ("<body><p>", "<p>", "<div>", "<br>", "", "<noscript><link></noscript><body><p>", "<noscript><body><p>"):
+        assert html_text.main_text(f"<html><head>{title}\n{start}{long}") == long.strip(), start
+    assert html_text.main_text(f"<html><head>{title}</head><body><p>{long}</html>") == long.strip()
+
+
 def test_extract_keeps_every_row(spark):
     frame = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "x", "<p>a</p>"), (1, "u", PAGE)], "page_id long, url string, html string")
     got = html_text.extract(frame).collect()
