@@ -32,6 +32,27 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/repo_topics/v1").count() == 0
 
 
+def test_ingest_of_enumeration_pages(spark, tmp_path):
+    versions = streams.Versions(str(tmp_path / "out"))
+
+    def ingest(number: int, *rows: tuple) -> tuple[dict, dict]:
+        batch = spark.createDataFrame([(u, i, json.dumps(b), t) for u, i, b, t in rows], "url string, repo_id long, body string, t int")
+        streams.ingest_batch(batch.selectExpr("url", "repo_id", "body", "timestamp_seconds(t) AS fetched_at"), number, versions)
+        read = lambda name: {r.id: r for r in spark.read.parquet(versions.path(name, number)).collect()}
+        return read("repos"), read("owners")
+
+    entry = lambda i, name, owner: {"id": i, "full_name": f"{name}/r", "owner": {"id": owner, "login": name, "type": "User", "html_url": f"h/{name}"}}
+    full = entry(7, "o", 1) | {"stargazers_count": 3}
+    page = [entry(7, "stub", 1), entry(8, "p", 2), entry(9, "q", 2)]
+    repos, owners = ingest(0, ("/repos/o/r", 7, full, 1), ("/repositories?since=0", None, page, 2), ("/repositories?since=7", None, page[1:2], 3))
+    assert {i: (r.full_name, r.stars, r.detailed) for i, r in repos.items()} == {7: ("o/r", 3, 1), 8: ("p/r", None, 0), 9: ("q/r", None, 0)}
+    assert repos[8].discovered_at.second == 2 and repos[8].attempts == 0
+    assert {i: r.enriched for i, r in owners.items()} == {1: 0, 2: 0} and owners[1].login == "o" and owners[2].html_url[:2] == "h/"
+    repos, owners = ingest(1, ("/repos/p/r", 8, entry(8, "p", 2) | {"stargazers_count": 5}, 4), ("/repositories?since=8", None, [entry(9, "other", 2), entry(10, "z", 3)], 5))
+    assert {i: (r.full_name, r.stars, r.detailed) for i, r in repos.items()} == {7: ("o/r", 3, 1), 8: ("p/r", 5, 1), 9: ("q/r", None, 0), 10: ("z/r", None, 0)}
+    assert owners[2].login == "p" and set(owners) == {1, 2, 3}
+
+
 def test_geocode_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Tokyo, Japan"), (2, "Nowhere")], "id long, location string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, location string").parquet(str(tmp_path / "in"))

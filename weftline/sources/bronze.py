@@ -102,4 +102,4 @@ def extract_stubs(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
         "e.id", "e.full_name", F.col("e.owner.login").alias("owner_login"), "e.name", "e.description", F.coalesce("e.fork", F.lit(False)).alias("is_fork"),
         F.lit(0).alias("detailed"), F.lit(0).cast("long").alias("attempts"), F.col("fetched_at").alias("discovered_at"),
     )
-    return repos, rows.where("e.owner.id IS NOT NULL").select("e.owner.id", "e.owner.login", "e.owner.type", F.lit(0).alias("enriched"))
+    return repos, rows.where("e.owner.id IS NOT NULL").select("e.owner.id", "e.owner.login", "e.owner.type", "e.owner.html_url", F.lit(0).alias("enriched"), "fetched_at")

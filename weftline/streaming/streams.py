@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from weftline.operators import geo, merges
@@ -36,14 +37,23 @@ def _with_crawl_columns(repos: DataFrame) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, number: int, versions: Versions) -> None:
-    """Raw responses of one micro-batch into owners, repositories and their children; idempotent per batch number."""
+    """Raw responses of one micro-batch into owners, repositories and their children; idempotent per batch number.
+
+    Enumeration pages add stubs of absent repositories and owners; a later response of the repository itself fills the stub.
+    """
     latest = B.latest_response(batch)
+    pages, embedded = B.extract_stubs(latest)
+    rest = [c for c in pages.columns if c not in ("id", "discovered_at")]
+    stubs = pages.groupBy("id").agg(F.min(F.struct("discovered_at", *rest)).alias("s")).select("id", "s.*")  # the first seen
     repos = merges.last_per_key(_with_crawl_columns(B.extract_repos(latest)), "id", "fetched_at", ("parent_id", "source_id"))
     repos = repos.withColumn("fetched_at", repos["discovered_at"])
-    versions.write(merges.merge_repos(versions.read(repos, "repos", number), repos), "repos", number)
+    merged = merges.merge_repos(versions.read(repos, "repos", number), repos)
+    filled = merged.join(repos.select("id", F.lit(1).alias("__filled")), "id", "left").withColumn("detailed", F.coalesce("__filled", "detailed"))
+    versions.write(merges.merge_stubs(filled.select(*merged.columns), stubs), "repos", number)
     raw = B.extract_owners(latest)
     owners = merges.last_per_key(raw, "id", "fetched_at", merges.OWNER_KEPT, ("enriched",))
-    versions.write(merges.merge_owners(versions.read(owners, "owners", number), owners), "owners", number)
+    known = merges.merge_owners(versions.read(owners, "owners", number), owners)
+    versions.write(merges.merge_stubs(known, merges.last_per_key(embedded, "id", "fetched_at")), "owners", number)
     for name, extract, part in (
         ("repo_topics", B.extract_topics, None), ("repo_languages", B.extract_languages, "languages"), ("contributions", B.extract_contributions, "contributors"),
         ("releases", B.extract_releases, "releases"), ("dependencies", B.extract_dependencies, "dependency-graph/sbom"),
