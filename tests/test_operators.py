@@ -174,6 +174,15 @@ def test_throughput(spark):
     assert {r.k: (r.eta_s, r.state) for r in eta.collect()} == {"k": (10.0, "running"), "d": (None, "done"), "s": (None, "stalled")}
 
 
+def test_made_enumeration_pages_stay_bounded(spark):
+    from weftline.plans import extras
+    from weftline.plans.registry import Tables
+
+    pages = extras.responses(Tables(spark, "/root/testdata/sf0.01")).where("url LIKE '/repositories%' AND body <> '{}'")
+    sizes = [r.n for r in pages.selectExpr("json_array_length(body) AS n").collect()]
+    assert len(sizes) > 7 and max(sizes) <= 100
+
+
 def test_bronze(spark):
     rows_ = [
         ("/repos/o/r", 7, '{"id": 7, "full_name": "o/r", "owner": {"id": 1, "login": "o"}, "stargazers_count": 3, "language": null, "topics": ["x", "x", "y"], "license": {"spdx_id": "MIT"}}', 2),

@@ -174,7 +174,7 @@ def responses(t: Tables) -> DataFrame:
     languages = t.repo_languages.join(names, "repo_id").groupBy("repo_id", "full_name").agg(F.map_from_entries(F.collect_list(F.struct("language", "bytes"))).alias("j")).select(url("/languages"), "repo_id", F.to_json("j").alias("body"))
     package = F.struct(F.col("package").alias("name"), F.col("version").alias("versionInfo"), F.array(F.struct(F.lit("https://x").alias("referenceLocator")), F.struct(F.concat(F.lit("pkg:"), "ecosystem", F.lit("/x")).alias("referenceLocator"))).alias("externalRefs"))
     deps = t.dependencies.join(names, "repo_id").groupBy("repo_id", "full_name").agg(F.struct(F.collect_list(package).alias("packages")).alias("sbom")).select(url("/dependency-graph/sbom"), "repo_id", F.to_json(F.struct("sbom")).alias("body"))
-    page = t.repos.groupBy((F.col("id") % 7).alias("page")).agg(F.collect_list(F.struct("id", "full_name", owner.alias("owner"), F.col("is_fork").alias("fork"))).alias("j")).select(
+    page = t.repos.groupBy((F.floor((F.col("id") - 1) / 100) * 100).alias("page")).agg(F.collect_list(F.struct("id", "full_name", owner.alias("owner"), F.col("is_fork").alias("fork"))).alias("j")).select(
         F.concat(F.lit("/repositories?since="), F.col("page").cast("string")).alias("url"), F.lit(None).cast("long").alias("repo_id"), F.to_json("j").alias("body")
     )
     new = repos.unionByName(contribs).unionByName(releases).unionByName(languages).unionByName(deps).unionByName(page)
