@@ -78,6 +78,11 @@ def test_components_path_rings_and_invariants(spark):
     assert G.degree(edges).agg(F.sum("degree")).head()[0] == 2 * edges.count()
 
 
+def test_path_of_more_than_64_hops(spark):
+    chain = table(spark, [(i, i + 1, 1, [f"p{i}"]) for i in range(66)], "src long, dst long, shared long, who array<string>")
+    assert sorted(map(tuple, G.shortest_path(chain, 0, 66).collect())) == [(i + 1, i, i + 1, f"p{i}") for i in range(66)]
+
+
 def test_clusters_lie_in_components(spark):
     edges = table(spark, [(1, 2, 3), (2, 3, 3), (1, 3, 3), (3, 4, 1), (4, 5, 3), (5, 6, 3), (4, 6, 3)], "src long, dst long, shared long")
     nodes = table(spark, [(i,) for i in range(1, 8)], "id long")

@@ -159,30 +159,28 @@ def default_center(edges: DataFrame) -> int | None:
     return row["id"] if row else None
 
 
-def shortest_path(edges: DataFrame, a: int, b: int, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, a: int, b: int) -> DataFrame:
     """(hop, src, dst, carrier): the hops of a shortest path, with the first carrier of each; no rows without one or if a = b.
 
-    Of equal parents the smallest is taken. The path itself, at most ``most`` hops, is rebuilt from the rings' parents.
+    Of equal parents the smallest is taken. Rings are added until one holds the target or is empty; what a ring reaches lies in
+    it, in the one before or in the next, so only those two are left out. The path is rebuilt from the rings' parents.
     """
     spark = edges.sparkSession
     near = cut(adjacency(edges).select("id", "nbr"))
     schema = "hop int, src long, dst long, carrier string"
     if a == b:
         return spark.createDataFrame([], schema)
-    seen = spark.range(1).select(F.lit(a).cast("long").alias("id"))
-    front, rings = seen, []
-    for _ in range(most):
+    front = spark.range(1).select(F.lit(a).cast("long").alias("id"))
+    last, rings = front, []
+    while True:
         reached = near.join(front, "id").groupBy(F.col("nbr").alias("x")).agg(F.min("id").alias("parent"))
-        ring = cut(reached.join(seen.withColumnRenamed("id", "x"), "x", "left_anti"))
+        ring = cut(reached.join(last.unionByName(front).withColumnRenamed("id", "x"), "x", "left_anti"))
         rings.append(ring)
-        front = ring.select(F.col("x").alias("id"))
-        seen = cut(seen.unionByName(front))
+        last, front = front, ring.select(F.col("x").alias("id"))
         if not ring.where(F.col("x") == b).isEmpty():
             break
         if ring.isEmpty():
             return spark.createDataFrame([], schema)
-    else:
-        return spark.createDataFrame([], schema)
     steps, at = [], b
     for hop in range(len(rings), 0, -1):
         parent = rings[hop - 1].where(F.col("x") == at).head()["parent"]
