@@ -132,6 +132,14 @@ def test_gazetteer_is_sound():
     assert all(-90 <= a <= 90 and -180 <= b <= 180 for *_, a, b in cities)
 
 
+def test_gazetteer_has_all_cities(spark):
+    cities = [("Bangkok", "Thailand"), ("Brisbane", "Australia"), ("Atlanta, GA", "United States"), ("Ankara", "Turkey"), ("Cairo", "Egypt"), ("Busan", "South Korea"), ("Xi'an", "China"), ("Kraków", "Poland")]
+    places = table(spark, [(i, t) for i, (t, _) in enumerate(cities)], "id long, location string")
+    found = {r.id: (r.country, r.city) for r in W.geocode(places, "id", "location", gazetteer(spark)).collect()}
+    assert found == {i: (c, t.split(",")[0]) for i, (t, c) in enumerate(cities)}
+    assert len({key for key, *_ in rows()[2]}) == len(rows()[2]) == 259
+
+
 def test_geocode_pending_is_idempotent(spark):
     owners = table(spark, [(1, "a", "User", "Tokyo, Japan", 0), (2, "b", "User", "Mars Base Alpha", 0)], "id long, login string, type string, location string, enriched int")
     once = W.geocode_pending(owners, gazetteer(spark))

@@ -54,9 +54,10 @@ def _geo(name: str, select: str, more: tuple[str, ...] = (), relations: str = "o
     return register(name, over(relations, select, *GEO, *more))
 
 
-register("w1_gazetteer_countries", f"SELECT * FROM (VALUES {_values(_COUNTRIES)}) t(country, lat, lon, iso)".replace("SELECT *", "SELECT country, lat::DOUBLE AS lat, lon::DOUBLE AS lon, iso"))(
-    lambda t: Z.gazetteer(t.spark)["countries"].join(t.owners.limit(1).select(), how="cross")
-)
+_geo(
+    "w1_owners_per_country",
+    "SELECT g.country, g.lat::DOUBLE AS lat, g.lon::DOUBLE AS lon, g.iso, count(l.id) AS n FROM gc g LEFT JOIN located l ON l.country = g.country GROUP BY ALL",
+)(lambda t: Z.gazetteer(t.spark)["countries"].join(_located(t).groupBy("country").agg(F.count("id").alias("n")), "country", "left").select("country", "lat", "lon", "iso", F.coalesce("n", F.lit(0)).alias("n")))
 register("w2_tokenize_location", over("owners", "SELECT id, pos, token, key FROM tokens", *TOKENS))(lambda t: W.tokenize_location(_places(t), "id", "location"))
 _geo("w3_geocode", "SELECT * FROM geo")(lambda t: W.geocode(_places(t), "id", "location", Z.gazetteer(t.spark)))
 _geo("w4_geocode_pending", "SELECT o.id, g.country, g.city, CAST(coalesce(o.location, '') <> '' AS BIGINT) AS geo_tried FROM owners o LEFT JOIN geo g ON g.id = o.id")(

@@ -30,23 +30,99 @@ Finland: suomi; Denmark: danmark; Poland: polska; Czechia: czech republic, česk
 Vietnam: viet nam, việt nam; Singapore: sg; New Zealand: nz"""
 #: Countries whose flag is known (fixed values); a flag is the ISO code in regional indicators.
 FLAGS = "US GB DE FR CN JP IN BR RU CA AU ES IT NL SE PL UA KR TW IL CH SG IR MX TR NG ID PT IE AR BE AT NO DK FI CZ GR HK NZ".split()
-# Well-known cities by country; a full table is read from a folder.
+# The 259 city keys by country.
 CITIES = """
-United States: san francisco|37.77|-122.42, sf|37.77|-122.42, bay area|37.6|-122.2, san jose|37.34|-121.89, los angeles|34.05|-118.24, seattle|47.61|-122.33, new york|40.71|-74.01, nyc|40.71|-74.01,
- boston|42.36|-71.06, cambridge|42.37|-71.11, chicago|41.88|-87.63, austin|30.27|-97.74, denver|39.74|-104.99;
-Canada: toronto|43.65|-79.38, vancouver|49.28|-123.12, montreal|45.5|-73.57;
-United Kingdom: london|51.51|-0.13, manchester|53.48|-2.24, edinburgh|55.95|-3.19; Ireland: dublin|53.35|-6.26;
-Germany: berlin|52.52|13.4, munich|48.14|11.58, münchen|48.14|11.58, hamburg|53.55|9.99, cologne|50.94|6.96; Austria: vienna|48.21|16.37, wien|48.21|16.37;
-Switzerland: zurich|47.37|8.54, zürich|47.37|8.54; Sweden: stockholm|59.33|18.06; Norway: oslo|59.91|10.75; Denmark: copenhagen|55.68|12.57; Finland: helsinki|60.17|24.94;
-France: paris|48.86|2.35, lyon|45.76|4.84; Netherlands: amsterdam|52.37|4.9; Belgium: brussels|50.85|4.35; Spain: madrid|40.42|-3.7, barcelona|41.39|2.16, valencia|39.47|-0.38;
-Portugal: lisbon|38.72|-9.14; Italy: rome|41.9|12.5, milan|45.46|9.19; Greece: athens|37.98|23.73; Poland: warsaw|52.23|21.01; Czechia: prague|50.08|14.44;
-Hungary: budapest|47.5|19.04; Romania: bucharest|44.43|26.1, cluj|46.77|23.6, cluj-napoca|46.77|23.6; Ukraine: kyiv|50.45|30.52; Russia: moscow|55.76|37.62, москва|55.76|37.62;
-Turkey: istanbul|41.01|28.98; Israel: tel aviv|32.08|34.78; Nigeria: lagos|6.52|3.38; Kenya: nairobi|-1.29|36.82; South Africa: cape town|-33.92|18.42;
-China: beijing|39.9|116.41, 北京|39.9|116.41, shanghai|31.23|121.47, 上海|31.23|121.47, shenzhen|22.54|114.06; Japan: tokyo|35.68|139.69, 東京|35.68|139.69, osaka|34.69|135.5;
-South Korea: seoul|37.57|126.98; Taiwan: taipei|25.03|121.57; Hong Kong: hong kong|22.32|114.17; Singapore: singapore|1.35|103.82;
-India: bangalore|12.97|77.59, bengaluru|12.97|77.59, mumbai|19.08|72.88, delhi|28.61|77.21, hyderabad|17.39|78.49, chennai|13.08|80.27, pune|18.52|73.86;
-Australia: sydney|-33.87|151.21, melbourne|-37.81|144.96; New Zealand: auckland|-36.85|174.76; Brazil: são paulo|-23.55|-46.63, sao paulo|-23.55|-46.63, rio de janeiro|-22.91|-43.17;
-Argentina: buenos aires|-34.6|-58.38, córdoba|-31.42|-64.18; Chile: santiago|-33.45|-70.67; Colombia: bogotá|4.71|-74.07; Mexico: mexico city|19.43|-99.13; Peru: lima|-12.05|-77.04"""
+United States: san francisco|37.77|-122.42, sf|37.77|-122.42, bay area|37.6|-122.2, silicon valley|37.4|-122.1, san jose|37.34|-121.89, mountain view|37.39|-122.08,
+ palo alto|37.44|-122.14, oakland|37.8|-122.27, los angeles|34.05|-118.24, la|34.05|-118.24, san diego|32.72|-117.16, seattle|47.61|-122.33, portland|45.52|-122.68,
+ new york|40.71|-74.01, nyc|40.71|-74.01, new york city|40.71|-74.01, brooklyn|40.68|-73.94, boston|42.36|-71.06, cambridge|42.37|-71.11, chicago|41.88|-87.63,
+ austin|30.27|-97.74, dallas|32.78|-96.8, houston|29.76|-95.37, denver|39.74|-104.99, atlanta|33.75|-84.39, miami|25.76|-80.19, washington|38.9|-77.04,
+ washington dc|38.9|-77.04, pittsburgh|40.44|-79.99, detroit|42.33|-83.05, philadelphia|39.95|-75.16, phoenix|33.45|-112.07, minneapolis|44.98|-93.27,
+ salt lake city|40.76|-111.89, raleigh|35.78|-78.64, nashville|36.16|-86.78;
+Canada: toronto|43.65|-79.38, vancouver|49.28|-123.12, montreal|45.5|-73.57, ottawa|45.42|-75.7, waterloo|43.46|-80.52, calgary|51.05|-114.07,
+ edmonton|53.55|-113.49;
+United Kingdom: london|51.51|-0.13, manchester|53.48|-2.24, birmingham|52.49|-1.89, edinburgh|55.95|-3.19, glasgow|55.86|-4.25, bristol|51.45|-2.59,
+ cambridge uk|52.21|0.12, oxford|51.75|-1.26, leeds|53.8|-1.55;
+Ireland: dublin|53.35|-6.26, cork|51.9|-8.47;
+Germany: berlin|52.52|13.4, munich|48.14|11.58, münchen|48.14|11.58, hamburg|53.55|9.99, frankfurt|50.11|8.68, cologne|50.94|6.96, köln|50.94|6.96,
+ stuttgart|48.78|9.18, düsseldorf|51.23|6.78, leipzig|51.34|12.37, dresden|51.05|13.74, karlsruhe|49.01|8.4;
+Austria: vienna|48.21|16.37, wien|48.21|16.37;
+Switzerland: zurich|47.37|8.54, zürich|47.37|8.54, geneva|46.2|6.14, bern|46.95|7.45, basel|47.56|7.59, lausanne|46.52|6.63;
+Sweden: stockholm|59.33|18.06, gothenburg|57.71|11.97, malmö|55.6|13;
+Norway: oslo|59.91|10.75;
+Denmark: copenhagen|55.68|12.57;
+Finland: helsinki|60.17|24.94;
+Iceland: reykjavik|64.15|-21.94;
+France: paris|48.86|2.35, lyon|45.76|4.84, toulouse|43.6|1.44, nantes|47.22|-1.55, bordeaux|44.84|-0.58, lille|50.63|3.06, marseille|43.3|5.37, grenoble|45.19|5.72;
+Netherlands: amsterdam|52.37|4.9, rotterdam|51.92|4.48, utrecht|52.09|5.12, eindhoven|51.44|5.48;
+Belgium: brussels|50.85|4.35, ghent|51.05|3.72, antwerp|51.22|4.4;
+Spain: madrid|40.42|-3.7, barcelona|41.39|2.16, valencia|39.47|-0.38, seville|37.39|-5.98, málaga|36.72|-4.42;
+Portugal: lisbon|38.72|-9.14, lisboa|38.72|-9.14, porto|41.15|-8.61;
+Italy: rome|41.9|12.5, milan|45.46|9.19, milano|45.46|9.19, turin|45.07|7.69, bologna|44.49|11.34, naples|40.85|14.27, florence|43.77|11.26;
+Greece: athens|37.98|23.73, thessaloniki|40.64|22.94;
+Poland: warsaw|52.23|21.01, kraków|50.06|19.94, krakow|50.06|19.94, wrocław|51.11|17.03, wroclaw|51.11|17.03, poznań|52.41|16.93, gdańsk|54.35|18.65;
+Czechia: prague|50.08|14.44, praha|50.08|14.44, brno|49.2|16.61;
+Hungary: budapest|47.5|19.04;
+Slovakia: bratislava|48.15|17.11;
+Romania: bucharest|44.43|26.1, cluj|46.77|23.6, cluj-napoca|46.77|23.6, iași|47.16|27.59;
+Bulgaria: sofia|42.7|23.32;
+Serbia: belgrade|44.79|20.45;
+Croatia: zagreb|45.81|15.98;
+Slovenia: ljubljana|46.06|14.51;
+Ukraine: kyiv|50.45|30.52, kiev|50.45|30.52, kharkiv|49.99|36.23, lviv|49.84|24.03;
+Belarus: minsk|53.9|27.57;
+Estonia: tallinn|59.44|24.75;
+Latvia: riga|56.95|24.11;
+Lithuania: vilnius|54.69|25.28;
+Russia: moscow|55.76|37.62, москва|55.76|37.62, saint petersburg|59.94|30.31, st petersburg|59.94|30.31, novosibirsk|55.01|82.93, yekaterinburg|56.84|60.61;
+Turkey: istanbul|41.01|28.98, ankara|39.93|32.86, izmir|38.42|27.14;
+Israel: tel aviv|32.08|34.78, jerusalem|31.77|35.22, haifa|32.79|34.99;
+Iran: tehran|35.69|51.39;
+United Arab Emirates: dubai|25.2|55.27, abu dhabi|24.45|54.38;
+Saudi Arabia: riyadh|24.71|46.68;
+Egypt: cairo|30.04|31.24;
+Nigeria: lagos|6.52|3.38, abuja|9.06|7.5;
+Kenya: nairobi|-1.29|36.82;
+Ghana: accra|5.6|-0.19;
+South Africa: cape town|-33.92|18.42, johannesburg|-26.2|28.05;
+Morocco: casablanca|33.57|-7.59;
+Tunisia: tunis|36.81|10.18;
+Ethiopia: addis ababa|9.03|38.74;
+China: beijing|39.9|116.41, 北京|39.9|116.41, shanghai|31.23|121.47, 上海|31.23|121.47, shenzhen|22.54|114.06, 深圳|22.54|114.06, guangzhou|23.13|113.26,
+ hangzhou|30.27|120.15, chengdu|30.57|104.07, wuhan|30.59|114.31, nanjing|32.06|118.8, xi'an|34.34|108.94;
+Japan: tokyo|35.68|139.69, 東京|35.68|139.69, osaka|34.69|135.5, kyoto|35.01|135.77, fukuoka|33.59|130.4, yokohama|35.44|139.64;
+South Korea: seoul|37.57|126.98, 서울|37.57|126.98, busan|35.18|129.08;
+Taiwan: taipei|25.03|121.57, 台北|25.03|121.57, hsinchu|24.8|120.97;
+Hong Kong: hong kong|22.32|114.17;
+Singapore: singapore|1.35|103.82;
+India: bangalore|12.97|77.59, bengaluru|12.97|77.59, mumbai|19.08|72.88, delhi|28.61|77.21, new delhi|28.61|77.21, hyderabad|17.39|78.49, chennai|13.08|80.27,
+ pune|18.52|73.86, kolkata|22.57|88.36, ahmedabad|23.03|72.58, gurgaon|28.46|77.03, noida|28.54|77.39, kochi|9.93|76.27;
+Pakistan: lahore|31.55|74.34, karachi|24.86|67.01, islamabad|33.68|73.05;
+Bangladesh: dhaka|23.81|90.41;
+Sri Lanka: colombo|6.93|79.85;
+Nepal: kathmandu|27.72|85.32;
+Indonesia: jakarta|-6.21|106.85, bandung|-6.92|107.61;
+Malaysia: kuala lumpur|3.14|101.69;
+Thailand: bangkok|13.76|100.5;
+Vietnam: hanoi|21.03|105.85, ho chi minh city|10.82|106.63, saigon|10.82|106.63;
+Philippines: manila|14.6|120.98, cebu|10.32|123.89;
+Australia: sydney|-33.87|151.21, melbourne|-37.81|144.96, brisbane|-27.47|153.03, perth|-31.95|115.86, canberra|-35.28|149.13, adelaide|-34.93|138.6;
+New Zealand: auckland|-36.85|174.76, wellington|-41.29|174.78;
+Brazil: são paulo|-23.55|-46.63, sao paulo|-23.55|-46.63, rio de janeiro|-22.91|-43.17, belo horizonte|-19.92|-43.94, brasília|-15.79|-47.88, curitiba|-25.43|-49.27,
+ porto alegre|-30.03|-51.23, recife|-8.05|-34.88, florianópolis|-27.6|-48.55;
+Argentina: buenos aires|-34.6|-58.38, córdoba|-31.42|-64.18;
+Chile: santiago|-33.45|-70.67;
+Colombia: bogotá|4.71|-74.07, bogota|4.71|-74.07, medellín|6.24|-75.58, medellin|6.24|-75.58;
+Peru: lima|-12.05|-77.04;
+Mexico: mexico city|19.43|-99.13, ciudad de méxico|19.43|-99.13, guadalajara|20.67|-103.35, monterrey|25.67|-100.32;
+Uruguay: montevideo|-34.9|-56.19;
+Ecuador: quito|-0.18|-78.47;
+Costa Rica: san josé|9.93|-84.08;
+Cuba: havana|23.11|-82.37;
+Venezuela: caracas|10.48|-66.9;
+Georgia (country): tbilisi|41.72|44.79;
+Armenia: yerevan|40.18|44.51;
+Kazakhstan: almaty|43.24|76.89;
+Azerbaijan: baku|40.41|49.87"""
 # Codes and names of states of the United States.
 US_STATES = """al ak az ar ca co ct de fl ga hi id il in ia ks ky me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc""".split()
 US_STATE_NAMES = [s.strip() for s in """alabama, alaska, arizona, arkansas, california, colorado, connecticut, delaware, florida, georgia, hawaii, idaho, illinois, indiana, iowa, kansas, kentucky,
