@@ -1,12 +1,12 @@
-"""Substring dedup with sharded Aho-Corasick automata over recurring phrases.
+"""Substring dedup over recurring phrases, which a hash join locates.
 
 A *window* is 20 consecutive words; a *phrase* is the 5 consecutive words of a window whose hash is least (the
 first of equals). Equal windows have equal phrases at equal offsets, so a window can repeat only if its phrase recurs.
 
 1. Count phrases: one hash per choice, about a ninth of the words, summed over the corpus; those seen twice recur.
-2. Route the recurring phrases to the documents that hold them. Each task compiles those of its batch of
-   documents into an automaton (pyahocorasick over words spelled by bits of their hashes; a batch is the shard, so an
-   automaton is no larger than the text it serves) and streams the batch through it to locate every occurrence.
+2. Route the recurring phrases to the documents that hold them: this join by hash does the locating. Each task compiles
+   those of its batch of documents into an automaton (pyahocorasick over words spelled by bits of their hashes, no larger
+   than the text it serves) and reads them again in that batch; no automaton sees documents outside its batch.
 3. Consecutive windows that share an occurrence form a *segment* of at most 35 words. Equal segments repeat all
    their windows, so the first of them stands for the others; only where one phrase has several different
    segments are single windows compared. Whatever is not first in (doc_id, start) is removed.
