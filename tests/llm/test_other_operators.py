@@ -116,6 +116,62 @@ def test_head_without_an_end():
     assert html_text.main_text(f"<html><head>{title}</head><body><p>{long}</html>") == long.strip()
 
 
+PLAIN = """<html><body><div class=x1><a href=1>Home</a> <a href=2>News</a> <a href=3>About</a></div><div class=x2>Slogan of the site</div>
+<div class=x3><h2>Headline of it</h2><p>{long}</p><div class=x4><a href=4>More</a><a href=5>Even more</a></div><p>Short one.</p><p>{long}</p><p>Bye.</p></div>
+<div class=x5><p>Follow us</p></div><table class=x6><tr><td><a href=6>Terms</a></td><td>Legal</td></tr></table></body></html>""".format(long="A sentence with quite a few words in it, and some more. " * 6)
+
+
+def test_clusters_select_regions_without_article_main_or_class_words(monkeypatch):
+    long = ("A sentence with quite a few words in it, and some more. " * 6).strip()
+    assert html_text.main_text(PLAIN) == f"Headline of it\n{long}\nShort one.\n{long}\nBye."
+    for page in (PLAIN, PAGE):
+        whole = html_text.main_text(page)
+        for chosen in (lambda lines, ratio: np.ones(len(lines), bool), lambda lines, ratio: np.arange(len(lines)) % 2 == 0):
+            with monkeypatch.context() as m:
+                m.setattr(html_text, "content_lines", chosen)
+                assert html_text.main_text(page) != whole
+
+
+def test_ratios_and_smoothing_by_hand():
+    page = html_text.Page()
+    page.feed("<p>one <b>two</b> three<p><a>four</a> fives<p>six")
+    page.close()
+    flagged, article = html_text.boilerplate(page)
+    assert [(line.text, line.tags, line.linked) for line in page.lines] == [("one two three", 3, 0), ("four fives", 3, 4), ("six", 1, 0)]
+    ratio = html_text.ratios(page, flagged, article)
+    assert np.allclose(ratio, [13.1 / 4, 6.1 / 4, 3.1 / 2])
+    weight = [np.exp(-0.5 * d * d) for d in (-2, -1, 0, 1, 2)]
+    at = lambda k: ratio[min(max(k, 0), 2)]
+    assert np.allclose(html_text.smoothed(ratio), [sum(w * at(k + d) for w, d in zip(weight, range(-2, 3), strict=True)) / sum(weight) for k in range(3)])
+
+
+@pytest.mark.parametrize(
+    "names, dropped",
+    [("share-price", False), ("related-work", False), ("commentary", False), ("adsorption", False), ("share", True), ("ad", True), ("ad-slot", True), ("cookie-notice", True),
+     ("cookieNotice", True), ("post-comments", True), ("related-posts", True), ("notice", True), ("intro share-buttons", True)],
+)
+def test_class_words_mark_a_block_only_when_they_are_all_of_its_name(names, dropped):
+    for tag in ("article", "div"):
+        long = "A sentence with quite a few words in it. " * 6
+        page = f"<body><{tag}><p>{long}</p><div class='{names}'>This block of the page has a name.</div><p>{long}</p></{tag}></body>"
+        assert ("has a name" not in html_text.main_text(page)) == dropped, tag
+
+
+def test_a_marked_element_with_most_of_the_text_is_the_article():
+    long = "A sentence with quite a few words in it. " * 20
+    assert html_text.main_text(f"<body><p>Top</p><div class=widget><p>{long}</p></div></body>").endswith(long.strip())
+    assert html_text.main_text(f"<body><p>The article.</p><div class=comments><p>{long}</p></div></body>") == "The article."
+
+
+def test_nested_chrome_deep_pages_and_long_pages():
+    page = "<body><nav><div><nav><a>x</a></nav>y</div></nav><main><article><nav>toc</nav><p>Text of it.</p><aside><article><p>Other</p></article></aside></article></main></body>"
+    assert html_text.main_text(page) == "Text of it."
+    deep = "<div>" * 30_000 + "<p>Deep down there is text.</p>" + "</div>" * 30_000
+    assert html_text.main_text(deep) == "Deep down there is text."
+    many = "".join(f"<p>Paragraph {k} of a long page.</p>" for k in range(30_000))
+    assert html_text.main_text(f"<article>{many}</article>").count("\n") == 29_999
+
+
 def test_extract_keeps_every_row(spark):
     frame = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "x", "<p>a</p>"), (1, "u", PAGE)], "page_id long, url string, html string")
     got = html_text.extract(frame).collect()
