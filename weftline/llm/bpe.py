@@ -4,7 +4,7 @@ A batch's texts are cut by the split pattern; each distinct piece is encoded onc
 token-position rows; every turn of a recursive query joins the neighbours to the merge table and contracts each
 piece's leftmost pair of least rank, until no piece has a pair left. Decoding joins token ids to the vocabulary
 and aggregates the bytes in order. Short pieces accumulate their turns; long ones keep only the last state (``USING KEY``),
-so memory stays proportional to the piece. Results of pieces are kept for later batches up to a bound.
+so memory stays proportional to the piece. Results of pieces are kept for later batches of a task up to a bound.
 
 Null text is empty: no tokens. Equal rows give equal rows. Special tokens are ordinary text.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -22,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import ship, text_rows
+from weftline.llm.common import settle, ship, text_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces kept per worker; bytes of pieces per query; bytes beyond which a piece is long.
-CACHE, CHUNK, LONG = 500_000, 1 << 19, 64
+#: Pieces kept per worker; bytes of pieces per query; characters of texts cut at once; bytes beyond which a piece is long.
+CACHE, CHUNK, GROUP, LONG = 200_000, 1 << 17, 1 << 20, 64
 
 _PAIRS = """
 SELECT w, min((rank::BIGINT << 32) | pos) AS best
@@ -73,7 +73,7 @@ class Encoder:
         ranks = read_ranks(path)
         merges = [(a, b, rank) for token, rank in ranks.items() for k in range(1, len(token))
                   if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)], ["l", "r", "rank"])  # noqa: F841
         words = pa.table([pa.array(ranks.values(), pa.int32()), pa.array([t.hex() for t in ranks])], ["id", "hex"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
@@ -111,7 +111,7 @@ class Encoder:
                     self.known[piece_] = (" ".join(map(str, toks)), len(toks), data)
                 chunk, size = [], 0
 
-    def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
+    def pieces(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What is kept of each piece of each text; texts are taken in groups, so new pieces are encoded together."""
         for group in _groups(texts):
             cut = [self.split(t) for t in group]
@@ -125,7 +125,7 @@ class Encoder:
                 yield [self.known[w] for w in words]
 
 
-def _groups(texts: list[str], size: int = 1 << 23) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str], size: int = GROUP) -> Iterator[list[str]]:
     group, held = [], 0
     for t in texts:
         group.append(t)
@@ -141,10 +141,12 @@ def _run(path: str, row, kinds: dict[str, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            rows = [row(parts) for parts in encoder.pieces([t.decode() for t in text_rows(batch)])]
+            rows = [row(parts) for parts in encoder.pieces(t.decode() for t in text_rows(batch))]
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
+        encoder.known.clear()
+        settle()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import shutil
@@ -22,37 +23,66 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 MAX_LONG = (1 << 63) - 1
 
 
+#: Bytes of a row group of an intermediate table; what a writing task holds grows with it.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own if all run in this machine's one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    store, at = _located(spark, path)
+    store.deleteOnExit(at)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._weftline_path = path
     return table
 
 
+def remove(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for table in tables:
+        if table is not None:
+            store, at = _located(table.sparkSession, table._weftline_path)
+            store.delete(at, True)
+
+
+def settle() -> None:
+    """Give freed memory back to the system at the end of a task; an idle Python worker keeps what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that no later step reads, and the shuffle files of finished steps.
 
     Spark removes shuffle files when the driver collects the plans that made them; one collection frees the plans and
     the next what they held.
     """
-    for table in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._weftline_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(*tables)
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -99,8 +129,9 @@ def components(edges: DataFrame) -> DataFrame:
         parent = materialize(
             both.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(order("u"), "m")["x"].alias("p")), "parents"
         )
+        old = mapping, left
         if mapping is None:
-            mapping = parent.select(F.col("u").alias("id"), F.col("p").alias("cur"))
+            mapping = materialize(parent.select(F.col("u").alias("id"), F.col("p").alias("cur")), "mapping")
         else:
             mapping = materialize(
                 mapping.join(parent, mapping.cur == parent.u, "left").select("id", F.coalesce("p", "cur").alias("cur")), "mapping"
@@ -109,7 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
         left = materialize(
             left.join(a, "u").join(b, "v").where("pu <> pv").select(*edge("pu", "pv")).distinct(), "edges"
         )
+        remove(*old, parent)
     if mapping is None:
         return left.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    remove(left)
     least = mapping.groupBy("cur").agg(F.min("id").alias("component_id"))
     return mapping.join(least, "cur").select("id", "component_id")

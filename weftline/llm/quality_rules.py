@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ship, text_rows
+from weftline.llm.common import settle, ship, text_rows
 
 #: Size of both multinomials.
 N_BUCKETS = 1 << 16
@@ -38,7 +38,7 @@ _SHIFT = np.uint64(48)
 class Hashes(dict):
     """Word -> 64-bit hash, computed once per word; emptied when it grows past ``bound`` words."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 
@@ -104,6 +104,8 @@ def _counts(trusted: np.ndarray):
                         flush(0), flush(1)
                         size = 0
             flush(0), flush(1)
+        hashes.clear()
+        settle()
         at = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "n_target", "n_raw"])
 
@@ -161,6 +163,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             columns = list(zip(*_judged(batch, hashes, ratios.value, threshold), strict=True)) or [[]] * len(names)
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", *names])
+        hashes.clear()
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id long, {FIELDS}")
 
@@ -174,5 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         hashes = Hashes()
         for batch in batches:
             yield batch.filter(pa.array([row[-1] for row in _judged(batch, hashes, ratios.value, threshold)], pa.bool_()))
+        hashes.clear()
+        settle()
 
     return docs.mapInArrow(keep, docs.schema)

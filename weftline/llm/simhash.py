@@ -14,6 +14,7 @@ streams the visitors, and reports one edge to a local root for each vertex it jo
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,12 +65,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _remainders() -> np.ndarray:
-    """Remainder of every 23-bit word modulo the generator: zero for code words, one of 2,048 cosets otherwise."""
-    r = np.arange(1 << 23, dtype=np.int64)
-    for k in range(22, 10, -1):
-        r = np.where(r >> k & 1, r ^ (GOLAY << (k - 11)), r)
-    return r
+def remainders(words: np.ndarray) -> np.ndarray:
+    """Remainder of 23-bit words modulo the generator: zero for code words, one of 2,048 cosets otherwise.
+
+    It is linear, so the remainders of the twelve high bits' values are all that is kept.
+    """
+    return Golay.table()[0][words >> 11] ^ (words & 0x7FF)
+
+
+def _words_of_weight(k: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(23), k)], np.int64)
 
 
 class Golay:
@@ -80,22 +85,24 @@ class Golay:
     @classmethod
     def table(cls):
         if cls._made is None:
-            rest = _remainders()
-            weight = np.bitwise_count(np.arange(1 << 23))
-            near = np.flatnonzero(weight <= 3)
+            high = np.arange(1 << 12, dtype=np.int64) << 11
+            for k in range(22, 10, -1):
+                high = np.where(high >> k & 1, high ^ (GOLAY << (k - 11)), high)
+            rest = lambda words: high[words >> 11] ^ (words & 0x7FF)
+            near = np.concatenate([_words_of_weight(k) for k in range(4)])
             leader = np.zeros(1 << 11, np.int64)
-            leader[rest[near]] = near
-            far = np.flatnonzero(weight == 4)
-            far = far[np.argsort(rest[far], kind="stable")]
-            counts = np.bincount(rest[far], minlength=1 << 11)
-            cls._made = rest.astype(np.int16), leader, far, counts, np.cumsum(counts) - counts
+            leader[rest(near)] = near
+            far = np.sort(_words_of_weight(4))
+            far = far[np.argsort(rest(far), kind="stable")]
+            counts = np.bincount(rest(far), minlength=1 << 11)
+            cls._made = high, leader, far, counts, np.cumsum(counts) - counts
         return cls._made
 
     @classmethod
     def anchors(cls, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The anchor where each word lives, then row numbers and anchors of its visits beyond that one."""
-        rest, leader, far, counts, first = cls.table()
-        coset = rest[words]
+        _, leader, far, counts, first = cls.table()
+        coset = remainders(words)
         n = counts[coset]
         row = np.repeat(np.arange(len(words)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
