@@ -1,15 +1,17 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are sorted by range of page_id. Range boundaries come from an exact histogram of the payload bytes over the
-ids, so they depend on the table alone, not on how it was partitioned. Each shard is written by one task
+Records are sorted by page_id and payload digest and cut into shards of about equal payload bytes. The cuts are exact
+quantiles: the distinct (id, digest) keys are range-sorted with their bytes, and a key's place is the sum of what lies before it,
+whatever the partitioning. So ids may be dense, sparse, null or all the same. Each shard is written by one task
 that streams its records, one gzip member each, and rolls to a new file at a compressed size. A file is written under
 a temporary name and renamed when whole; a rerun task writes the same bytes to the same name. The list of files of a
 shard is its manifest row; the manifest is written last, and readers take only the files that it names.
 
 Payloads are the html in UTF-8 (null: empty). Of records with equal payloads of ``REVISIT_BYTES`` or more the one of
-least page_id is the response, the rest are revisits without a payload block; with a null page_id sorts last and is
-kept as null. Rows equal in page_id and payload are written as they come, and are all responses if theirs is the least id.
-The folder may be on any store that pyarrow reaches (``file``, ``hdfs``, ``s3``...).
+least page_id is the response, the rest are revisits without a payload block; a null page_id sorts last and is
+kept as null. Rows equal in page_id and payload are written as they come, and are all responses if theirs is the least id;
+they share a shard. A page of any size is one record. An empty table gives no file and an empty result; other columns are not
+read. The folder may be on any store that pyarrow reaches (``file``, ``hdfs``, ``s3``...).
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MAX_LONG, fresh_dir, materialize, ship
+from weftline.llm.common import MAX_LONG, fresh_dir, materialize, remove, ship
 
 REVISIT_BYTES = 100
 #: Compressed bytes at which a file is closed, gzip level.
@@ -34,38 +38,63 @@ ROLL_BYTES, LEVEL = 16 << 20, 2
 SHARD_SPLIT, SHARD_LEAST, SHARD_MOST = 64, 1 << 20, 512 << 20
 #: Files of a manifest up to which it is broadcast to the readers (names of 26 bytes).
 MANIFEST_BROADCAST = 200_000
-#: Id ranges of the histogram at most.
-BINS = 4096
+#: Bytes that a record has besides its payload, about.
+OVERHEAD = 512
 #: Records carry one fixed date, so archives of one table are equal byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 _NULL_ID = "null"
 
 
-def shard_starts(docs: DataFrame, shard_bytes: int | None = None) -> list[int]:
-    """First id of each shard: cuts of the ids' byte histogram, of a bounded number of bins."""
-    low, high = docs.agg(F.min("id"), F.max(F.when(F.col("id") < MAX_LONG, F.col("id")))).head()
-    if low is None:
+def shard_starts(described: DataFrame, shard_bytes: int | None = None) -> list[tuple[int, int]]:
+    """First (id, mark) of each shard, in order: one key for each shard's bytes, so few."""
+    keys = described.groupBy("id", "mark").agg(F.sum(F.col("payload_bytes") + OVERHEAD).alias("size"))
+    ranged = materialize(keys.repartitionByRange("id", "mark").withColumn("part", F.spark_partition_id()), "keys")
+    parts = sorted(ranged.groupBy("part").agg(F.sum("size").alias("size")).collect())  # a row for each partition
+    total = sum(r["size"] for r in parts)
+    if not total:
         return []
-    high = low if high is None else high
-    width = (high - low) // BINS + 1
-    rows = (
-        docs.where(F.col("id") < MAX_LONG).groupBy(F.floor((F.col("id") - low) / width).alias("bin"))
-        .agg(F.sum("payload_bytes").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    )
-    shard_bytes = shard_bytes or min(SHARD_MOST, max(SHARD_LEAST, sum(size for _, size, _ in rows) // SHARD_SPLIT))
-    starts, held = [low], 0
-    for bin_, size, n in rows:
-        if held and held + size + 512 * n > shard_bytes:
-            starts.append(low + bin_ * width)
-            held = 0
-        held += size + 512 * n
+    shard_bytes = shard_bytes or min(SHARD_MOST, max(SHARD_LEAST, total // SHARD_SPLIT))
+    before, offsets = 0, []
+    for part, size in parts:
+        offsets.append((part, before))
+        before += size
+    ahead = described.sparkSession.createDataFrame(offsets, "part int, ahead long")
+    order = Window.partitionBy("part").orderBy("id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    placed = ranged.join(F.broadcast(ahead), "part").withColumn("shard", F.floor(place / shard_bytes))
+    starts = sorted(tuple(r["first"]) for r in placed.groupBy("shard").agg(F.min(F.struct("id", "mark")).alias("first")).collect())
+    remove(ranged)
     return starts
 
 
+def _shard(starts: list[tuple[int, int]]):
+    """The shard of an (id, mark): the number of starts at or below it, less one. Only these two columns pass to Python."""
+    ids, marks = (np.array([s[k] for s in starts] or [0], np.int64) for k in (0, 1))
+
+    @F.pandas_udf("int")
+    def shard(id_: pd.Series, mark: pd.Series) -> pd.Series:
+        id_, mark = id_.to_numpy(), mark.to_numpy()
+        low, high = np.searchsorted(ids, id_, "left"), np.searchsorted(ids, id_, "right")
+        below = low.copy()
+        for split in np.unique(id_[high > low]):  # ids at which a shard starts
+            rows = np.flatnonzero(id_ == split)
+            a, b = low[rows[0]], high[rows[0]]
+            below[rows] = a + np.searchsorted(marks[a:b], mark[rows], "right")
+        return pd.Series(np.maximum(below - 1, 0).astype(np.int32))
+
+    return shard
+
+
+def _mark(digest: Column) -> Column:
+    """The first 60 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def digests(pages: DataFrame) -> DataFrame:
-    """(id, payload_bytes, payload_digest) of every page; id is page_id, null as the greatest long."""
+    """(id, payload_bytes, payload_digest, mark) of every page; id is page_id, null as the greatest long."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    return pages.select(F.coalesce("page_id", F.lit(MAX_LONG)).alias("id"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    named = pages.select(F.coalesce("page_id", F.lit(MAX_LONG)).alias("id"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    return named.withColumn("mark", _mark(F.col("payload_digest")))
 
 
 def revisits(described: DataFrame) -> DataFrame:
@@ -139,10 +168,10 @@ class _Files:
 def _writer(folder: str, roll: int, level: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, refers, at = _Files(folder, roll), {}, None
-        for batch in batches:  # of each id the revisit rows come first, then its pages
-            for shard, id_, page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if id_ != at:
-                    refers, at = {}, id_
+        for batch in batches:  # of each (id, mark) the revisit rows come first, then its pages
+            for shard, id_, mark, page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (id_, mark) != at:
+                    refers, at = {}, (id_, mark)
                 if refers_to is not None:
                     refers[digest] = refers_to
                 else:
@@ -165,18 +194,19 @@ def write_archive(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_b
     store.create_dir(path)
     described = materialize(digests(pages), "digests")
     starts = shard_starts(described, shard_bytes)
-    # the number of starts at or below an id, less one: starts are few, one for each shard's bytes
-    shard = F.greatest(F.lit(0), F.size(F.filter(F.lit(starts or [0]), lambda s: s <= F.col("id"))) - 1).alias("shard")
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
     key = F.coalesce("page_id", F.lit(MAX_LONG)).alias("id")
-    rows = pages.select(key, "page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    mark = _mark(F.sha2(F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")), 256)).alias("mark")
+    rows = pages.select(key, mark, "page_id", "url", "html", null("digest", "string"), null("refers_to", "long"))
     again = revisits(described).select(
-        "id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
-        F.col("payload_digest").alias("digest"), "refers_to",
+        "id", _mark(F.col("payload_digest")).alias("mark"), null("page_id", "long"), null("url", "string"), null("html", "string"), F.col("payload_digest").alias("digest"), "refers_to"
     )
-    both = rows.unionAll(again).select(shard, "*")
-    dealt = both.repartitionByRange(max(1, len(starts)), "shard").sortWithinPartitions("shard", "id", F.asc_nulls_last("refers_to"), "url", "html")
+    both = rows.unionAll(again).select(_shard(starts)("id", "mark").alias("shard"), "*")
+    order = ["shard", "id", "mark", F.asc_nulls_last("refers_to"), "url", "html"]
+    dealt = both.repartitionByRange(max(1, len(starts)), "shard").sortWithinPartitions(*order)
     manifest = dealt.mapInArrow(_writer(folder, roll, level), "name string, records long, bytes long, sha256 string")
     manifest.write.parquet(f"{folder}/_manifest")
+    remove(described)
     return spark.read.parquet(f"{folder}/_manifest")
 
 
