@@ -1,13 +1,16 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 Every rolling word 3-gram of every document is hashed and joined to the positions of the same 3-gram in the
-license templates, which are a few hundred words in all and broadcast (their size is checked). Each hit votes for a diagonal, its
+license templates: notices of a line and whole licence texts, some three thousand words in all, which are broadcast
+(their size is checked). Each hit votes for a diagonal, its
 position in the document less that in the template; diagonals at most ``SLACK`` apart are merged, so a few inserted
 or lost words do no harm, and a merged diagonal is verified by the share of the template's words that its hits
 cover. Base phrases are found by the same join, exactly: a phrase's own grams, all on one diagonal.
 
-Words are runs of ASCII digits, lower-case letters (A-Z are lowered) and non-ASCII characters. Null text has none.
-Rows equal in doc_id and text get equal results; null ids pass through.
+Words are runs of ASCII digits, lower-case letters (A-Z are lowered) and non-ASCII characters. Null text has none: its
+counts are 0, its places null and its labels empty. Very long texts are one row whose words are held at once; only hits leave it.
+Rows equal in doc_id and text get equal results; null ids pass through; other columns are not read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,29 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.license_texts import NOTICES, TEXTS
+
 K, SLACK, COVER = 3, 2, 0.8
 #: Template words that a broadcast may hold.
 MOST_WORDS = 100_000
 #: Phrases of the contract and their labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Public license notices and their labels (fixed values).
-TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Licensed under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License"),
-    ("agpl", "under the terms of the GNU Affero General Public License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
+#: Notices and whole texts, and their labels.
+TEMPLATES = (*NOTICES, *TEXTS)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
