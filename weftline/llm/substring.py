@@ -1,24 +1,30 @@
-"""Substring dedup over recurring phrases, which a hash join locates.
+"""Substring dedup by automata over recurring phrases.
 
-A *window* is 20 consecutive words; a *phrase* is the 5 consecutive words of a window whose hash is least (the
+A *window* is 20 consecutive words; a *phrase* is the 8 consecutive words of a window whose hash is least (the
 first of equals). Equal windows have equal phrases at equal offsets, so a window can repeat only if its phrase recurs.
-
-1. Count phrases: one hash per choice, about a ninth of the words, summed over the corpus; those seen twice recur.
-2. Route the recurring phrases to the documents that hold them: this join by hash does the locating. Each task compiles
-   those of its batch of documents into an automaton (pyahocorasick over words spelled by bits of their hashes, no larger
-   than the text it serves) and reads them again in that batch; no automaton sees documents outside its batch.
-3. Consecutive windows that share an occurrence form a *segment* of at most 35 words. Equal segments repeat all
-   their windows, so the first of them stands for the others; only where one phrase has several different
-   segments are single windows compared. Whatever is not first in (doc_id, start) is removed.
-
-Hashes are 64 bits for words, phrases and texts, 160 for segments (with their phrase's) and 96 for windows.
-Null and empty texts have no words. A null doc_id sorts last. Rows equal in doc_id and text count as one
-document: neither is earlier than the other. Other columns of the input are not read.
+Documents are dealt by hash into *buckets* of about ``BUCKET`` bytes of text, whatever their ids.
+
+1. Count: hashes of the chosen phrases, about one for seven words, are summed over the corpus. Those seen twice are
+   sent to the buckets that hold them.
+2. Confirm: each bucket spells these phrases, and the corpus counts them again by their words. The passages that recur
+   so are what the automata are made of.
+3. Locate: the confirmed phrases that a bucket may hold are cut into shards of bounded size, each compiled into an
+   Aho-Corasick automaton (pyahocorasick) whose letters are whole words. Every document of the bucket streams through
+   every shard, and only where an automaton reports an occurrence is anything looked at further.
+4. Mark: consecutive windows that share an occurrence form a *segment* of at most 32 words. Equal segments (by a
+   128-bit BLAKE2 digest of their words) repeat all their windows, so the first stands for the others; only
+   where one phrase has several different segments are single windows compared, by 96 bits of hashes. Whatever is not
+   first in (doc_id, start) is removed.
+
+Null and empty texts have no words. A null doc_id sorts last. Rows equal in doc_id and text count as one document:
+neither is earlier than the other. Different texts of one doc_id are ordered by start as if they were one document.
+Very long texts are a bucket of their own. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,10 +35,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MAX_LONG, materialize, release, ship, text_rows
+from weftline.llm.common import MAX_LONG, materialize, release, remove, settle, ship, text_rows
 
-WINDOW, PHRASE = 20, 5
+WINDOW, PHRASE = 20, 8
 SPAN = WINDOW - PHRASE + 1
+#: Bytes of text in a bucket, on average; phrases of one automaton at most.
+BUCKET, SHARD = 4 << 20, 100_000
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -104,7 +112,7 @@ class WordHashes:
         return self.rolling.ranges(self.rolling.prefix(self.table[data]), change[::2], change[1::2])
 
 
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,91 +137,150 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(phrase, doc, n): a document's chosen phrases and how often each is chosen."""
-    hashes, rolling = WordHashes(), Rolling(BASES[0])
+    """(h, bucket, n): hashes of the phrases that a batch's documents of a bucket choose, and how often."""
+    hashes, rolling = WordHashes(), Rolling(BASE)
+    for batch in batches:
+        h, b = [], []
+        for text, bucket in zip(text_rows(batch), np.array(batch.column("bucket")), strict=True):
+            words = hashes.of(text)
+            if len(words) >= WINDOW:
+                phrase, pick, _ = chosen(rolling.prefix(words), rolling)
+                h.append(phrase[pick]), b.append(np.full(len(pick), bucket, np.int32))
+        if h:
+            h, b = np.concatenate(h), np.concatenate(b)
+            order = np.lexsort((h, b))
+            h, b = h[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])]))
+            n = np.diff(np.concatenate([first, [len(h)]])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(b[first]), pa.array(n)], ["h", "bucket", "n"])
+    settle()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(bucket, kind, rows): rows come sorted by bucket, phrases (kind 0) before documents (kind 1)."""
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], []]
-        for text, doc in zip(text_rows(batch), np.array(batch.column("doc")), strict=True):
+        bucket, kind = (np.array(batch.column(c)) for c in ("bucket", "kind"))
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+            if b > a:
+                yield int(bucket[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase, bucket, n): words of the phrases of a bucket whose hashes recur, joined by a space."""
+    hashes, rolling = WordHashes(), Rolling(BASE)
+    bucket, parts, wanted, counts = None, [], None, {}
+
+    def result() -> pa.RecordBatch:
+        columns = [pa.array(counts.keys(), pa.binary()), pa.array([bucket] * len(counts), pa.int32()), pa.array(counts.values(), pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["phrase", "bucket", "n"])
+
+    for number, kind, rows in _runs(batches):
+        if number != bucket:
+            if counts:
+                yield result()
+            bucket, parts, wanted, counts = number, [], None, {}
+        if kind == 0:
+            parts.append(np.array(rows.column("h")).view(np.uint64))
+            continue
+        if not parts:
+            continue
+        if wanted is None:
+            wanted = np.unique(np.concatenate(parts))
+        for text in unpacked(rows):
             h = hashes.of(text)
-            if len(h) >= WINDOW:
-                phrase, pick, _ = chosen(rolling.prefix(h), rolling)
-                found, n = np.unique(phrase[pick], return_counts=True)
-                out[0].append(found.view(np.int64)), out[1].append(np.full(len(found), doc)), out[2].append(n.astype(np.int32))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["phrase", "doc", "n"])
+            if len(h) < WINDOW:
+                continue
+            phrase, pick, _ = chosen(rolling.prefix(h), rolling)
+            some = phrase[pick]
+            pick = pick[wanted[np.minimum(np.searchsorted(wanted, some), len(wanted) - 1)] == some]
+            if len(pick):
+                words = text.split()
+                for p in pick.tolist():
+                    spelling = b" ".join(words[p : p + PHRASE])
+                    counts[spelling] = counts.get(spelling, 0) + 1
+    if counts:
+        yield result()
+    settle()
 
 
-#: Letters of a word in the automaton: 24 bits of its hash, four of an alphabet of 64, so nodes branch little. Words that
-#: share them may only locate more than recurs, which the comparison of segments settles.
-LETTERS = 4
+class Shard:
+    """An automaton over some phrases whose letters are their words."""
 
+    def __init__(self, phrases: list[bytes]):
+        words = [p.split(b" ") for p in phrases]
+        self.letters = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(words)), 1)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in words:
+            self.automaton.add_word(self.spell(p))
+        self.automaton.make_automaton()
 
-def spelled(h: np.ndarray) -> str:
-    letters = (h[:, None] >> np.arange(40, 40 + 6 * LETTERS, 6, dtype=np.uint64) & np.uint64(63)) + np.uint64(48)
-    return letters.astype(np.uint8).tobytes().decode("ascii")
+    def spell(self, words: list[bytes]) -> str:
+        """One character a word; words of no phrase are all the same one. Surrogates, which are no characters, are left out."""
+        letters = np.fromiter(map(self.letters.get, words, itertools.repeat(0)), np.uint32, len(words))
+        letters[letters >= 0xD800] += 0x800
+        return letters.tobytes().decode("utf-32-le")
 
+    def hits(self, words: list[bytes]) -> np.ndarray:
+        """Positions at which a phrase starts."""
+        return np.fromiter((end for end, _ in self.automaton.iter(self.spell(words))), np.int64) - (PHRASE - 1)
 
-def _shards(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[list[tuple]]:
-    """Groups of about ``size`` bytes of text: (text, recurring phrases, d, variant)."""
-    group, held = [], 0
-    for batch in batches:
-        phrases = batch.column("phrases")
-        for row, text in enumerate(unpacked(batch)):
-            group.append((text, np.array(phrases[row].values).view(np.uint64), batch.column("d")[row].as_py(), batch.column("variant")[row].as_py()))
-            held += len(text)
-            if held >= size:
-                yield group
-                group, held = [], 0
-    if group:
-        yield group
+
+def shards(phrases: list[bytes], size: int = SHARD) -> list[Shard]:
+    return [Shard(phrases[k : k + size]) for k in range(0, len(phrases), size)]
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the documents of each shard, from an automaton over the shard's recurring phrases."""
-    hashes, one, two = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
-    names = ["phrase", "a", "b", "d", "variant", "start", "n", "windows"]
-    for shard in _shards(batches):
-        w, automaton, held = LETTERS, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
-        for text, recurring, d, variant in shard:
-            h = hashes.of(text)
-            if len(h) < WINDOW:
+    """Segments around the occurrences that a bucket's automata report."""
+    hashes, one, two = WordHashes(), Rolling(BASE), Rolling(OTHER)
+    names = ["h", "a", "b", "d", "variant", "start", "n", "windows"]
+    bucket, parts, automata = None, set(), None
+    for number, kind, rows in _runs(batches):
+        if number != bucket:
+            bucket, parts, automata = number, set(), None
+        if kind == 0:
+            parts.update(rows.column("phrase").to_pylist())
+            continue
+        if not parts:
+            continue
+        if automata is None:
+            automata = shards(sorted(parts))
+        out: list[list] = [[] for _ in names]
+        for text, d, variant in zip(unpacked(rows), rows.column("d").to_pylist(), rows.column("variant").to_pylist(), strict=True):
+            words = text.split()
+            if len(words) < WINDOW:
+                continue
+            located = np.zeros(len(words), bool)
+            for automaton in automata:
+                located[automaton.hits(words)] = True
+            if not located.any():
                 continue
-            coded = spelled(h)
+            h = hashes.of(text)
             p1 = one.prefix(h)
             phrase, pick, first = chosen(p1, one)
-            for p in pick[np.isin(phrase[pick], recurring)].tolist():
-                automaton.add_word(coded[p * w : (p + PHRASE) * w])
-            held.append((h, p1, coded, phrase[pick], pick, first, d, variant))
-        if not len(automaton):
-            continue
-        automaton.make_automaton()
-        out: list[list] = [[] for _ in names]
-        for h, p1, coded, phrase, pick, first, d, variant in held:
-            end = np.fromiter((end for end, _ in automaton.iter(coded)), np.int64) + 1
-            located = np.zeros(len(h), bool)
-            located[end[end % w == 0] // w - PHRASE] = True  # other ends lie within a word
             last = np.concatenate([first[1:], [len(h) - WINDOW + 1]])
             keep = located[pick]
             if not keep.any():
                 continue
-            phrase, first, last = phrase[keep], first[keep], last[keep]
+            phrase, first, last = phrase[pick[keep]], first[keep], last[keep]
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            begin, end = (ends[first - 1] * (first > 0)).tolist(), (ends[last + WINDOW - 2] - 1).tolist()
+            digest = b"".join([hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in zip(begin, end, strict=True)])
+            a, b = np.frombuffer(digest, np.int64).reshape(-1, 2).T
             p2 = two.prefix(h)
             key = one.every(p1, WINDOW) ^ two.every(p2, WINDOW) * _MIX
-            end = last + WINDOW - 1
             n = last - first
             inside = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for column, x in zip(
-                out,
-                (
-                    phrase.view(np.int64), one.ranges(p1, first, end).view(np.int64), (two.ranges(p2, first, end) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    np.full(len(first), d), np.full(len(first), variant), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64),
-                ), strict=True,
-            ):
+                out, (phrase.view(np.int64), a, b, np.full(len(n), d), np.full(len(n), variant), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64)), strict=True
+            ):
                 column.append(x)
         if out[0]:
             *flat, windows = (np.concatenate(x) for x in out)
             offsets = np.concatenate([[0], np.cumsum(flat[-1])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows))], names)
+    settle()
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -224,21 +291,45 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce("doc_id", F.lit(MAX_LONG)).alias("d"), F.xxhash64("text").alias("variant"))
 
 
+def _beside(needles: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of both by bucket, the phrases of a bucket before its documents."""
+    (needle, kind), *_ = [x for x in needles.dtypes if x[0] != "bucket"]
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    first = needles.select("bucket", F.lit(0).alias("kind"), needle, null("d", "long"), null("variant", "long"), null("text", "binary"))
+    second = docs.select("bucket", F.lit(1).alias("kind"), null(needle, kind), "d", "variant", "text")
+    return first.unionAll(second).repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
 def segments(docs: DataFrame) -> DataFrame:
-    """Table of located segments: phrase, (a, b) its key, (d, variant) its document, start, n windows and their keys."""
-    ship(docs.sparkSession)
-    # one key of a document's id and text, so that no list of phrases is longer than its own text whatever the ids; documents
-    # that share it by chance get each other's recurring phrases, which changes nothing
-    rows = keyed(docs, "text").withColumn("doc", F.xxhash64("d", "variant"))
-    phrases = materialize(rows.select("doc", "text").mapInArrow(_phrases, "phrase long, doc long, n int"), "phrases")
-    recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    wanted = phrases.select("phrase", "doc").join(recurring, "phrase").groupBy("doc").agg(F.collect_set("phrase").alias("phrases"))
-    located = packed(rows).join(wanted, "doc").mapInArrow(
-        _located, "phrase long, a long, b int, d long, variant long, start int, n int, windows array<long>"
+    """Table of located segments: h, their phrase's hash; (a, b), their key; (d, variant), the document; start, n windows and their keys."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = keyed(docs, "text")
+    sizes = materialize(rows.select("d", "variant", F.octet_length("text").alias("bytes")), "sizes")
+    total = sizes.agg(F.sum("bytes")).head()[0] or 0
+    bucket = F.pmod(F.xxhash64("d", "variant"), F.lit(total // BUCKET + 1)).cast("int").alias("bucket")
+    counted = rows.select("text", bucket).mapInArrow(_phrases, "h long, bucket int, n int")
+    phrases = materialize(counted, "phrases")
+    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    wanted = materialize(phrases.join(recurring, "h").select("bucket", "h"), "wanted")
+    del counted, recurring
+    release(spark, phrases)
+    frames = packed(rows.select(bucket, "d", "variant", "text"))
+    if not sizes.groupBy("d", "variant").count().where("count > 1").isEmpty():
+        frames = frames.dropDuplicates(["d", "variant"])  # of equal rows one, lest a group of them fill a bucket
+    frames = materialize(frames, "texts")
+    spelled = materialize(_beside(wanted, frames).mapInArrow(_spelled, "phrase binary, bucket int, n int"), "spelled")
+    remove(wanted, sizes)
+    confirmed = spelled.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
+    needles = materialize(spelled.join(confirmed, "phrase").select("bucket", "phrase"), "confirmed")
+    del confirmed
+    release(spark, spelled)
+    located = _beside(needles, frames).mapInArrow(
+        _located, "h long, a long, b long, d long, variant long, start int, n int, windows array<long>"
     )
     found = materialize(located, "segments")
-    del recurring, wanted, located
-    release(docs.sparkSession, phrases)
+    del located
+    release(spark, needles, frames)
     return found
 
 
@@ -247,31 +338,29 @@ def removals(docs: DataFrame) -> DataFrame:
     spark, found = docs.sparkSession, segments(docs)
     place = F.struct("d", "start")
     later = place > F.col("first")
-    single = _repeated_windows(found, place, later)
-    first = found.groupBy("a", "b", "phrase").agg(F.min(place).alias("first"))
-    short = found.select("a", "b", "phrase", "d", "variant", "start", "n")
-    whole = materialize(short.join(first, ["a", "b", "phrase"]).where(later).select("d", "variant", "start", "n"), "repeated")
-    del first, short
-    release(spark, found)
+    first = materialize(found.groupBy("a", "b").agg(F.min("h").alias("h"), F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first")
+    single = _repeated_windows(found, first, place, later)
+    again = first.where("times > 1").select("a", "b", "first")
+    whole = materialize(found.drop("windows").join(again, ["a", "b"]).where(later).select("d", "variant", "start", "n"), "repeated")
+    del again
+    release(spark, found, first)
     return whole.unionAll(single).groupBy("d", "variant").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
-def _repeated_windows(found: DataFrame, place, later) -> DataFrame:
+def _repeated_windows(found: DataFrame, first: DataFrame, place, later) -> DataFrame:
     """Table of the single windows (d, variant, start, 1) that repeat part of a different segment of their phrase."""
-    first = found.groupBy("a", "b", "phrase").agg(F.min(place).alias("first"))
-    disputed = first.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("phrase")
-    heads = first.join(disputed, "phrase").select("a", "b", "phrase", "first.d", "first.start")
-    windows = found.join(heads, ["a", "b", "phrase", "d", "start"]).select(
-        F.shiftright("phrase", 32).cast("int").alias("phrase"), "d", "variant", "start", F.posexplode("windows").alias("k", "window")
-    ).select("phrase", "window", "d", "variant", (F.col("start") + F.col("k")).alias("start"))
+    spark = found.sparkSession
+    disputed = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    heads = first.join(disputed, "h").select("a", "b", "first.d", "first.start")
+    windows = found.join(heads, ["a", "b", "d", "start"]).select(
+        F.shiftright("h", 32).cast("int").alias("h"), "d", "variant", "start", F.posexplode("windows").alias("k", "window")
+    ).select("h", "window", "d", "variant", (F.col("start") + F.col("k")).alias("start"))
     windows = materialize(windows, "windows")
-    del first, disputed, heads
-    release(found.sparkSession)
-    earliest = windows.groupBy("phrase", "window").agg(F.min(place).alias("first"))
-    repeated = windows.join(earliest, ["phrase", "window"]).where(later).select("d", "variant", "start", F.lit(1).alias("n"))
-    single = materialize(repeated, "repeated")
-    del earliest, repeated
-    release(found.sparkSession, windows)
+    del disputed, heads
+    release(spark)
+    earliest = materialize(windows.groupBy("h", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "earliest")
+    single = materialize(windows.join(earliest, ["h", "window"]).where(later).select("d", "variant", "start", F.lit(1).alias("n")), "repeated")
+    release(spark, windows, earliest)
     return single
 
 
