@@ -2,21 +2,26 @@
 
 Vectors are normalised in double precision; cosine >= 0.98 is then a distance of at most 0.2. Each of ``TABLES`` tables
 quantises ``PROJECTIONS`` random Gaussian projections of a vector into cells of ``WIDTH`` and uses the cells (with the
-label) as its bucket. Buckets are compared exactly. A pair at the threshold shares a cell of one projection with
-probability 0.867, so it misses all tables with probability (1 - 0.867**8)**40, below 4e-7; closer pairs miss less.
-
-Equal vectors of a label are one vertex that counts its copies, so they never multiply. A bucket is dealt into blocks
-and every pair of blocks is compared once, so no task gathers a large bucket; a pair found in several tables counts
-only in the first, which both sides' buckets tell. Comparisons report a count for each vector and one edge to a
+label) as its bucket. A pair at the threshold shares a cell of one projection with probability 0.920, so it misses all
+tables with probability (1 - 0.920**13)**36, below 4e-7; closer pairs miss less.
+
+Only numbers are shuffled by bucket: a vector's node, its bucket and 64 signs of further projections. Buckets of one are
+dropped; the others are dealt into blocks and every pair of blocks is met once, so no task gathers a large bucket. Who has no
+partner there within ``SIGNS`` differing signs (a pair at the threshold has more with probability below 1e-9) is
+dropped as well. Vectors are joined to what is left, and all pairs of blocks compared exactly; a pair found in several tables
+counts only in the first, which both sides' buckets tell. Comparisons report a count for each vector and one edge to a
 local root for each vertex that is joined, never all pairs.
 
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those without a
-label; their component is their own id. Vectors of different lengths link with nothing. Rows equal in vec_id count as
-different vectors with one id.
+Equal vectors of a label are one vertex that counts its copies, so they never multiply. Vectors that are null, empty,
+zero, or hold null or non-finite components link with nothing, nor do those without a label; their component is their own
+id. Vectors of different lengths link with nothing. Rows equal in vec_id count as different vectors with one id. Vectors
+may be of any length; a block holds at most about ``BLOCK`` a side. Other columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, materialize, ship
+from weftline.llm.common import components, materialize, remove, ship
 
 THRESHOLD = 0.98
-TABLES, PROJECTIONS, WIDTH, SEED = 40, 8, 1.2, 17
-#: Vectors of a bucket in one block.
-BLOCK = 512
+TABLES, PROJECTIONS, WIDTH, SEED = 36, 13, 2.0, 17
+#: Differing signs of 64 up to which a pair may be close; vectors of a bucket in one block.
+SIGNS, BLOCK = 20, 512
 
 
 def planes(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projections, offsets and odd multipliers for vectors of a length; the same everywhere."""
+    """Projections (those of the tables, then 64 for signs), offsets and odd multipliers for vectors of a length; the same everywhere."""
     rng = np.random.default_rng([SEED, dims])
     n = TABLES * PROJECTIONS
-    return rng.standard_normal((dims, n)), rng.uniform(0, WIDTH, n), rng.integers(1, 1 << 62, (TABLES, PROJECTIONS), np.int64) * 2 + 1
+    return rng.standard_normal((dims, n + 64)), rng.uniform(0, WIDTH, n), rng.integers(1, 1 << 62, (TABLES, PROJECTIONS), np.int64) * 2 + 1
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -44,26 +49,74 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-def cells(unit: np.ndarray) -> np.ndarray:
-    """Bucket number of each vector in each table."""
+def cells(unit: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each vector in each table, and its signs."""
     a, b, odd = planes(unit.shape[1])
-    cell = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, PROJECTIONS)
-    return (cell * odd).sum(axis=2)
+    seen = unit @ a
+    cell = np.floor((seen[:, : len(b)] + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, PROJECTIONS)
+    key = ((cell * odd).sum(axis=2) + (labels.astype(np.int64) * 1_000_003 + unit.shape[1])[:, None] * odd[:, 0] + np.arange(TABLES)).view(np.uint64)
+    key = (key ^ key >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    signs = np.packbits(seen[:, len(b) :] > 0, axis=1).view(np.int64)[:, 0]
+    return (key ^ key >> np.uint64(29)).view(np.int64), signs
+
+
+def _by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of each length."""
+    lengths = np.array(lists.value_lengths().fill_null(0))
+    for dims in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == dims)
+        yield rows, np.array(lists.take(pa.array(rows)).flatten(), np.float64).reshape(-1, dims)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, signs, bucket): a row for each table."""
     for batch in batches:
-        lists = batch.column("embedding")
-        lengths = np.array(lists.value_lengths().fill_null(0))
-        for dims in np.unique(lengths[lengths > 0]).tolist():
-            rows = np.flatnonzero(lengths == dims)
-            some = lists.take(pa.array(rows))
-            found = cells(_unit(np.array(some.flatten(), np.float64).reshape(-1, dims)))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, TABLES, dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("node", "label", "embedding", "copies")), keys], ["node", "label", "embedding", "copies", "keys"])
+        node, label = np.array(batch.column("node")), np.array(batch.column("label"))
+        for rows, vectors in _by_length(batch.column("embedding")):
+            for k in range(0, len(rows), 2048):
+                some = rows[k : k + 2048]
+                keys, signs = cells(_unit(vectors[k : k + 2048]), label[some])
+                columns = np.repeat(node[some], TABLES), np.repeat(signs, TABLES), keys.ravel()
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["node", "signs", "bucket"])
+
 
+KEY = ["bucket", "i", "j"]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups of equal ``KEY`` and the rows at which one starts; rows come sorted by it."""
+    left: pa.RecordBatch | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and left is not None:
+            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0] if left.num_rows + batch.num_rows else batch
+        last, batch = batch is None, left if batch is None else batch
+        if batch is None or not batch.num_rows:
+            continue
+        keys = np.stack([np.array(batch.column(c)).astype(np.int64) for c in KEY], 1)
+        starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+        left = None if last else batch.slice(starts[-1])
+        if last:
+            yield batch, starts
+        elif len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts[:-1]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a partner in their pair of blocks whose signs differ little."""
+    for batch, starts in _groups(batches):
+        n = batch.num_rows
+        ends = np.repeat(np.concatenate([starts[1:], [n]]), np.diff(np.concatenate([starts, [n]])))
+        signs, side = np.array(batch.column("signs")).view(np.uint64), np.array(batch.column("side"))
+        same = np.array(batch.column("i")) == np.array(batch.column("j"))
+        keep, row, k = np.zeros(n, bool), np.arange(n), 1
+        while len(row := row[row + k < ends[row]]):  # row against the k-th after it, where that is in its group
+            other = row + k
+            close = (np.bitwise_count(signs[row] ^ signs[other]) <= SIGNS) & (same[row] | (side[row] != side[other]))
+            keep[row[close]] = keep[other[close]] = True
+            k += 1
+        if keep.any():
+            yield batch.filter(pa.array(keep)).select([*KEY, "side", "node"])
+
 
 class Vectors:
     """Rows of one block of a bucket as arrays; all vectors are of one length."""
@@ -101,55 +154,26 @@ def _top(root: dict[int, int], n: int) -> int:
     return n
 
 
-KEY = ["table", "label", "bucket", "i", "j"]
-
-
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, i, j, side): the pairs of blocks one after another; the last waits for the next batch."""
-
-    def group(batch: pa.RecordBatch, a: int, b: int, out: list) -> None:
-        rows = batch.slice(a, b - a)
-        side, lists, root = np.array(rows.column("side")), rows.column("embedding"), {}
-        lengths = np.array(lists.value_lengths())
-        for dims in np.unique(lengths).tolist():
-            sides = []
-            for part in (0, 1):
-                at = np.flatnonzero((side == part) & (lengths == dims))
-                if len(at):
-                    some = rows.take(pa.array(at))
-                    sides.append(Vectors(
-                        np.array(some.column("node")), np.array(some.column("copies")),
-                        np.array(some.column("embedding").flatten(), np.float64).reshape(-1, dims), np.array(some.column("keys").flatten()).reshape(len(at), -1),
-                    ))
-            same = rows.column("i")[0] == rows.column("j")[0]
-            if same or len(sides) == 2:
-                link(sides[0], sides[-1], rows.column("table")[0].as_py(), root)
+    """(node, links, root) of what is linked within pairs of blocks."""
+
+    def group(rows: pa.RecordBatch, out: list) -> None:
+        side, label, node, copies = (np.array(rows.column(c)) for c in ("side", "label", "node", "copies"))
+        bucket, same, root = rows.column("bucket")[0].as_py(), rows.column("i")[0] == rows.column("j")[0], {}
+        for at, vectors in _by_length(rows.column("embedding")):
+            keys, _ = cells(_unit(vectors), label[at])
+            sides = [Vectors(node[at[one]], copies[at[one]], vectors[one], keys[one]) for part in (0, 1) if len(one := np.flatnonzero(side[at] == part))]
+            if len(sides) == 1 + (not same):
+                link(sides[0], sides[-1], keys[0].tolist().index(bucket), root)
             for s in sides:
                 new = s.links > 0
                 out.append((s.node[new], s.links[new], np.array([_top(root, n) for n in s.node[new].tolist()], np.int64)))
 
-    def result(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "links", "root"])
-
-    left: pa.RecordBatch | None = None
-    for batch in batches:
-        if left is not None:
-            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
-        if not batch.num_rows:
-            continue
-        keys = np.stack([np.array(batch.column(c)).astype(np.int64) for c in KEY], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+    for batch, starts in _groups(batches):
         out: list = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            group(batch, a, b, out)
-        left = batch.slice(cuts[-1])
-        if out:
-            yield result(out)
-    if left is not None and left.num_rows:
-        out = []
-        group(left, 0, left.num_rows, out)
-        if out:
-            yield result(out)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            group(batch.slice(a, b - a), out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "links", "root"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -160,20 +184,17 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(node, links, root) rows of ``nodes(node, label, embedding, copies)``: counts to be summed, edges to be united."""
-    hashed = nodes.mapInArrow(_hashed, "node long, label int, embedding array<float>, copies long, keys array<long>")
-    buckets = hashed.select("node", "label", F.posexplode("keys").alias("table", "bucket"))
-    sizes = (
-        buckets.groupBy("table", "label", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    )
-    placed = hashed.select("*", F.posexplode("keys").alias("table", "bucket")).join(sizes.drop("n"), ["table", "label", "bucket"])
+    hashed = nodes.select("node", "label", "embedding").mapInArrow(_hashed, "node long, signs long, bucket long")
+    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # of blocks i <= j a row belongs to its own with every other
-    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "table", "label", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "embedding", "copies", "keys",
+    dealt = hashed.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "signs"
     )
-    return dealt.repartition(*KEY).sortWithinPartitions(*KEY, "side").mapInArrow(_compared, "node long, links long, root long")
+    kinds = "bucket long, i int, j int, side int, node long"
+    near = dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_near, kinds)
+    placed = near.join(nodes.select("node", "label", "embedding", "copies"), "node")
+    return placed.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_compared, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
