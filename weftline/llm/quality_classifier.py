@@ -4,11 +4,13 @@ Eight labellers, column expressions over a text, vote good (1), bad (0) or nothi
 of at most 3**8 patterns, and the pattern counts over all documents are everything that expectation-maximisation
 needs: it estimates each labeller's accuracies and every pattern's posterior of good exactly, whatever the size of
 the corpus. The posteriors are the soft labels of a logistic regression on hashed words, fitted on a sample of documents of
-bounded size (``TRAIN_BOUND``, by hash of the id) and applied to every document. No given label is used; the table
-``labels`` serves to measure held-out accuracy.
+bounded size (``TRAIN_BOUND``, by hash of the id) and applied to every document. The verdict is the scorer's. No given label
+is used; the table ``labels`` serves to measure held-out accuracy.
 
-Null text is empty. Empty texts have no features: their score is the model's base rate, and ``kept`` follows the
-posterior of their votes. An empty table gives an empty result. Equal rows get equal results.
+Null text is empty. Texts without words have no features: they score 0 and are not kept. An empty table gives an
+empty result. Equal rows get equal results, null ids pass through, other columns are not read. Very long texts are one
+row: all their words count. Votes and scores are made in one pass over the rows without a shuffle; only the patterns' counts and
+the sample leave their tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, remove
 
 #: Documents on which the linear scorer is fitted, about; size of its feature space; score from which a text is kept.
 TRAIN_BOUND, FEATURES, KEEP = 20_000, 1 << 16, 0.5
@@ -60,18 +62,18 @@ def labellers() -> list[tuple[str, Column]]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, votes): a pattern of one digit per labeller for every row."""
+    """(doc_id, text, words, votes): a pattern of one digit per labeller for every row."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select("doc_id", "text", F.filter(F.split(text, _SPLIT), lambda w: w != "").alias("words"), F.split(text, "\n").alias("lines"))
     stop = sorted({w for line in STOP_WORDS for w in line.split()})
     counts = split.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"),
+        "doc_id", "text", "words", F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_lines_distinct"),
         F.size(F.filter("words", lambda w: w.isin(stop))).alias("n_stops"),
         *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).alias(n) for n, p in
           (("n_symbols", r"[#*$%&|<>]"), ("n_capitals", r"\p{Lu}"), ("n_marks", r"[!?|=~_^]"), ("n_letters", r"[^\x20\x09-\x0D]"))],
     )
-    return counts.select("doc_id", "key", F.concat(*[v.cast("string") for _, v in labellers()]).alias("votes"))
+    return counts.select("doc_id", "text", "words", F.concat(*[v.cast("string") for _, v in labellers()]).alias("votes"))
 
 
 def fit_labellers(patterns: list[tuple[str, int]], steps: int = STEPS) -> tuple[dict[str, float], np.ndarray]:
@@ -91,34 +93,29 @@ def fit_labellers(patterns: list[tuple[str, int]], steps: int = STEPS) -> tuple[
     return {p: float(x) for (p, _), x in zip(patterns, posterior, strict=True)}, chance
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    words = docs.withColumn("words", F.filter(F.split(F.coalesce("text", F.lit("")), _SPLIT), lambda w: w != ""))
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="hashed").transform(words)
+def _features(described: DataFrame) -> DataFrame:
+    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="hashed").transform(described)
     return Normalizer(inputCol="hashed", outputCol="features").transform(hashed).drop("hashed", "words")
 
 
 def classify(docs: DataFrame, bound: int = TRAIN_BOUND, keep: float = KEEP) -> DataFrame:
     """doc_id, votes, posterior, score, kept per row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    votes = materialize(described(docs), "votes")
-    patterns = sorted((r[0], r[1]) for r in votes.groupBy("votes").count().collect())  # 3**8 at most
+    rows = described(docs)
+    patterns = sorted((r[0], r[1]) for r in rows.groupBy("votes").count().collect())  # 3**8 at most
     posteriors, _ = fit_labellers(patterns)
-    schema = "doc_id long, votes string, posterior double, score double, kept boolean"
     if not patterns:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "doc_id long, votes string, posterior double, score double, kept boolean")
     table = F.broadcast(spark.createDataFrame(list(posteriors.items()), "votes string, posterior double"))
-    labelled = votes.join(table, "votes")
     total = sum(n for _, n in patterns)
     share = int(min(1.0, bound / total) * (1 << 20))
-    sampled = F.pmod(F.xxhash64(F.lit("train"), "key"), F.lit(1 << 20)) < share
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    train = keyed.where(sampled).join(labelled.where(sampled).groupBy("key").agg(F.first("posterior").alias("posterior")), "key")
-    soft = train.select("text", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("x"))
-    rows = materialize(_features(soft.select("text", "x.label", "x.weight")).select("features", "label", "weight"), "train")
-    model = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-4, standardization=False).fit(rows)
-    scored = model.transform(_features(keyed)).select("doc_id", "key", F.round(vector_to_array("probability")[1], 9).alias("score"))
-    by_key = labelled.groupBy("key").agg(F.first("votes").alias("votes"), F.first("posterior").alias("posterior"))
-    # three heuristics in four against one: a text is rejected when scorer and labellers together lean to bad
-    together = (F.col("score") + F.col("posterior")) / 2
-    return scored.join(by_key, "key").select("doc_id", "votes", "posterior", "score", (together >= keep).alias("kept"))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 20)) < share)
+    both = F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))
+    soft = _features(described(sample)).join(table, "votes").select("features", F.explode(both).alias("x")).select("features", "x.label", "x.weight")
+    train = materialize(soft, "train")
+    model = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-4, standardization=False).fit(train)
+    remove(train)
+    some = rows.withColumn("n", F.size("words"))
+    scored = model.transform(_features(some)).join(table, "votes")
+    score = F.when(F.col("n") > 0, F.round(vector_to_array("probability")[1], 9)).otherwise(F.lit(0.0))
+    return scored.select("doc_id", "votes", "posterior", score.alias("score")).withColumn("kept", F.col("score") >= keep)
