@@ -8,8 +8,9 @@ copies, none to ``CAP``: documents of a source are dealt by hash into groups of
 large to small, the rounding error is carried on, so a source's total stays within about its smallest documents of the
 target.
 
-Null text has size 0; empty documents take no words. A null source is a source of its own, the last. Rows equal in
-doc_id and text are rounded one by one in a fixed order. An empty table gives an empty result.
+Null text has size 0; empty documents take no words. A null source is a source of its own, the last. Equal rows are
+rounded one by one. Very long texts count whole; one larger than a target's slack leaves the error that no copies of it can
+settle. An empty table gives an empty result; other columns pass through ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,37 +95,52 @@ def balance(histogram: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFr
     return state.drop("gap")
 
 
-def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PLANNED = "key long, doc_id long, h long, size long, source_size long, target double, copies long"
+
+
+def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies of each document; rows come sorted by (source, group, size falling, id, hash), the error is carried on."""
+    names = [c.split()[0] for c in PLANNED.split(", ")]
     key, error = None, 0.0
     for rows in batches:
-        copies = np.empty(len(rows), np.int64)
-        keys = zip(rows["absent"].tolist(), rows["name"].tolist(), rows["part"].tolist(), strict=True)
-        for k, (now, size, rate) in enumerate(zip(keys, rows["size"].tolist(), rows["rate"].tolist(), strict=True)):
-            if now != key:
-                key, error = now, 0.0
+        copies = np.empty(rows.num_rows, np.int64)
+        columns = (rows.column(c).to_pylist() for c in ("absent", "name", "part", "size", "rate"))
+        for k, (absent, name, part, size, rate) in enumerate(zip(*columns, strict=True)):
+            if (absent, name, part) != key:
+                key, error = (absent, name, part), 0.0
             wish = error + rate * size
             copies[k] = min(int(CAP), max(0, int(np.floor(wish / size + 0.5)))) if size else round(rate)
             error = wish - copies[k] * size
-        yield rows.assign(copies=copies).drop(columns=["absent", "name", "part", "rate"])
+        yield pa.RecordBatch.from_arrays([*map(rows.column, names[:-1]), pa.array(copies)], names)
 
 
-def plan(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, size, source_size, target, copies) per row of ``docs(doc_id, text, source)``; h is the text's hash."""
+def plan(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(key, doc_id, h, size, source_size, target, copies) per row of ``docs(doc_id, text, source)``; h is the text's hash.
+
+    ``key`` names a row for whoever joins the plan to it. It decides nothing but the group of a row that more than a group's
+    number of rows equal, lest one group hold them all.
+    """
     ship(docs.sparkSession)
-    sized = materialize(docs.select("doc_id", F.xxhash64("text").alias("h"), *_source(), words_in("text").alias("size")), "sizes")
+    named = F.monotonically_increasing_id() if key is None else key
+    sized = materialize(docs.select(named.alias("key"), "doc_id", F.xxhash64("text").alias("h"), *_source(), words_in("text").alias("size")), "sizes")
     histogram = materialize(sized.groupBy(*_KEY, "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = histogram.groupBy(*_KEY).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     solved = balance(histogram, targets(sources.drop("docs"))).join(sources.drop("source_size"), _KEY)
     groups = F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP))
-    dealt = sized.join(solved, _KEY).select(
-        "doc_id", "h", *_KEY, "size", "source_size", "target", F.round(F.least(F.lit(CAP), F.exp("multiplier")), 12).alias("rate"),
-        F.pmod(F.xxhash64("doc_id", "h"), groups).alias("part"),
+    same = sized.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > GROUP)
+    spread = sized.withColumn("salt", F.lit(0).cast("long"))
+    if not same.isEmpty():
+        same = same.select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), F.ceil(F.col("times") / GROUP).alias("times"))
+        salted = sized.join(same, sized.doc_id.eqNullSafe(same.id) & (sized.h == same.hash), "left").drop("id", "hash")
+        spread = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), "times"), F.lit(0))).drop("times")
+    dealt = spread.join(solved, _KEY).select(
+        "key", "doc_id", "h", *_KEY, "size", "source_size", "target", F.round(F.least(F.lit(CAP), F.exp("multiplier")), 12).alias("rate"),
+        F.pmod(F.xxhash64("doc_id", "h", "salt"), groups).alias("part"),
     )
     order = [*_KEY, "part"]
     return (
-        dealt.repartition(*order).sortWithinPartitions(*order, F.desc("size"), F.asc_nulls_last("doc_id"), "h")
-        .mapInPandas(_round, "doc_id long, h long, size long, source_size long, target double, copies long")
+        dealt.repartition(*order).sortWithinPartitions(*order, F.desc("size"), F.asc_nulls_last("doc_id"), "h", "key")
+        .mapInArrow(_round, PLANNED)
     )
 
 
@@ -136,12 +152,11 @@ def report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents without words take none and stay once.
 
-    Of rows equal in doc_id and text each is repeated by the rounded mean of their copies.
+    The rows are numbered in a written table, so every row is told from its equals and columns of any name do no harm.
     """
-    columns = docs.columns
-    chosen = plan(docs).groupBy("doc_id", "h").agg(
-        F.when(F.max("size") == 0, F.lit(1)).otherwise(F.round(F.avg("copies")).cast("int")).alias("copies")
-    ).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    joined = hashed.join(chosen.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), row), "rows")
+    read = rows.select("key", "row.doc_id", "row.text", "row.source")
+    copies = plan(read, F.col("key")).select("key", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
+    taken = rows.join(copies.where("copies > 0"), "key").select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
