@@ -82,6 +82,24 @@ def test_archives_are_equal_whatever_the_partitions(spark):
     assert seen[0] == seen[1]
 
 
+@pytest.mark.parametrize("ids", ["dense and one far out", "null", "one"])
+def test_shards_are_even_whatever_the_ids(spark, ids):
+    """Dense ids beside an outlier, only null ids, and one id of many payloads are all cut into many shards."""
+    name = {"dense and one far out": lambda k: k if k else 1 << 60, "null": lambda k: None, "one": lambda k: 7}[ids]
+    rows = [(name(k), f"u{k}", f"<p>page {k} " + "x" * 300) for k in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = fresh_dir(spark, "warc")
+    manifest = warc.write_archive(frame, folder, shard_bytes=40_000)
+    per: dict[str, int] = {}
+    for r in manifest.collect():
+        per[r.name[:11]] = per.get(r.name[:11], 0) + r.records
+    assert sum(per.values()) == 400 and len(per) >= 8 and max(per.values()) < 80, per
+    again = warc.write_archive(frame.repartition(5), fresh_dir(spark, "warc"), shard_bytes=40_000)
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, again.collect()))
+    got = warc.read_archive(folder, manifest)
+    assert sorted(bytes(r.payload).decode() for r in got.collect()) == sorted(h for _, _, h in rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <article><h1>Head &amp; line</h1><p>First  para\n with <b>bold</b>&nbsp;text that goes on for a good while so that there is some of it.<p>Tiny.
