@@ -212,3 +212,43 @@ def test_bronze(spark):
     assert got(B.extract_languages(last)) == [(7, "C", 10), (7, "Go", 2)]
     assert B.extract_releases(last).head().tag == "_id5"
     assert [r.package for r in B.extract_dependencies(last).collect()] == ["p"]
+
+
+def test_the_last_release_of_a_tag_wins(spark):
+    body = '[{"id": 1, "tag_name": "v1", "name": "old"}, {"id": 2, "tag_name": "v2"}, {"id": 3, "tag_name": "v1", "name": "new"}, {"id": 4, "tag_name": ""}, {"id": 5}]'
+    bronze = spark.createDataFrame([("/repos/o/r/releases", 7, body)], "url string, repo_id long, body string").selectExpr("*", "timestamp_seconds(1) AS fetched_at")
+    got = {r.tag: r.name for r in B.extract_releases(bronze).collect()}
+    assert got == {"v1": "new", "v2": None, "_id4": None, "_id5": None}
+
+
+def test_helper_names_do_not_clash(spark):
+    names = ["wanted", "wanted_", "__key", "__in", "__cur", "__id", "old", "new", "found", "filled"]
+    df = spark.range(4).selectExpr("id", *[f"id * 10 + {k} AS `{n}`" for k, n in enumerate(names)])
+    kept = Fi.restrict(df, spark.range(2), "id")
+    assert kept.columns == df.columns and sorted(r.wanted for r in kept.collect()) == [0, 10]
+    merged = M.merge_repos(df, df.where("id > 2").withColumn("old", df.old + 1000))
+    assert merged.columns == df.columns and {r.id: r.old for r in merged.collect()} == {0: 6, 1: 16, 2: 26, 3: 1036}
+    geo = df.selectExpr("*", "'x' AS country", "'c' AS city", "0D AS lat", "0D AS lon", "0 AS geo_tried")
+    hits = spark.createDataFrame([(1, "Peru", "Lima", 1.0, 2.0), (2, None, None, None, None)], "id long, country string, city string, lat double, lon double")
+    assert {r.id: (r.country, r.geo_tried, r.found) for r in M.merge_geo(geo, hits).collect()} == {0: ("x", 0, 8), 1: ("Peru", 1, 18), 2: ("x", 1, 28), 3: ("x", 0, 38)}
+
+
+def test_of_several_stubs_the_first_discovered_is_taken(spark):
+    rows = [(1, "b", 2), (1, "z", 1), (2, "y", 5), (2, "x", 5)]
+    new = spark.createDataFrame(rows, "id long, full_name string, discovered_at int")
+    got = {r.id: r.full_name for r in M.merge_stubs(new.limit(0), new).collect()}
+    assert got == {1: "z", 2: "x"}
+
+
+def test_overlap_edges_of_heavy_logins_in_blocks(spark):
+    rows = [(r, f"p{p}") for p in range(3) for r in range(10 * p, 10 * p + 30)] + [(1, "alone"), (5, "x[bot]"), (6, "x[bot]")]
+    frame = spark.createDataFrame(rows, "repo_id long, owner_login string")
+    want = {}
+    for p in range(3):
+        for a in range(10 * p, 10 * p + 30):
+            for b in range(a + 1, 10 * p + 30):
+                want[a, b] = want.get((a, b), 0) + 1
+    for block in (4, 2048):
+        assert {(r.src, r.dst): r.shared for r in G.overlap_edges(frame, block=block).collect()} == want
+    folded = G.fold_edges(frame, spark.range(100).withColumnRenamed("id", "id"), who=2)
+    assert {(r.src, r.dst): (r.shared, len(r.who)) for r in folded.collect()} == {k: (n + (k == (5, 6)), min(2, n + (k == (5, 6)))) for k, n in want.items()}

@@ -23,13 +23,27 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
         q.stop()
 
     run()
-    assert spark.read.parquet(f"{tmp_path}/out/repos/v0").head().stars == 3
+    versions = streams.Versions(str(tmp_path / "out"))
+    assert versions.table(spark, "repos", 0).head().stars == 3 and versions.table(spark, "repo_topics", 0).count() == 1
     land("b", [("/repos/o/r", 7, json.dumps(repo | {"stargazers_count": 9, "topics": []}), 2), ("/users/o", None, json.dumps({"id": 1, "login": "o", "location": "Berlin"}), 2)])
     run()
-    assert spark.read.parquet(f"{tmp_path}/out/repos/v1").head().stars == 9
-    owner = spark.read.parquet(f"{tmp_path}/out/owners/v1").head()
+    assert versions.table(spark, "repos", 1).head().stars == 9 and versions.table(spark, "repos", 0).head().stars == 3
+    owner = versions.table(spark, "owners", 1).head()
     assert (owner.enriched, owner.location) == (1, "Berlin")
-    assert spark.read.parquet(f"{tmp_path}/out/repo_topics/v1").count() == 0
+    assert versions.table(spark, "repo_topics", 1) is None
+
+
+def test_batches_write_what_they_touch_and_old_versions_go(spark, tmp_path):
+    versions = streams.Versions(str(tmp_path / "out"), parts=4)
+    for number in range(6):
+        rows = [(f"/repos/o/r{k}", k, json.dumps({"id": k, "full_name": f"o/r{k}", "stargazers_count": number}), number) for k in ([*range(20)] if number == 0 else [number])]
+        batch = spark.createDataFrame(rows, "url string, repo_id long, body string, t int").selectExpr("url", "repo_id", "body", "timestamp_seconds(t) AS fetched_at")
+        streams.ingest_batch(batch, number, versions)
+        streams.ingest_batch(batch, number, versions)  # again: the same outcome
+    assert {r.id: r.stars for r in versions.table(spark, "repos", 5).collect()} == {k: k if 1 <= k <= 5 else 0 for k in range(20)}
+    folders = {int(p.name[1:]) for p in (tmp_path / "out" / "repos").iterdir() if p.name[0] == "v"}
+    named = {b for k in (3, 4, 5) for (n, _), b in versions.manifest(spark, k).items() if n == "repos"}
+    assert folders == named and len({p.name for p in (tmp_path / "out" / "repos" / "v5").iterdir() if p.name.startswith("part=")}) == 1
 
 
 def test_ingest_of_enumeration_pages(spark, tmp_path):
@@ -38,7 +52,7 @@ def test_ingest_of_enumeration_pages(spark, tmp_path):
     def ingest(number: int, *rows: tuple) -> tuple[dict, dict]:
         batch = spark.createDataFrame([(u, i, json.dumps(b), t) for u, i, b, t in rows], "url string, repo_id long, body string, t int")
         streams.ingest_batch(batch.selectExpr("url", "repo_id", "body", "timestamp_seconds(t) AS fetched_at"), number, versions)
-        read = lambda name: {r.id: r for r in spark.read.parquet(versions.path(name, number)).collect()}
+        read = lambda name: {r.id: r for r in versions.table(spark, name, number).collect()}
         return read("repos"), read("owners")
 
     entry = lambda i, name, owner: {"id": i, "full_name": f"{name}/r", "owner": {"id": owner, "login": name, "type": "User", "html_url": f"h/{name}"}}

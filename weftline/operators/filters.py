@@ -107,10 +107,19 @@ def filter_repos(core: DataFrame, spec: FilterSpec, contributions: DataFrame, re
     return out
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def restrict(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` occurs in the first column of ``ids``."""
-    keys = ids.select(F.col(ids.columns[0]).alias("__key"))
-    return df.join(keys, F.col(column) == F.col("__key"), "left_semi")
+    key = unused("wanted", df)
+    keys = ids.select(F.col(ids.columns[0]).alias(key))
+    return df.join(keys, F.col(column) == F.col(key), "left_semi")
 
 
 def restrict_children(child: DataFrame, core: DataFrame) -> DataFrame:

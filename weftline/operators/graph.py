@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,47 +23,82 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if all run in this machine's one process, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def passing_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name in the shared folder; what is written there goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``spark.checkpoint.dir`` where it is set; a folder of our own where it is not, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(passing_folder(spark, "checkpoints"))
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder: read again, it is pruned and filtered at the scan."""
+    folder = passing_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def stands(table: DataFrame) -> bool:
+    """Whether the folder of a table of ``written`` is still there."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
 
-            folder = tempfile.mkdtemp(prefix="spark-weftline-")
-        sc.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}")
+#: Repositories of a login in one block of the self-join.
+BLOCK = 2048
 
 
-def overlap_edges(contributions: DataFrame, min_shared: int = 1) -> DataFrame:
+def overlap_edges(contributions: DataFrame, min_shared: int = 1, block: int = BLOCK) -> DataFrame:
     """(src < dst, shared): repositories with contributors, bots apart, in common.
 
-    People of one repository are dropped before the self-join; what is left is joined on the login, which Spark may
-    split where it is skewed, and counted with map-side sums.
+    People of one repository are dropped before the self-join. The repositories of a login are dealt into blocks and every
+    pair of blocks is a key of its own, so the pairs of a heavy login are made by many tasks; they are counted with map-side sums.
     """
     links = contributions.where(~is_bot_sql("owner_login")).select("repo_id", "owner_login")
-    several = links.groupBy("owner_login").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b")).where("a < b")
-    links = restrict(links, several.select("owner_login"), "owner_login")
-    a, b = links.withColumnRenamed("repo_id", "src"), links.withColumnRenamed("repo_id", "dst")
-    pairs = a.join(b, "owner_login").where("src < dst")
+    several = links.groupBy("owner_login").agg(_count().alias("k"), F.min("repo_id").alias("a"), F.max("repo_id").alias("b")).where("a < b")
+    dealt = links.join(several.select("owner_login", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "owner_login")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("repo_id"), F.col("blocks")).cast("int"))
+    a = dealt.select("owner_login", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("repo_id").alias("x"))
+    b = dealt.select("owner_login", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("repo_id").alias("y"))
+    pairs = a.join(b, ["owner_login", "i", "j"]).where("x < y OR i < j AND x > y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
     return pairs.groupBy("src", "dst").agg(_count().alias("shared")).where(F.col("shared") >= min_shared)
 
 
 def fold_edges(links: DataFrame, nodes: DataFrame, min_shared: int = 1, cap: int = 400, who: int = 12) -> DataFrame:
     """(src < dst, shared, who): the fold within the pile; people of fewer than two or more than ``cap`` of its repositories are skipped.
 
-    ``who`` holds the first carriers in order; they are ranked before they are gathered, so a heavy edge stays small.
+    ``who`` holds the first carriers in order. Pairs are made and shuffled once; an edge's are ranked and counted where they
+    lie sorted, and only the first are gathered, so a heavy edge stays small.
     """
     inside = restrict(links, nodes.select("id"), "repo_id").select("repo_id", "owner_login").distinct()
     spread = inside.groupBy("owner_login").agg(_count().alias("k")).where(F.col("k").between(2, cap))
     some = restrict(inside, spread.select("owner_login"), "owner_login")
     a, b = some.withColumnRenamed("repo_id", "src"), some.withColumnRenamed("repo_id", "dst")
-    pairs = a.join(b, "owner_login").where("src < dst")
-    shared = pairs.groupBy("src", "dst").agg(_count().alias("shared")).where(F.col("shared") >= min_shared)
-    rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("owner_login"))
-    first = pairs.withColumn("r", rank).where(F.col("r") <= who)
-    names = first.groupBy("src", "dst").agg(F.array_sort(F.collect_list("owner_login")).alias("who"))
-    return shared.join(names, ["src", "dst"])
+    edge = Window.partitionBy("src", "dst").orderBy("owner_login")
+    ranked = a.join(b, "owner_login").where("src < dst").withColumn("r", F.row_number().over(edge))
+    last = F.lead("r").over(edge).isNull()  # an edge's last rank is its count
+    kept = ranked.withColumn("shared", F.when(last, F.col("r"))).where((F.col("r") <= who) | F.col("shared").isNotNull())
+    names = F.array_sort(F.collect_list(F.when(F.col("r") <= who, F.col("owner_login")))).alias("who")
+    return kept.groupBy("src", "dst").agg(F.max("shared").cast("long").alias("shared"), names).where(F.col("shared") >= min_shared)
 
 
 def graph(repos: DataFrame, contributions: DataFrame, min_shared: int = 1) -> dict[str, DataFrame]:

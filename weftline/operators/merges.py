@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.filters import unused
+
 
 def last_per_key(increment: DataFrame, key: str, seq: str, keep_old: tuple[str, ...] = (), greatest: tuple[str, ...] = ()) -> DataFrame:
     """One row per key of several increments: the last by ``seq``, but for ``keep_old`` the last that is not null, for ``greatest`` the greatest."""
@@ -22,17 +24,20 @@ def last_per_key(increment: DataFrame, key: str, seq: str, keep_old: tuple[str,
 
 
 def _upsert(current: DataFrame, increment: DataFrame, key: str, rule) -> DataFrame:
-    """Full outer join by key; ``rule(column, old, new)`` gives a column's value where both sides have the key."""
-    new = increment.select(*[F.col(c).alias(f"__{c}") for c in increment.columns], F.lit(True).alias("__in"))
-    joined = current.withColumn("__cur", F.lit(True)).join(new, F.col(key) == F.col(f"__{key}"), "full_outer")
+    """Full outer join by key; ``rule(column, old, new)`` gives a column's value where both sides have the key.
+
+    Both sides are joined as one struct each, so their columns may have any names.
+    """
+    old, new = current.select(F.struct("*").alias("old")), increment.select(F.struct("*").alias("new"))
+    joined = old.join(new, F.col("old")[key] == F.col("new")[key], "full_outer")
 
     def value(c: str) -> Column:
+        before, after = F.col("old")[c], F.col("new")[c] if c in increment.columns else F.lit(None)
         if c == key:
-            return F.coalesce(F.col(c), F.col(f"__{c}"))
+            return F.coalesce(before, after)
         if c not in increment.columns:
-            return F.col(c)
-        old, inc = F.col(c), F.col(f"__{c}")
-        return F.when(F.col("__in").isNull(), old).when(F.col("__cur").isNull(), inc).otherwise(rule(c, old, inc))
+            return before
+        return F.when(F.col("new").isNull(), before).when(F.col("old").isNull(), after).otherwise(rule(c, before, after))
 
     return joined.select(*[value(c).alias(c) for c in current.columns])
 
@@ -68,9 +73,10 @@ def merge_repos(current: DataFrame, increment: DataFrame) -> DataFrame:
 
 
 def merge_stubs(current: DataFrame, increment: DataFrame) -> DataFrame:
-    """Adds rows of absent ids and changes none."""
-    fresh = increment.dropDuplicates(["id"]).join(current.select("id"), "id", "left_anti")
-    return current.unionByName(fresh, allowMissingColumns=True)
+    """Adds rows of absent ids and changes none; of several new rows of an id the first discovered is taken, then the least by its columns."""
+    rest = sorted((c for c in increment.columns if c != "id"), key=lambda c: c != "discovered_at")
+    fresh = increment.groupBy("id").agg(F.min(F.struct(*rest)).alias("s")).select(*[F.col("s")[c].alias(c) if c != "id" else F.col("id") for c in increment.columns])
+    return current.unionByName(fresh.join(current.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
 def replace_children(current: DataFrame, increment: DataFrame, refreshed: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -81,10 +87,12 @@ def replace_children(current: DataFrame, increment: DataFrame, refreshed: DataFr
 
 def merge_geo(owners: DataFrame, hits: DataFrame) -> DataFrame:
     """Writes found places (id, country, city, lat, lon) and marks every attempted row; an earlier place stays on a miss."""
-    found = hits.select("id", *[F.col(c).alias(f"__{c}") for c in ("country", "city", "lat", "lon")], F.lit(1).alias("__tried"))
-    hit = F.col("__country").isNotNull()
+    name = unused("found", owners)
+    places = hits.select(F.struct("id", "country", "city", "lat", "lon").alias(name))
+    joined = owners.join(places, F.col("id") == F.col(name)["id"], "left")
+    hit = F.col(name)["country"].isNotNull()
     columns = [
-        F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in ("country", "city", "lat", "lon")
-        else F.coalesce("__tried", c).alias(c) if c == "geo_tried" else F.col(c) for c in owners.columns
+        F.when(hit, F.col(name)[c]).otherwise(F.col(c)).alias(c) if c in ("country", "city", "lat", "lon")
+        else F.when(F.col(name).isNotNull(), 1).otherwise(F.col(c)).alias(c) if c == "geo_tried" else F.col(f"`{c}`") for c in owners.columns
     ]
-    return owners.join(found, "id", "left").select(*columns)
+    return joined.select(*columns)

@@ -25,6 +25,14 @@ def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return restrict_children(links, nodes).withColumn("n", F.coalesce("contributions", F.lit(0)))
 
 
+def _with_lists(top: DataFrame, rows: DataFrame, keys: list[str], value, *order) -> DataFrame:
+    """The few rows of a cut report with the sorted list of a value of each; only for these are lists made."""
+    listed = rows.select(*keys, value)
+    name = listed.columns[-1]
+    lists = listed.join(F.broadcast(top.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(name)).alias(name))
+    return top.join(lists, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))).orderBy(*order)
+
+
 def bus_factor(links: DataFrame, nodes: DataFrame, share: float = 0.70, limit: int = FINDINGS) -> DataFrame:
     """Repositories of several contributors of whom one did most of the work."""
     per = _inside(links, nodes).groupBy("repo_id").agg(
@@ -41,8 +49,9 @@ def co_maintainers(links: DataFrame, nodes: DataFrame, min_repos: int = 3, most_
     heads = inside.groupBy("repo_id").agg(_count().alias("k")).where(F.col("k").between(2, most_people))
     some = restrict(inside, heads.select("repo_id"), "repo_id")
     a, b = some.withColumnRenamed("owner_login", "a"), some.withColumnRenamed("owner_login", "b")
-    pairs = a.join(b, "repo_id").where("a < b").groupBy("a", "b").agg(_count().alias("repos"), F.array_sort(F.collect_list("repo_id")).alias("ids"))
-    return pairs.where(F.col("repos") >= min_repos).orderBy(F.desc("repos"), "a", "b").limit(limit)
+    pairs = a.join(b, "repo_id").where("a < b")
+    top = pairs.groupBy("a", "b").agg(_count().alias("repos")).where(F.col("repos") >= min_repos).orderBy(F.desc("repos"), "a", "b").limit(limit)
+    return _with_lists(top, pairs, ["a", "b"], F.col("repo_id").alias("ids"), F.desc("repos"), "a", "b")
 
 
 def brokers(links: DataFrame, clusters: DataFrame, limit: int = FINDINGS) -> DataFrame:
@@ -54,19 +63,20 @@ def brokers(links: DataFrame, clusters: DataFrame, limit: int = FINDINGS) -> Dat
 
 def serial_forkers(nodes: DataFrame, min_forks: int = 3, limit: int = FINDINGS) -> DataFrame:
     """Owners of several forks in the pile."""
-    per = nodes.where("is_fork").groupBy("owner_login").agg(_count().alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return per.where(F.col("n") >= min_forks).orderBy(F.desc("n"), "owner_login").limit(limit)
+    forks = nodes.where("is_fork").select("owner_login", "id")
+    top = forks.groupBy("owner_login").agg(_count().alias("n")).where(F.col("n") >= min_forks).orderBy(F.desc("n"), "owner_login").limit(limit)
+    return _with_lists(top, forks, ["owner_login"], F.col("id").alias("ids"), F.desc("n"), "owner_login")
 
 
 def bot_operated(links: DataFrame, nodes: DataFrame, share: float = 0.5, limit: int = FINDINGS) -> DataFrame:
     """Repositories whose first contributor is a bot, or of whose heads half are."""
-    per = _inside(links, nodes).groupBy("repo_id").agg(
-        _count().alias("people"), F.count_if(is_bot_ui("owner_login")).alias("bots"), _leader().alias("top_login"),
-        F.array_sort(F.collect_list(F.when(is_bot_ui("owner_login"), F.col("owner_login")))).alias("names"),
-    )
+    inside = _inside(links, nodes)
+    per = inside.groupBy("repo_id").agg(_count().alias("people"), F.count_if(is_bot_ui("owner_login")).alias("bots"), _leader().alias("top_login"))
     ratio = F.col("bots") / F.col("people")
     found = per.where(is_bot_ui("top_login") | (ratio >= share)).withColumn("ratio", F.round(ratio, 6))
-    return found.select("repo_id", "people", "bots", "ratio", "top_login", "names").orderBy(F.desc("ratio"), "repo_id").limit(limit)
+    top = found.select("repo_id", "people", "bots", "ratio", "top_login").orderBy(F.desc("ratio"), "repo_id").limit(limit)
+    bots = inside.where(is_bot_ui("owner_login")).select("repo_id", "owner_login")
+    return _with_lists(top, bots, ["repo_id"], F.col("owner_login").alias("names"), F.desc("ratio"), "repo_id")
 
 
 def top_quarter(nodes: DataFrame, floor: int = 50) -> int | None:
@@ -107,8 +117,8 @@ def co_location(links: DataFrame, owners: DataFrame, limit: int = FINDINGS) -> D
     """Cities in which several active people live."""
     people = links.select(F.col("owner_login").alias("login")).distinct()
     placed = people.join(owners.where("city IS NOT NULL").select("login", "city", "country"), "login")
-    per = placed.groupBy("city", "country").agg(_count().alias("people"), F.array_sort(F.collect_list("login")).alias("logins"))
-    return per.where("people >= 2").orderBy(F.desc("people"), "city", "country").limit(limit)
+    top = placed.groupBy("city", "country").agg(_count().alias("people")).where("people >= 2").orderBy(F.desc("people"), "city", "country").limit(limit)
+    return _with_lists(top, placed.where("country IS NOT NULL"), ["city", "country"], F.col("login").alias("logins"), F.desc("people"), "city", "country")
 
 
 def dependency_convergence(dependencies: DataFrame, nodes: DataFrame, min_repos: int = 3, limit: int = FINDINGS) -> DataFrame:

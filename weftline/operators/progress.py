@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.worklists import core_owner_count
@@ -42,28 +42,41 @@ def ops_counts(repos: DataFrame, owners: DataFrame, contributions: DataFrame, ca
     return row.withColumn("owners_pending", F.greatest(F.lit(0), F.col("owners_core") - F.col("owners_enriched")))
 
 
-def smoothed(points: Column, alpha: float = ALPHA) -> Column:
-    """Exponential mean of the rates between sorted (ts in seconds, value) points; null before the second."""
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("rate"), none.alias("ts"), none.alias("value"))
+#: Seconds of a chunk of a counter's history.
+CHUNK = 86_400
 
-    def step(acc: Column, p: Column) -> Column:
-        dt = p["ts"] - acc["ts"]
-        inst = F.greatest(F.lit(0.0), (p["value"] - acc["value"]) / dt)
-        rate = F.when(acc["rate"].isNull(), inst).otherwise(acc["rate"] + alpha * (inst - acc["rate"]))
-        later = acc["ts"].isNull() | (dt > 0)
-        return F.when(acc["ts"].isNull(), F.struct(none.alias("rate"), p["ts"].alias("ts"), p["value"].alias("value"))).when(
-            later, F.struct(rate.alias("rate"), p["ts"].alias("ts"), p["value"].alias("value"))
-        ).otherwise(acc)
 
-    return F.aggregate(points, start, step, lambda acc: acc["rate"])
+def throughput(snapshots: DataFrame, alpha: float = ALPHA, chunk: float = CHUNK) -> DataFrame:
+    """(k, rate): smoothed growth per second of every counter of ``snapshots(k, ts, value)``; 0 while there is none.
 
-
-def throughput(snapshots: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(k, rate): smoothed growth per second of every counter of ``snapshots(k, ts, value)``; 0 while there is none."""
+    Of equal times the least value counts. The mean is a sum of the rates between neighbours whose weights fall by
+    ``1 - alpha`` with each later point, so it is summed by chunks of time, and only one row a chunk is ordered along a counter.
+    """
+    keep = 1 - alpha
+    weight = lambda n: F.pow(F.lit(keep), n)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    points = snapshots.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(seconds.alias("ts"), F.col("value").cast("double").alias("value")))).alias("points"))
-    return points.select("k", F.coalesce(smoothed(F.col("points"), alpha), F.lit(0.0)).alias("rate"))
+    points = snapshots.groupBy("k", seconds.alias("at")).agg(F.min(F.col("value").cast("double")).alias("v")).withColumn("chunk", F.floor(F.col("at") / chunk))
+    rate = lambda before, at, v: F.greatest(F.lit(0.0), (v - before["v"]) / (at - before["at"]))
+    inside = Window.partitionBy("k", "chunk").orderBy("at")
+    steps = points.select(
+        "k", "chunk", F.struct("at", "v").alias("p"), rate(F.lag(F.struct("at", "v")).over(inside), F.col("at"), F.col("v")).alias("inst"),
+        (F.row_number().over(Window.partitionBy("k", "chunk").orderBy(F.desc("at"))) - 1).alias("later"),
+    )
+    inst = F.when(F.col("p.at") > F.col("first.at"), F.col("inst"))  # greatest skips nulls, so a chunk's first point has no rate of its own
+    steps = steps.withColumn("first", F.min("p").over(Window.partitionBy("k", "chunk"))).withColumn("inst", inst)
+    chunks = steps.groupBy("k", "chunk").agg(
+        _count().alias("n"), F.min("p").alias("first"), F.max("p").alias("last"), F.min_by("inst", F.when(F.col("inst").isNotNull(), F.col("p.at"))).alias("second"),
+        F.coalesce(F.sum(F.col("inst") * alpha * weight(F.col("later"))), F.lit(0.0)).alias("total"),
+    )
+    along = Window.partitionBy("k").orderBy("chunk")
+    ordered = chunks.withColumn("before", F.lag("last").over(along)).withColumn("later", F.coalesce(F.sum("n").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
+    start = F.when(F.col("before").isNotNull(), rate(F.col("before"), F.col("first.at"), F.col("first.v")))
+    ordered = ordered.withColumn("start", start).withColumn("earliest", F.coalesce("start", "second"))
+    part = F.col("total") + F.coalesce(F.col("start"), F.lit(0.0)) * alpha * weight(F.col("n") - 1)
+    whole = ordered.groupBy("k").agg(
+        F.sum(part * weight(F.col("later"))).alias("sum"), F.sum("n").alias("n"), F.min_by("earliest", F.when(F.col("earliest").isNotNull(), F.col("chunk"))).alias("earliest")
+    )
+    return whole.select("k", (F.col("sum") + F.coalesce(F.col("earliest") * weight(F.col("n") - 1), F.lit(0.0))).alias("rate"))
 
 
 def eta(progress: DataFrame) -> DataFrame:

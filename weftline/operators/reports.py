@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from weftline.operators import aggregates as A
 from weftline.operators import filters as Fi
 from weftline.operators import geo as W
-from weftline.operators.graph import ensure_checkpoint_dir
+from weftline.operators.graph import passing_folder
 from weftline.sources.tables import write_table
 
 
@@ -33,9 +31,7 @@ def intel(tables, gazetteer: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a frame to a fresh folder of the shared checkpoint directory and read it back."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """Write a frame to a fresh folder of the shared folder and read it back."""
+    path = passing_folder(df.sparkSession, "report")
     write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import geo as W
+from weftline.operators import graph as G
 from weftline.operators import merges as M
 from weftline.operators import patterns as P
 from weftline.operators import reports as C
-from weftline.plans.pile import PILE, Pile, pile
+from weftline.plans.pile import PILE, pile, shared_pile
 from weftline.plans.registry import ORACLES, Tables, over, register
 from weftline.plans.tables import CORE
 from weftline.sources import bronze as B
 from weftline.sources import gazetteer as Z
+from weftline.sources.tables import read_table, write_table
+from weftline.streaming import streams
 
 
 def _values(rows: list[tuple]) -> str:
@@ -106,7 +109,7 @@ register(
         "SELECT city, country, count(*) AS people, array_to_string(list_sort(list(login)), ',') AS logins FROM (SELECT DISTINCT owner_login FROM links) l JOIN located g ON g.login = l.owner_login WHERE city IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 40",
         (*PILE, *GEO),
     ),
-)(lambda t: P.co_location(Pile(t).links, _located(t)))
+)(lambda t: P.co_location(shared_pile(t).links, _located(t)))
 
 # merges: the current version lacks every third owner or repository, the increment touches every second
 _CUR = "cur AS (SELECT id, login, type, location, enriched FROM owners WHERE id % 3 <> 0)"
@@ -189,7 +192,12 @@ def _latest(t: Tables) -> DataFrame:
 
 
 _MODEL = "owners repos contributions releases repo_topics repo_languages dependencies"
-register("s2_latest_response", None)(lambda t: _latest(t).select("url", "repo_id", F.length("body").alias("n")))
+_URLS = """SELECT url, repo_id, CAST('2024-01-02' AS TIMESTAMP) AS fetched_at, true AS whole FROM (
+SELECT '/repos/' || replace(full_name, '#', '') || tail AS url, r.id AS repo_id FROM repos r JOIN (
+ SELECT repo_id, '' AS tail FROM repo_topics UNION SELECT repo_id, '/contributors' FROM contributions UNION SELECT repo_id, '/releases' FROM releases
+ UNION SELECT repo_id, '/languages' FROM repo_languages UNION SELECT repo_id, '/dependency-graph/sbom' FROM dependencies) p ON p.repo_id = r.id
+UNION ALL SELECT DISTINCT '/repositories?since=' || CAST(floor((id - 1) / 100)::BIGINT * 100 AS VARCHAR), CAST(NULL AS BIGINT) FROM repos)"""
+register("s2_latest_response", over(_MODEL, _URLS))(lambda t: _latest(t).select("url", "repo_id", "fetched_at", (F.col("body") != "{}").alias("whole")))
 register(
     "s3_extract_repos",
     over(_MODEL, """SELECT r.id, full_name, owner_login, primary_language, license, stars, forks, CAST(NULL AS BIGINT) AS watchers, is_fork, archived FROM repos r WHERE id IN (SELECT repo_id FROM repo_topics)"""),
@@ -197,6 +205,11 @@ register(
 register("s4_extract_owners", over(_MODEL, "SELECT owner_login AS login, 'Organization' AS type, 0::BIGINT AS enriched FROM repos WHERE id IN (SELECT repo_id FROM repo_topics)"))(
     lambda t: B.extract_owners(_latest(t)).select("login", "type", "enriched")
 )
+register("s4_full_profiles", over("owners", "SELECT id, login, type, location, 1::BIGINT AS enriched FROM owners"))(
+    lambda t: B.extract_owners(
+        t.owners.select(F.concat(F.lit("/users/"), "login").alias("url"), F.to_json(F.struct("id", "login", "type", "location")).alias("body"), F.lit("2024-01-02").cast("timestamp").alias("fetched_at"))
+    ).select("id", "login", "type", "location", "enriched")
+)
 register("s5_extract_topics", over(_MODEL, "SELECT repo_id, topic FROM repo_topics WHERE repo_id IN (SELECT id FROM repos)"))(lambda t: B.extract_topics(_latest(t)))
 register("s6_extract_languages", over(_MODEL, "SELECT repo_id, language, bytes FROM repo_languages WHERE repo_id IN (SELECT id FROM repos)"))(lambda t: B.extract_languages(_latest(t)))
 register("s7_extract_contributions", over(_MODEL, "SELECT repo_id, owner_login, contributions FROM contributions WHERE repo_id IN (SELECT id FROM repos)"))(lambda t: B.extract_contributions(_latest(t)))
@@ -210,6 +223,65 @@ register("s9_extract_dependencies", over(_MODEL, "SELECT repo_id, package, versi
 register("s10_extract_stubs", over(_MODEL, "SELECT id, full_name, owner_login, is_fork, 0::BIGINT AS detailed FROM repos"))(
     lambda t: B.extract_stubs(_latest(t))[0].select("id", "full_name", "owner_login", "is_fork", "detailed")
 )
+register("s10_stub_owners", over(_MODEL, "SELECT owner_login AS login, 'Organization' AS type, 0::BIGINT AS enriched FROM repos"))(
+    lambda t: B.extract_stubs(_latest(t))[1].select("login", "type", "enriched")
+)
+
+
+def _older_files(t: Tables) -> DataFrame:
+    """Repositories as older files hold them, without the columns that came later, read with the fixed schema."""
+    folder = G.passing_folder(t.spark, "older")
+    write_table(t.repos.select("id", "full_name", "owner_login", "stars", "is_fork"), f"{folder}/repos.parquet")
+    return read_table(t.spark, folder, "repos")
+
+
+register(
+    "s1_read_table",
+    over("repos", "SELECT id, full_name, stars, is_fork, CASE WHEN stars IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS detailed, 0::BIGINT AS attempts, CAST(NULL AS BIGINT) AS parent_id FROM repos"),
+)(lambda t: _older_files(t).select("id", "full_name", "stars", "is_fork", "detailed", "attempts", "parent_id"))
+
+
+def _ingested(t: Tables, name: str) -> DataFrame:
+    """A table as the stream of all raw responses leaves it."""
+    folder, made = G.passing_folder(t.spark, "ingest"), responses(t)
+    write_table(made, f"{folder}/in")
+    stream = t.spark.readStream.schema(made.schema).parquet(f"{folder}/in")
+    streams.stream_ingest(stream, f"{folder}/out", f"{folder}/state", availableNow=True).awaitTermination()
+    return streams.Versions(f"{folder}/out").table(t.spark, name, 0)
+
+
+register(
+    "t5_stream_ingest",
+    over(_MODEL, """SELECT id, full_name, CASE WHEN full_ THEN stars END AS stars, full_::BIGINT AS detailed FROM (SELECT *, id IN (SELECT repo_id FROM repo_topics) AS full_ FROM repos)"""),
+)(lambda t: _ingested(t, "repos").select("id", "full_name", "stars", "detailed"))
+register("t5_stream_contributions", ORACLES["s7_extract_contributions"])(lambda t: _ingested(t, "contributions").select("repo_id", "owner_login", "contributions"))
+
+
+def _streamed_places(t: Tables) -> DataFrame:
+    folder, places = G.passing_folder(t.spark, "places"), _places(t).select("id", "location")
+    write_table(places, f"{folder}/in")
+    stream = t.spark.readStream.schema(places.schema).parquet(f"{folder}/in")
+    streams.stream_geocode(stream, Z.gazetteer(t.spark), f"{folder}/out", f"{folder}/state", availableNow=True).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+_geo("t6_stream_geocode", "SELECT * FROM geo")(_streamed_places)
+_FLAGS = {"Japan": "\U0001f1ef\U0001f1f5", "Germany": "\U0001f1e9\U0001f1ea", "Spain": "\U0001f1ea\U0001f1f8"}
+
+
+def _flagged(t: Tables) -> DataFrame:
+    """Places with a flag before or behind them."""
+    japan, germany, spain = (F.lit(f) for f in _FLAGS.values())
+    text = F.when(F.col("id") % 3 == 0, F.concat("location", F.lit(" "), japan)).when(F.col("id") % 3 == 1, F.concat(germany, F.lit(" "), "location")).otherwise(F.concat(spain, F.lit(", "), "location"))
+    return _places(t).select("id", text.alias("location"))
+
+
+_geo(
+    "w3_geocode_flags",
+    """SELECT p.id, g.country, CASE WHEN c.country = g.country THEN c.token END AS city, CAST(CASE WHEN c.country = g.country THEN c.lat ELSE g.lat END AS DOUBLE) AS lat,
+CAST(CASE WHEN c.country = g.country THEN c.lon ELSE g.lon END AS DOUBLE) AS lon FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'Japan' WHEN 1 THEN 'Germany' ELSE 'Spain' END AS country FROM places) p
+JOIN gc g ON g.country = p.country LEFT JOIN fc ON fc.id = p.id""",
+)(lambda t: W.geocode(_flagged(t), "id", "location", Z.gazetteer(t.spark)))
 register(
     "s11_write_table",
     over("repos", "SELECT id, full_name, stars FROM repos WHERE stars IS NOT NULL"),

@@ -25,7 +25,8 @@ SPEC = FilterSpec(no_archived=True, min_forks=5, degree=2)
 class Pile:
     """Frames of one setting of the rack: nodes, strong links, folded edges, clusters; each built once, when it is asked for.
 
-    Nodes and edges are used many times and by iterations, so they are checkpointed.
+    Nodes, edges and clusters are used many times and by iterations, so they are written to the shared folder; ``shared_pile``
+    lets all queries over the same files and setting read the same tables.
     """
 
     tables: Tables
@@ -39,7 +40,7 @@ class Pile:
     @cached_property
     def passing(self) -> DataFrame:
         t = self.tables
-        return G.cut(Fi.filter_repos(self.core, self.spec, t.contributions, t.releases, t.dependencies))
+        return G.written(Fi.filter_repos(self.core, self.spec, t.contributions, t.releases, t.dependencies), "passing")
 
     @cached_property
     def active(self) -> DataFrame:
@@ -47,7 +48,7 @@ class Pile:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return G.cut(Fi.isolate_filter(self.passing, self.edges))
+        return G.written(Fi.isolate_filter(self.passing, self.edges), "nodes")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -55,11 +56,23 @@ class Pile:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return G.cut(G.fold_edges(self.links, self.passing))
+        return G.written(G.fold_edges(self.links, self.passing), "edges")
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return G.number_clusters(G.label_propagation(self.nodes, self.edges))
+        return G.written(G.number_clusters(G.label_propagation(self.nodes, self.edges)), "clusters")
+
+
+_PILES: dict[tuple, Pile] = {}
+
+
+def shared_pile(t: Tables, spec: FilterSpec = SPEC) -> Pile:
+    """The pile of these tables and setting; built once for an application and a state of the input files."""
+    key = (t.spark.sparkContext.applicationId, t.state(), spec)
+    made = _PILES.get(key)
+    if made is None or not all(G.stands(f) for f in vars(made).values() if hasattr(f, "_folder")):
+        made = _PILES[key] = Pile(t, spec)
+    return made
 
 
 _RELATIONS = "repos owners contributions repo_topics releases dependencies repo_languages"
@@ -121,7 +134,7 @@ def recursive(sql: str) -> str:
 def query(name: str, select: str | None, parts: tuple[str, ...] = PILE, deep: bool = False):
     sql = pile(select, parts) if select else None
     add = register(name, recursive(sql) if sql and deep else sql)
-    return lambda f: add(lambda t: f(Pile(t)))
+    return lambda f: add(lambda t: f(shared_pile(t)))
 
 
 query("f3_ingest_defaults", "SELECT id, stars, forks, open_issues, size, n_contrib, topics, year, short_name FROM facts", FACTS)(
@@ -179,7 +192,17 @@ _HOPS = (*PILE, "walk(id, hop) AS (SELECT min(src), 0 FROM edges UNION SELECT a.
 query("g8_shortest_path_hops", "SELECT CAST(coalesce(min(hop), 0) AS BIGINT) AS hops FROM walk WHERE id = (SELECT max(dst) FROM edges)", _HOPS, deep=True)(
     lambda p: G.shortest_path(*_far_ends(p)).agg(F.count(F.lit(1)).alias("hops"))
 )
-query("g8_shortest_path", None)(lambda p: G.shortest_path(*_far_ends(p)))
+_PATH = (
+    *_HOPS, "dist AS (SELECT id, min(hop) AS hop FROM walk GROUP BY 1)",
+    """path(hop, node) AS (SELECT hop, id FROM dist WHERE id = (SELECT max(dst) FROM edges)
+ UNION SELECT p.hop - 1, min(a.nbr) FROM path p JOIN adj a ON a.id = p.node JOIN dist d ON d.id = a.nbr AND d.hop = p.hop - 1 WHERE p.hop > 0 GROUP BY 1)""",
+)
+query(
+    "g8_shortest_path",
+    """SELECT CAST(b.hop AS BIGINT) AS hop, a.node AS src, b.node AS dst, e.who[1] AS carrier FROM path a JOIN path b ON b.hop = a.hop + 1
+JOIN edges e ON e.src = least(a.node, b.node) AND e.dst = greatest(a.node, b.node)""",
+    _PATH, deep=True,
+)(lambda p: G.shortest_path(*_far_ends(p)))
 _STATS = """SELECT nodes, edges, round(100.0::DOUBLE * 2 * edges / (nodes * (nodes - 1)), 6) AS density_pct, round(2.0::DOUBLE * edges / nodes, 6) AS mean_degree, max_degree,
 components, largest, round(100.0::DOUBLE * largest / nodes, 6) AS largest_pct, nodes - linked AS isolates, clusters, largest_cluster FROM
 (SELECT count(*) AS nodes FROM nodes), (SELECT count(*) AS edges FROM edges), (SELECT count(*) AS linked, max(degree) AS max_degree FROM deg),

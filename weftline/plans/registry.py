@@ -28,6 +28,16 @@ class Tables:
             self._made[name] = views.relation(self.spark, self.sf_dir, name)
         return self._made[name]
 
+    def state(self) -> tuple:
+        """What tells this folder's files from any others: path, length and time of each."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found, files = [], store.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return self.sf_dir, tuple(sorted(found))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

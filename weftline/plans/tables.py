@@ -99,6 +99,15 @@ FROM (SELECT count(*) AS discovered, count_if(detailed = 1)::BIGINT AS detailed,
 register("t1_status_counts", over("repos owners contributions releases dependencies snapshots enum_chunks", _STATUS))(
     lambda t: P.status_counts(t.repos, t.owners, t.contributions, t.releases, t.dependencies, t.snapshots, t.enum_chunks)
 )
+_FINISHING = (
+    _STATUS.replace("FROM repos) r", "FROM (SELECT * REPLACE (CASE WHEN detailed = 0 THEN 3 ELSE detailed END AS detailed) FROM repos)) r")
+    .replace("FROM enum_chunks) c", "FROM enum_chunks WHERE done = 1) c").replace("ELSE 'DONE'", "WHEN EXISTS (SELECT 1 FROM repos WHERE detailed = 0) THEN 'FINISHING' ELSE 'DONE'")
+)
+register("t1_status_finishing", over("repos owners contributions releases dependencies snapshots enum_chunks", _FINISHING))(
+    lambda t: P.status_counts(
+        t.repos.withColumn("detailed", F.when(F.col("detailed") == 0, 3).otherwise(F.col("detailed"))), t.owners, t.contributions, t.releases, t.dependencies, t.snapshots, t.enum_chunks.where("done = 1")
+    )
+)
 register(
     "t2_ops_counts",
     over("repos owners contributions snapshots enum_chunks", f"""SELECT *, greatest(0, owners_core - owners_enriched) AS owners_pending FROM

@@ -75,12 +75,13 @@ def extract_contributions(bronze: DataFrame) -> DataFrame:
 
 
 def extract_releases(bronze: DataFrame) -> DataFrame:
-    """(repo_id, tag, name, author_login, published_at): a missing tag becomes ``_id`` and the release's id."""
+    """(repo_id, tag, name, author_login, published_at): a missing tag becomes ``_id`` and the release's id; the last of a tag wins."""
     rows = _child(bronze, "ARRAY<STRUCT<id: BIGINT, tag_name: STRING, name: STRING, author: STRUCT<login: STRING>, published_at: STRING>>", "releases")
-    return rows.select("repo_id", F.explode("j").alias("e")).select(
-        "repo_id", F.coalesce(F.nullif("e.tag_name", F.lit("")), F.concat(F.lit("_id"), F.col("e.id").cast("string"))).alias("tag"), "e.name",
-        F.col("e.author.login").alias("author_login"), _time("e.published_at"),
+    entries = rows.select("repo_id", "fetched_at", "url", F.posexplode("j").alias("at", "e")).where("e IS NOT NULL").select(
+        "repo_id", F.coalesce(F.nullif("e.tag_name", F.lit("")), F.concat(F.lit("_id"), F.col("e.id").cast("string"))).alias("tag"),
+        F.struct("e.name", F.col("e.author.login").alias("author_login"), _time("e.published_at")).alias("r"), F.struct("fetched_at", "url", "at").alias("place"),
     )
+    return entries.groupBy("repo_id", "tag").agg(F.max_by("r", "place").alias("r")).select("repo_id", "tag", "r.*")
 
 
 def extract_dependencies(bronze: DataFrame) -> DataFrame:

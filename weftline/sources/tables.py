@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -32,11 +33,20 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+#: Values of columns that older files lack; all others are null there.
+ADDED = {
+    "repos": {"detailed": "CASE WHEN stars IS NOT NULL THEN 1 ELSE 0 END", "attempts": "0"},
+    "owners": {"enriched": "0", "geo_tried": "0"},
+}
+
+
 def read_table(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """A relation stored as Parquet, with its fixed schema; columns that older files lack are null."""
+    """A relation stored as Parquet, with its fixed schema. Files may lack later columns: these are null there, or as ``ADDED`` says."""
     schema = schema or SCHEMAS.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{directory}/{name}.parquet")
+    table = reader.parquet(f"{directory}/{name}.parquet")
+    added = {c: v for c, v in ADDED.get(name, {}).items() if c in table.columns}
+    return table.withColumns({c: F.coalesce(F.col(c), F.expr(v)).cast(table.schema[c].dataType) for c, v in added.items()}) if added else table
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
