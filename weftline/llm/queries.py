@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe, embedding_dedup, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, substring, warc
+from weftline.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +61,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_license_scan, op7_substring_dedup, op8_warc, op9_bpe, op10_html_text,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
