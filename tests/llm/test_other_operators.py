@@ -35,6 +35,22 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_cells_do_not_depend_on_the_batch_and_pairs_meet():
+    rng = np.random.default_rng(4)
+    unit = embedding_dedup._unit(rng.standard_normal((3000, 64)))
+    labels = np.ones(len(unit), np.int64)
+    keys, signs = embedding_dedup.cells(unit, labels)
+    for some in (np.arange(1), np.arange(7, 500), rng.permutation(3000)[:1111]):
+        again, same = embedding_dedup.cells(unit[some], labels[some])
+        assert (again == keys[some]).all() and (same == signs[some]).all()
+    step = rng.standard_normal(unit.shape)
+    step -= (step * unit).sum(axis=1, keepdims=True) * unit
+    near = unit * 0.98 + step / np.linalg.norm(step, axis=1, keepdims=True) * np.sqrt(1 - 0.98**2)  # all at the threshold
+    other, others = embedding_dedup.cells(embedding_dedup._unit(near), labels)
+    assert (keys == other).any(axis=1).all() and 0.25 < (keys == other).mean() < 0.45
+    assert (np.bitwise_count(signs.view(np.uint64) ^ others.view(np.uint64)) <= embedding_dedup.SIGNS).all()
+
+
 def test_a_bucket_of_many_blocks_is_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(3)

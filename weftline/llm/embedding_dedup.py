@@ -21,6 +21,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -37,11 +38,18 @@ TABLES, PROJECTIONS, WIDTH, SEED = 36, 13, 2.0, 17
 SIGNS, BLOCK = 20, 512
 
 
+#: Fixed-point steps of a unit vector's component and of a projection's. Their products and sums are whole numbers below
+#: 2**53, so a vector falls into the same cells wherever and in whatever batch it is hashed.
+FINE, COARSE = 1 << 20, 1 << 10
+
+
+@functools.lru_cache(maxsize=8)
 def planes(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projections (those of the tables, then 64 for signs), offsets and odd multipliers for vectors of a length; the same everywhere."""
     rng = np.random.default_rng([SEED, dims])
     n = TABLES * PROJECTIONS
-    return rng.standard_normal((dims, n + 64)), rng.uniform(0, WIDTH, n), rng.integers(1, 1 << 62, (TABLES, PROJECTIONS), np.int64) * 2 + 1
+    a, b = np.rint(rng.standard_normal((dims, n + 64)) * COARSE), np.floor(rng.uniform(0, WIDTH, n) * FINE * COARSE)
+    return a, b, rng.integers(1, 1 << 62, (TABLES, PROJECTIONS), np.int64) * 2 + 1
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -52,8 +60,8 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def cells(unit: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each vector in each table, and its signs."""
     a, b, odd = planes(unit.shape[1])
-    seen = unit @ a
-    cell = np.floor((seen[:, : len(b)] + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, PROJECTIONS)
+    seen = np.rint(unit * FINE) @ a
+    cell = np.floor((seen[:, : len(b)] + b) / (WIDTH * FINE * COARSE)).astype(np.int64).reshape(len(unit), TABLES, PROJECTIONS)
     key = ((cell * odd).sum(axis=2) + (labels.astype(np.int64) * 1_000_003 + unit.shape[1])[:, None] * odd[:, 0] + np.arange(TABLES)).view(np.uint64)
     key = (key ^ key >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
     signs = np.packbits(seen[:, len(b) :] > 0, axis=1).view(np.int64)[:, 0]
@@ -121,9 +129,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vectors:
     """Rows of one block of a bucket as arrays; all vectors are of one length."""
 
-    def __init__(self, node: np.ndarray, copies: np.ndarray, vector: np.ndarray, keys: np.ndarray):
-        self.node, self.copies, self.vector, self.keys = node, copies, vector, keys
-        self.unit, self.links = _unit(vector), np.zeros(len(node), np.int64)
+    def __init__(self, node: np.ndarray, copies: np.ndarray, vector: np.ndarray, unit: np.ndarray, keys: np.ndarray):
+        self.node, self.copies, self.vector, self.unit, self.keys = node, copies, vector, unit, keys
+        self.links = np.zeros(len(node), np.int64)
 
 
 def link(a: Vectors, b: Vectors, table: int, root: dict[int, int]) -> None:
@@ -156,24 +164,26 @@ def _top(root: dict[int, int], n: int) -> int:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, links, root) of what is linked within pairs of blocks."""
-
-    def group(rows: pa.RecordBatch, out: list) -> None:
-        side, label, node, copies = (np.array(rows.column(c)) for c in ("side", "label", "node", "copies"))
-        bucket, same, root = rows.column("bucket")[0].as_py(), rows.column("i")[0] == rows.column("j")[0], {}
-        for at, vectors in _by_length(rows.column("embedding")):
-            keys, _ = cells(_unit(vectors), label[at])
-            sides = [Vectors(node[at[one]], copies[at[one]], vectors[one], keys[one]) for part in (0, 1) if len(one := np.flatnonzero(side[at] == part))]
-            if len(sides) == 1 + (not same):
-                link(sides[0], sides[-1], keys[0].tolist().index(bucket), root)
-            for s in sides:
-                new = s.links > 0
-                out.append((s.node[new], s.links[new], np.array([_top(root, n) for n in s.node[new].tolist()], np.int64)))
-
     for batch, starts in _groups(batches):
+        side, label, node, copies, bucket = (np.array(batch.column(c)) for c in ("side", "label", "node", "copies", "bucket"))
+        same = np.array(batch.column("i")) == np.array(batch.column("j"))
+        number = np.cumsum(np.isin(np.arange(batch.num_rows), starts))
         out: list = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
-            group(batch.slice(a, b - a), out)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "links", "root"])
+        for rows, vectors in _by_length(batch.column("embedding")):
+            unit = _unit(vectors)
+            keys, _ = cells(unit, label[rows])
+            cuts = np.flatnonzero(np.diff(number[rows])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+                parts = [part for part in (a + np.flatnonzero(side[rows[a:b]] == k) for k in (0, 1)) if len(part)]
+                if b - a < 2 or len(parts) != 1 + (not same[rows[a]]):
+                    continue
+                sides, root = [Vectors(node[rows[p]], copies[rows[p]], vectors[p], unit[p], keys[p]) for p in parts], {}
+                link(sides[0], sides[-1], int(np.argwhere(keys[a:b] == bucket[rows[a]])[0, 1]), root)
+                for s in sides:
+                    new = s.links > 0
+                    out.append((s.node[new], s.links[new], np.array([_top(root, n) for n in s.node[new].tolist()], np.int64)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "links", "root"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -212,7 +222,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     grouped = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     others = found.groupBy("node").agg(F.sum("links").alias("others"))
     rooted = nodes.join(grouped, nodes.node == grouped.id, "left").select("node", "copies", "least", F.coalesce("component_id", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")  # so that the join can be split
     result = rooted.join(others, "node", "left").join(least, "root").select(
         "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component")
     )
