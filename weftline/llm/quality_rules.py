@@ -6,7 +6,9 @@ per-task sums are shuffled, and only ``N_BUCKETS`` rows reach the driver. The se
 mean log ratio per n-gram and thresholds it, so the outcome depends on the document and the tables alone.
 
 Null or empty text has no words: it fails the base rule and is not kept, with score 0. Equal rows get equal
-verdicts; null ids pass through. With no trusted document all scores are 0 and only the base rule decides.
+verdicts; null ids pass through. With no trusted document all scores are 0 and only the base rule decides. Very long texts
+count whole, one at a time. An empty table gives an empty result; other columns are not read, and pass through
+``keep_good`` whatever their names.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def trusted_ids(labels: DataFrame, bound: int = TARGET_BOUND) -> np.ndarray:
     """Ids of about ``bound`` trusted documents at most: good, not toxic, of least hash rank; the same on every run."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     share = min(1.0, bound / max(1, good.count()))
-    picked = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * bound)
+    picked = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
     return np.sort(np.array([r[0] for r in picked.collect()], np.int64))
 
 
