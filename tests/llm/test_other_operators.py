@@ -191,6 +191,13 @@ def test_class_words_mark_a_block_only_when_they_are_all_of_its_name(names, drop
         assert ("has a name" not in html_text.main_text(page)) == dropped, tag
 
 
+def test_a_header_by_class_is_the_pages_outside_of_the_article_only():
+    long = "A sentence with quite a few words in it. " * 6
+    page = f"<body><div class='site-header'><p>The site's own words.</p></div><article><div class='header'><h1>Title of it</h1></div><p>{long}</p></article></body>"
+    assert html_text.main_text(page) == f"Title of it\n{long.strip()}"
+    assert html_text.main_text(page.replace("article", "div")) == long.strip()
+
+
 def test_a_marked_element_with_most_of_the_text_is_the_article():
     long = "A sentence with quite a few words in it. " * 20
     assert html_text.main_text(f"<body><p>Top</p><div class=widget><p>{long}</p></div></body>").endswith(long.strip())
