@@ -25,12 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a folder of our own if all run in this machine's one process, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_weftline_folder", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext._weftline_folder = folder
     return folder.rstrip("/")
 
 
