@@ -130,6 +130,14 @@ def test_simhash_against_all_pairs(docs):
     assert simhash.report(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group_stays_without_ids_too(spark):
+    long = lambda word: " ".join(f"{word}{k}" for k in range(60))
+    rows = [(5, long("a")), (3, long("a")), (None, long("a")), (None, long("b")), (None, long("b") + " b60"), (5, long("c")), (4, long("c")), (None, None), (9, ""), (7, long("d")), (7, long("d"))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    close = (brute_fingerprint(rows[3][1]) ^ brute_fingerprint(rows[4][1])).bit_count() <= 4
+    assert sorted((r.doc_id or -1, (r.text or "")[:1]) for r in kept) == sorted([(3, "a"), (4, "c"), (7, "d"), (7, "d"), (9, ""), (-1, "b"), *([] if close else [(-1, "b")])])
+
+
 def test_anchors_cover_and_find_every_close_pair():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 500)
@@ -202,13 +210,13 @@ def test_shards_find_every_phrase_by_its_words():
     rng = random.Random(4)
     text = [f"v{rng.randrange(60)}".encode() for _ in range(4000)] + [b"x"] * 40
     phrases = sorted({b" ".join(text[k : k + substring.PHRASE]) for k in rng.sample(range(len(text) - 8), 50)} | {b" ".join([b"x"] * 8)})
-    shards = substring.shards(phrases, 7)
+    shards, of = substring.shards(phrases, 7), lambda words: substring.WordHashes().of(b" ".join(words))
     assert len(shards) == -(-len(phrases) // 7)
     want = [k for k in range(len(text) - 7) if b" ".join(text[k : k + 8]) in set(phrases)]
-    assert sorted(np.concatenate([s.hits(text) for s in shards]).tolist()) == want
-    assert not len(shards[0].hits([b"nothing", b"of", b"it"]))
-    many = substring.Shard([b" ".join(f"{k}-{j}".encode() for j in range(8)) for k in range(9000)])  # beyond the surrogates
-    assert many.hits([f"{8999}-{j}".encode() for j in range(8)]).tolist() == [0]
+    assert sorted(np.concatenate([s.hits(of(text)) for s in shards]).tolist()) == want
+    assert not len(shards[0].hits(of([b"nothing", b"of", b"it"])))
+    many = substring.Shard([b" ".join(f"{k}-{j}".encode() for j in range(8)) for k in range(9000)])
+    assert many.hits(of([f"{8999}-{j}".encode() for j in range(8)])).tolist() == [0]
 
 
 def test_substring_tells_texts_of_one_id_apart(spark):

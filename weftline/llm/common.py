@@ -29,12 +29,12 @@ ROW_GROUP = 16 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own if all run in this machine's one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_weftline_folder", None)
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext._weftline_folder = path
     return path.rstrip("/")
 
 
@@ -144,5 +144,6 @@ def components(edges: DataFrame) -> DataFrame:
     if mapping is None:
         return left.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     remove(left)
-    least = mapping.groupBy("cur").agg(F.min("id").alias("component_id"))
+    # written first: a join of its own can be split where one component holds many rows
+    least = materialize(mapping.groupBy("cur").agg(F.min("id").alias("component_id")), "least")
     return mapping.join(least, "cur").select("id", "component_id")

@@ -9,7 +9,13 @@ where one of the two lives, and every meeting is compared exactly on all 64 bits
 
 Equal fingerprints are one vertex, so exact copies never multiply. Residents of an anchor are dealt into blocks
 of bounded size and each visitor reads each block of its anchor; a block keeps its residents in memory and
-streams the visitors, and reports one edge to a local root for each vertex it joins, never all pairs.
+streams the visitors, and reports one edge to a local root for each vertex it joins, never all pairs. The last part has
+2**18 anchors whatever the corpus, so from some billions of distinct fingerprints its blocks make most of the work; ``PARTS``
+can be given with longer parts and larger allowances, which trade that for more copies.
+
+Null and empty texts have fingerprint zero and are linked like any other. Rows equal in text share a fingerprint and so a
+component; null ids get their group's smallest id and are kept only where no row of it has an id. Very long texts count
+whole. An empty table gives an empty result; other columns are not read, and pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -56,13 +62,13 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([fingerprint(t) for t in text_rows(batch)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp)], ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row; fp holds the 64 bits as a signed long."""
+    """(doc_id, h, fp) per row; h is the text's hash, fp holds the 64 bits as a signed long."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def remainders(words: np.ndarray) -> np.ndarray:
@@ -213,7 +219,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable, nulls last).
+    """One row per row of ``docs``: doc_id, h, fp, component_id (the smallest doc_id reachable, nulls last) and root, which names the component.
 
     Empty and null texts share fingerprint zero. Rows with a null id get their group's smallest id, or null if it has none.
     """
@@ -221,8 +227,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(groups.select("fp")))
     rooted = groups.join(linked, groups.fp == linked.id, "left").select("fp", "least", F.coalesce("component_id", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # so that the join can be split
+    return fps.join(rooted.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -231,6 +238,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their group; rows that share an id share its fate."""
-    groups = near_duplicates(docs).where("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
+    """Rows of ``docs`` whose id is the smallest of their group, or in a group without ids the texts of least hash; equal rows share their fate."""
+    near = materialize(near_duplicates(docs), "groups")
+    named = near.where("doc_id = component_id").select("doc_id", "h")
+    nameless = near.where("component_id IS NULL").groupBy("root").agg(F.min("h").alias("h")).select(F.lit(None).cast("long").alias("doc_id"), "h")
+    kept = named.union(nameless).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id) & (F.xxhash64(docs.text) == kept.h), "left_semi")
