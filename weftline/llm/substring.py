@@ -34,13 +34,15 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import MAX_LONG, materialize, release, remove, settle, ship, text_rows
+from weftline.llm.common import MAX_LONG, materialize, release, remove, settle, ship
 
 WINDOW, PHRASE = 20, 8
 SPAN = WINDOW - PHRASE + 1
-#: Bytes of text in a bucket, on average; phrases of one automaton at most.
-BUCKET, SHARD = 4 << 20, 100_000
+#: Bytes of text in a bucket, on average; phrases of one automaton at most; characters of a word and bits of a character in
+#: it, enough for all words of a shard.
+BUCKET, SHARD, DIGITS, BITS = 4 << 20, 100_000, 3, 7
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -125,8 +127,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    kinds = ", ".join(f"`{n}` {'binary' if n == 'text' else k}" for n, k in docs.dtypes)
-    return docs.mapInArrow(_pack, kinds)
+    return docs.mapInArrow(_pack, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]))
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -141,7 +142,7 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, rolling = WordHashes(), Rolling(BASE)
     for batch in batches:
         h, b = [], []
-        for text, bucket in zip(text_rows(batch), np.array(batch.column("bucket")), strict=True):
+        for text, bucket in zip(unpacked(batch), np.array(batch.column("bucket")), strict=True):
             words = hashes.of(text)
             if len(words) >= WINDOW:
                 phrase, pick, _ = chosen(rolling.prefix(words), rolling)
@@ -205,25 +206,31 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """An automaton over some phrases whose letters are their words."""
+    """An automaton over some phrases whose letters are whole words.
+
+    A word is spelled by its number in ``DIGITS`` characters, each of an alphabet of its own, so hits start at words only; small
+    alphabets keep nodes from branching much. A word is found by its hash; words of no phrase are all spelled alike.
+    """
 
     def __init__(self, phrases: list[bytes]):
-        words = [p.split(b" ") for p in phrases]
-        self.letters = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(words)), 1)}
+        hashes = WordHashes()
+        words = np.concatenate([hashes.of(b" ".join(phrases[k : k + 2048])) for k in range(0, len(phrases), 2048)])
+        self.known = np.unique(words)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in words:
-            self.automaton.add_word(self.spell(p))
+        spelled, step = self.spell(words), DIGITS * PHRASE
+        for k in range(0, len(spelled), step):
+            self.automaton.add_word(spelled[k : k + step])
         self.automaton.make_automaton()
 
-    def spell(self, words: list[bytes]) -> str:
-        """One character a word; words of no phrase are all the same one. Surrogates, which are no characters, are left out."""
-        letters = np.fromiter(map(self.letters.get, words, itertools.repeat(0)), np.uint32, len(words))
-        letters[letters >= 0xD800] += 0x800
-        return letters.tobytes().decode("utf-32-le")
+    def spell(self, words: np.ndarray) -> str:
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        number = np.where(self.known[at] == words, at + 1, 0)
+        digits = number[:, None] >> np.arange(0, BITS * DIGITS, BITS) & ((1 << BITS) - 1)
+        return (digits + (np.arange(1, DIGITS + 1) << BITS)).astype("<u2").tobytes().decode("utf-16-le")
 
-    def hits(self, words: list[bytes]) -> np.ndarray:
-        """Positions at which a phrase starts."""
-        return np.fromiter((end for end, _ in self.automaton.iter(self.spell(words))), np.int64) - (PHRASE - 1)
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Positions at which a phrase starts, of the hashes of a text's words."""
+        return (np.fromiter((end for end, _ in self.automaton.iter(self.spell(words))), np.int64) + 1) // DIGITS - PHRASE
 
 
 def shards(phrases: list[bytes], size: int = SHARD) -> list[Shard]:
@@ -247,15 +254,14 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automata = shards(sorted(parts))
         out: list[list] = [[] for _ in names]
         for text, d, variant in zip(unpacked(rows), rows.column("d").to_pylist(), rows.column("variant").to_pylist(), strict=True):
-            words = text.split()
-            if len(words) < WINDOW:
+            h = hashes.of(text)
+            if len(h) < WINDOW:
                 continue
-            located = np.zeros(len(words), bool)
+            located = np.zeros(len(h), bool)
             for automaton in automata:
-                located[automaton.hits(words)] = True
+                located[automaton.hits(h)] = True
             if not located.any():
                 continue
-            h = hashes.of(text)
             p1 = one.prefix(h)
             phrase, pick, first = chosen(p1, one)
             last = np.concatenate([first[1:], [len(h) - WINDOW + 1]])
@@ -263,6 +269,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not keep.any():
                 continue
             phrase, first, last = phrase[pick[keep]], first[keep], last[keep]
+            words = text.split()
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             begin, end = (ends[first - 1] * (first > 0)).tolist(), (ends[last + WINDOW - 2] - 1).tolist()
@@ -300,26 +307,27 @@ def _beside(needles: DataFrame, docs: DataFrame) -> DataFrame:
     return first.unionAll(second).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
 
-def segments(docs: DataFrame) -> DataFrame:
+def framed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Table of ``columns``, d, variant, the packed text and its bytes: what every later step reads instead of ``docs``."""
+    ship(docs.sparkSession)
+    return materialize(packed(keyed(docs, *columns, "text", F.octet_length("text").alias("bytes"))), "texts")
+
+
+def segments(texts: DataFrame) -> DataFrame:
     """Table of located segments: h, their phrase's hash; (a, b), their key; (d, variant), the document; start, n windows and their keys."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = keyed(docs, "text")
-    sizes = materialize(rows.select("d", "variant", F.octet_length("text").alias("bytes")), "sizes")
-    total = sizes.agg(F.sum("bytes")).head()[0] or 0
+    spark = texts.sparkSession
+    total = texts.agg(F.sum("bytes")).head()[0] or 0
     bucket = F.pmod(F.xxhash64("d", "variant"), F.lit(total // BUCKET + 1)).cast("int").alias("bucket")
-    counted = rows.select("text", bucket).mapInArrow(_phrases, "h long, bucket int, n int")
-    phrases = materialize(counted, "phrases")
+    phrases = materialize(texts.select("text", bucket).mapInArrow(_phrases, "h long, bucket int, n int"), "phrases")
     recurring = phrases.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     wanted = materialize(phrases.join(recurring, "h").select("bucket", "h"), "wanted")
-    del counted, recurring
+    del recurring
     release(spark, phrases)
-    frames = packed(rows.select(bucket, "d", "variant", "text"))
-    if not sizes.groupBy("d", "variant").count().where("count > 1").isEmpty():
-        frames = frames.dropDuplicates(["d", "variant"])  # of equal rows one, lest a group of them fill a bucket
-    frames = materialize(frames, "texts")
+    frames, own = texts.select(bucket, "d", "variant", "text"), None
+    if not texts.groupBy("d", "variant").count().where("count > 1").isEmpty():  # of equal rows one, lest a group of them fill a bucket
+        frames = own = materialize(frames.dropDuplicates(["d", "variant"]), "distinct")
     spelled = materialize(_beside(wanted, frames).mapInArrow(_spelled, "phrase binary, bucket int, n int"), "spelled")
-    remove(wanted, sizes)
+    remove(wanted)
     confirmed = spelled.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
     needles = materialize(spelled.join(confirmed, "phrase").select("bucket", "phrase"), "confirmed")
     del confirmed
@@ -329,13 +337,14 @@ def segments(docs: DataFrame) -> DataFrame:
     )
     found = materialize(located, "segments")
     del located
-    release(spark, needles, frames)
+    remove(own)
+    release(spark, needles)
     return found
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(d, variant, runs): per document the runs of windows (start, n) that also start earlier."""
-    spark, found = docs.sparkSession, segments(docs)
+def removals(texts: DataFrame) -> DataFrame:
+    """(d, variant, runs): per document of a ``framed`` table the runs of windows (start, n) that also start earlier."""
+    spark, found = texts.sparkSession, segments(texts)
     place = F.struct("d", "start")
     later = place > F.col("first")
     first = materialize(found.groupBy("a", "b").agg(F.min("h").alias("h"), F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first")
@@ -377,8 +386,9 @@ def kept_words(text: bytes, runs) -> tuple[list[bytes], int]:
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k], len(words)
 
 
-def _with_runs(docs: DataFrame, *columns) -> DataFrame:
-    return packed(keyed(docs, *columns)).join(removals(docs), ["d", "variant"], "left").drop("d", "variant")
+def _with_runs(docs: DataFrame, column: str) -> DataFrame:
+    texts = framed(docs, column)
+    return texts.select(column, "d", "variant", "text").join(removals(texts), ["d", "variant"], "left").drop("d", "variant")
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,15 +405,14 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
-    return _with_runs(docs, "doc_id", "text").mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs, "doc_id").mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated words: texts with removals become their kept words joined by a space, others stay."""
-    ship(docs.sparkSession)
     columns = docs.columns
     rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("row")
-    joined = _with_runs(docs.select("doc_id", "text", rest), "text", "row")
+    joined = _with_runs(docs.select("doc_id", "text", rest), "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,6 +423,6 @@ def rewrite(docs: DataFrame) -> DataFrame:
                 new.append(left.decode() if frames[row].is_valid else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "text"])
 
-    out = joined.mapInArrow(cut, f"row {dict(joined.dtypes)['row']}, text string")
+    out = joined.mapInArrow(cut, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
     fields = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[fields[c].alias(c) if c in fields else F.col("row")[c].alias(c) for c in columns])
