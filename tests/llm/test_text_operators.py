@@ -207,16 +207,16 @@ def test_nothing_is_removed_where_the_automata_report_nothing(spark, docs, monke
 
 
 def test_shards_find_every_phrase_by_its_words():
-    rng = random.Random(4)
+    rng, size = random.Random(4), substring.PHRASE
     text = [f"v{rng.randrange(60)}".encode() for _ in range(4000)] + [b"x"] * 40
-    phrases = sorted({b" ".join(text[k : k + substring.PHRASE]) for k in rng.sample(range(len(text) - 8), 50)} | {b" ".join([b"x"] * 8)})
+    phrases = sorted({b" ".join(text[k : k + substring.PHRASE]) for k in rng.sample(range(len(text) - size), 50)} | {b" ".join([b"x"] * size)})
     shards, of = substring.shards(phrases, 7), lambda words: substring.WordHashes().of(b" ".join(words))
     assert len(shards) == -(-len(phrases) // 7)
-    want = [k for k in range(len(text) - 7) if b" ".join(text[k : k + 8]) in set(phrases)]
+    want = [k for k in range(len(text) - size + 1) if b" ".join(text[k : k + size]) in set(phrases)]
     assert sorted(np.concatenate([s.hits(of(text)) for s in shards]).tolist()) == want
     assert not len(shards[0].hits(of([b"nothing", b"of", b"it"])))
-    many = substring.Shard([b" ".join(f"{k}-{j}".encode() for j in range(8)) for k in range(9000)])
-    assert many.hits(of([f"{8999}-{j}".encode() for j in range(8)])).tolist() == [0]
+    many = substring.Shard([b" ".join(f"{k}-{j}".encode() for j in range(size)) for k in range(9000)])
+    assert many.hits(of([f"{8999}-{j}".encode() for j in range(size)])).tolist() == [0]
 
 
 def test_substring_tells_texts_of_one_id_apart(spark):

@@ -1,17 +1,17 @@
 """Substring dedup by automata over recurring phrases.
 
-A *window* is 20 consecutive words; a *phrase* is the 8 consecutive words of a window whose hash is least (the
+A *window* is 20 consecutive words; a *phrase* is the 6 consecutive words of a window whose hash is least (the
 first of equals). Equal windows have equal phrases at equal offsets, so a window can repeat only if its phrase recurs.
 Documents are dealt by hash into *buckets* of about ``BUCKET`` bytes of text, whatever their ids.
 
-1. Count: hashes of the chosen phrases, about one for seven words, are summed over the corpus. Those seen twice are
+1. Count: hashes of the chosen phrases, about one for eight words, are summed over the corpus. Those seen twice are
    sent to the buckets that hold them.
 2. Confirm: each bucket spells these phrases, and the corpus counts them again by their words. The passages that recur
    so are what the automata are made of.
 3. Locate: the confirmed phrases that a bucket may hold are cut into shards of bounded size, each compiled into an
    Aho-Corasick automaton (pyahocorasick) whose letters are whole words. Every document of the bucket streams through
    every shard, and only where an automaton reports an occurrence is anything looked at further.
-4. Mark: consecutive windows that share an occurrence form a *segment* of at most 32 words. Equal segments (by a
+4. Mark: consecutive windows that share an occurrence form a *segment* of at most 34 words. Equal segments (by a
    128-bit BLAKE2 digest of their words) repeat all their windows, so the first stands for the others; only
    where one phrase has several different segments are single windows compared, by 96 bits of hashes. Whatever is not
    first in (doc_id, start) is removed.
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import MAX_LONG, materialize, release, remove, settle, ship
 
-WINDOW, PHRASE = 20, 8
+WINDOW, PHRASE = 20, 6
 SPAN = WINDOW - PHRASE + 1
 #: Bytes of text in a bucket, on average; phrases of one automaton at most; characters of a word and bits of a character in
 #: it, enough for all words of a shard.
