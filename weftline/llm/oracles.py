@@ -28,6 +28,25 @@ f AS (SELECT payload_digest, min(id) AS least FROM p WHERE payload_bytes >= 100
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN least < id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN least < id THEN least END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
 
 
+#: Densely: every kept term in every group.
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT n, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT n) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+own AS (SELECT lang, source, sum(c) AS own_n FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(own_n, 0) AS own_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN own USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (own_n + v) AS HUGEINT) AS p, CAST(1 + (1000000000::HUGEINT * (total + 1)) // (lang_n + v) AS HUGEINT) AS q
+ FROM g JOIN k USING (lang) JOIN sizes USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -59,4 +78,5 @@ FROM texts LEFT JOIN found USING (n)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": EMBEDDINGS, "op6_license_scan": license_scan(), "op7_substring_dedup": SUBSTRINGS, "op8_warc": ARCHIVES,
+    "op11_source_divergence": DIVERGENCE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, embedding_dedup, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, substring, warc
+from weftline.llm import bpe, divergence, embedding_dedup, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, substring, warc
 from weftline.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -54,10 +54,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_simhash,
         op6_license_scan, op7_substring_dedup, op8_warc, op9_bpe, op10_html_text,
+        op11_source_divergence,
     )
 }
