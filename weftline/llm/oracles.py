@@ -47,6 +47,27 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORD
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
 
+def clusters(rounds: int = 3, k: int = 16) -> str:
+    """Lloyd rounds unrolled; products of these small whole numbers are exact in doubles."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS (SELECT n, k, list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c.v) + list_dot_product(c.v, c.v) AS d FROM kept x CROSS JOIN c{r} c),
+a{r} AS (SELECT n, k, CAST(d AS BIGINT) AS distance FROM d{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (SELECT k, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM kept JOIN a{r} USING (n)) GROUP BY ALL),
+c{r + 1} AS (SELECT c.k, coalesce(new.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, list(CAST((s - ((s % m) + m) % m) // m AS DOUBLE) ORDER BY p) AS v FROM m{r} GROUP BY k) new USING (k))""")
+    steps = ",\n".join(parts)
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS n, vec_id, e, list_transform(e, lambda x: floor(64 * x)) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+ WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS k, v FROM kept QUALIFY k < {k}),
+{steps},
+sizes AS (SELECT k, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} USING (n) JOIN c{rounds} c USING (k) JOIN sizes USING (k)"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -78,5 +99,5 @@ FROM texts LEFT JOIN found USING (n)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": EMBEDDINGS, "op6_license_scan": license_scan(), "op7_substring_dedup": SUBSTRINGS, "op8_warc": ARCHIVES,
-    "op11_source_divergence": DIVERGENCE,
+    "op11_source_divergence": DIVERGENCE, "op13_centroids": clusters(),
 }

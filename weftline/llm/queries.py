@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, divergence, embedding_dedup, html_text, licenses, mixing, quality_classifier, quality_rules, simhash, substring, warc
+from weftline.llm import bpe, centroids, divergence, embedding_dedup, html_text, licenses, mixing, quality_classifier, quality_rules, sharding, simhash, substring, warc
 from weftline.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -58,11 +58,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_simhash,
         op6_license_scan, op7_substring_dedup, op8_warc, op9_bpe, op10_html_text,
-        op11_source_divergence,
+        op11_source_divergence, op12_sharding, op13_centroids,
     )
 }
