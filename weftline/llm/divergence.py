@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ from weftline.llm.common import materialize, settle, ship, text_rows
 
 #: Documents of a language that a kept term is found in; rows of a group in part ``term``; what probabilities are multiplied by.
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
-#: Postings that fill a block (some 300 bytes each), and postings of a segment.
-BLOCK, SEGMENT = 200_000, 256
+#: Postings that fill a block (some 400 bytes each), and terms of a segment.
+BLOCK, SEGMENT = 500_000, 256
 #: Bytes of input for each merging task at most, and slots of a task.
 SHARD, SLOTS = 32 << 20, 8
 #: Bytes of a text that are split into terms at a time; sums of pairs that a task holds.
@@ -57,7 +59,7 @@ def terms(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
             while not cut:
                 piece += text[more : more + size].translate(_BYTES)
                 more += size
-                cut = piece.rfind(b" ", len(piece) - size) + 1 if more < len(text) else len(piece)
+                cut = piece.rfind(b" ") + 1 if more < len(text) else len(piece)
             piece = piece[:cut]
         at += len(piece)
         yield piece.split()
@@ -79,34 +81,53 @@ class Block:
         docs.update(seen)
         self.size += len(counts) - before
 
-    def run(self, slots: int) -> list[tuple]:
-        """(slot, key, source, n, docs) in order; the key is language, zero byte, term. The empty term stands for the group itself."""
-        rows = []
-        for (lang, source), (counts, docs) in self.groups.items():
+    def run(self, slots: int) -> pa.Table:
+        """(key, source, n, docs) in the order of keys: slot, language, zero byte, term. The empty term stands for the group itself."""
+        keys, ns, docs, sizes, slot = [], [], [], [], struct.Struct(">I").pack
+        for (lang, _), (counts, found) in self.groups.items():
             head = lang.encode() + b"\0"
             start = zlib.crc32(head)
-            rows.append((start % slots, head, source, 0, 0))
-            rows += [(zlib.crc32(term, start) % slots, head + term, source, n, docs[term]) for term, n in counts.items()]
-        rows.sort()
-        return rows
-
-
-RUN = "slot int, first binary, keys array<binary>, sources array<string>, n array<long>, docs array<long>"
-
-
-def segments(run: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
-    """A run as rows of ``RUN``, each of one slot."""
-    slots = np.array([r[0] for r in run], np.int32)
-    edges = np.flatnonzero(np.diff(slots)) + 1
-    cuts = [0, *edges.tolist(), len(run)]
-    starts = [k for a, b in itertools.pairwise(cuts) for k in range(a, b, size)]
-    for k in range(0, len(starts), 256):
-        some = [*starts[k : k + 256], starts[k + 256] if k + 256 < len(starts) else len(run)]
-        part = run[some[0] : some[-1]]
-        offsets = pa.array(np.array(some, np.int32) - some[0], pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c, kind)) for c, kind in zip(list(zip(*part, strict=True))[1:], (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-        firsts = pa.array([run[i][1] for i in some[:-1]], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(slots[some[:-1]]), firsts, *lists], ["slot", "first", "keys", "sources", "n", "docs"])
+            keys.append(slot(start % slots) + head)
+            keys += [slot(zlib.crc32(term, start) % slots) + head + term for term in counts]
+            ns += [0, *counts.values()]
+            docs += [0, *map(found.__getitem__, counts)]
+            sizes.append(len(counts) + 1)
+        sources = pa.array([source for _, source in self.groups], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        table = pa.table([pa.array(keys, pa.large_binary()), sources, pa.array(ns, pa.int64()), pa.array(docs, pa.int64())], ["key", "source", "n", "docs"])
+        return table.take(pc.array_sort_indices(table["key"].chunk(0))).combine_chunks()
+
+
+RUN = "slot int, first binary, keys array<binary>, ends array<int>, sources array<string>, n array<long>, docs array<long>"
+
+
+def _lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of the values between consecutive cuts."""
+    return pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), values.slice(cuts[0], cuts[-1] - cuts[0]))
+
+
+def segments(run: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
+    """A run as rows of ``RUN``, each of one slot: its distinct keys, where the postings of each end, and the postings."""
+    if not run.num_rows:
+        return
+    key, source, n, docs = (run[c].chunk(0) for c in ("key", "source", "n", "docs"))
+    new = np.append(True, np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1))))
+    starts = np.flatnonzero(new)
+    distinct = key.take(pa.array(starts)).to_pylist()
+    slots = np.array([int.from_bytes(k[:4], "big") for k in distinct], np.int32)
+    keys, starts = pa.array([k[4:] for k in distinct], pa.binary()), np.append(starts, run.num_rows)
+    edges = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+    cuts = np.array([*(k for a, b in itertools.pairwise(edges) for k in range(a, b, size)), len(slots)])  # in distinct keys
+    for k in range(0, len(cuts) - 1, 256):
+        some = cuts[k : k + 257]
+        ends = starts[1:] - np.repeat(starts[cuts[:-1]], np.diff(cuts))
+        at = starts[some]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(slots[some[:-1]]), keys.take(pa.array(some[:-1])), _lists(some, keys), _lists(some, pa.array(ends, pa.int32())),
+                _lists(at, source), _lists(at, n), _lists(at, docs),
+            ],
+            ["slot", "first", "keys", "ends", "sources", "n", "docs"],
+        )
 
 
 def _indexed(slots: int, block: int, segment: int):
@@ -117,43 +138,46 @@ def _indexed(slots: int, block: int, segment: int):
             for lang, source, text in named:
                 held.add(lang or "", source or "", text)
                 if held.size >= block:
-                    full, held = held, Block()
-                    yield from segments(full.run(slots), segment)
-        if held.groups:
-            yield from segments(held.run(slots), segment)
+                    full, held = held.run(slots), Block()
+                    yield from segments(full, segment)
+        yield from segments(held.run(slots), segment)
         settle()
 
     return index
 
 
-def merged(rows: Iterator[tuple[int, bytes, list, list, list, list]]) -> Iterator[tuple[bytes, dict[str, int], int]]:
+def merged(rows: Iterator[tuple[int, bytes, list, list, list, list, list]]) -> Iterator[tuple[bytes, dict[str, int], int]]:
     """(key, count of each source, documents) of segments that come in the order of slot and first key.
 
     The heap holds a cursor for each open segment. Before a segment is taken in, all keys before its first are merged.
     """
-    heap: list[tuple[bytes, int, int, tuple]] = []
-    slot, key, found, docs, number = None, None, {}, 0, itertools.count()
+    heap: list[tuple[bytes, int, int, int, tuple]] = []
+    slot, key, found, total, number = None, None, {}, 0, 0
     for row in itertools.chain(rows, [None]):
         limit = None if row is None or row[0] != slot else row[1]
         while heap and (limit is None or heap[0][0] < limit):
-            least, n, at, held = heap[0]
+            least, order, at, start, held = heap[0]
             if least != key:
                 if key is not None:
-                    yield key, found, docs
-                key, found, docs = least, {}, 0
-            source = held[3][at]
-            found[source] = found.get(source, 0) + held[4][at]
-            docs += held[5][at]
-            if (at := at + 1) < len(held[2]):
-                heapq.heapreplace(heap, (held[2][at], n, at, held))
+                    yield key, found, total
+                key, found, total = least, {}, 0
+            _, _, keys, ends, sources, n, docs = held
+            end = ends[at]
+            for i in range(start, end):
+                source = sources[i]
+                found[source] = found.get(source, 0) + n[i]
+                total += docs[i]
+            at += 1
+            if at < len(keys):
+                heapq.heapreplace(heap, (keys[at], order, at, end, held))
             else:
                 heapq.heappop(heap)
         if limit is None and key is not None:
-            yield key, found, docs
+            yield key, found, total
             key = None
         if row is not None:
-            slot = row[0]
-            heapq.heappush(heap, (row[1], next(number), 0, row))
+            slot, number = row[0], number + 1
+            heapq.heappush(heap, (row[1], number, 0, 0, row))
 
 
 def _frequencies(least: int):
@@ -162,9 +186,9 @@ def _frequencies(least: int):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    yield tuple(c[k].as_py() for c in batch.columns)
+            for batch in batches:  # a few segments at a time become Python's
+                for k in range(0, batch.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True)
 
         out, size = [], 0
         for key, found, docs in merged(rows()):
@@ -192,7 +216,8 @@ def frequencies(docs: DataFrame, least: int = LEAST, block: int = BLOCK, segment
     ship(spark)
     texts = docs.select("lang", "source", "text")
     size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD), 100_000))
+    size = size if size < 1 << 60 else 0  # of an input whose size Spark does not know
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     runs = texts.mapInArrow(_indexed(SLOTS * tasks, block, segment), RUN)
     dealt = runs.repartition(tasks, "slot").sortWithinPartitions("slot", "first")
     return dealt.mapInArrow(_frequencies(least), "lang string, term string, sources array<string>, counts array<long>")
