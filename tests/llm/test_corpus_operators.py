@@ -5,13 +5,14 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 import xxhash
 
-from weftline.llm import centroids, divergence, sharding
+from weftline.llm import centroids, divergence, html_text, quality_classifier, sharding
 
 LONG_TEXT = "Zebra " + "ab-Cd é " * 300_000
 
@@ -209,3 +210,28 @@ def test_fewer_vectors_than_clusters_and_none(spark):
     frame = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<float>")
     assert Counter(map(tuple, centroids.cluster(frame, dims=2).collect())) == brute_clusters([(1, [1.0, 2.0]), (1, [1.0, 2.0])], 16, 3, 2, 64)
     assert centroids.cluster(frame.limit(0), dims=2).collect() == [] and centroids.cluster(frame).columns == centroids.cluster(frame, dims=2).columns
+
+
+@pytest.mark.parametrize("bound", [1, 30])
+def test_a_scorer_is_fitted_whatever_rows_repeat(spark, bound):
+    good = "the cat and the dog are in a house with an old tree that stands by the river for years as it was. " * 3
+    rows = spark.range(30_000).selectExpr("7L AS doc_id", f"'{good}' AS text", "'x' AS votes", "1 AS n")
+    out = quality_classifier.classify(rows, bound=bound)
+    assert out.distinct().count() == 1 and out.count() == 30_000
+    some = rows.limit(40).unionByName(spark.createDataFrame([(None, None, "", 0), (8, "", "", 0), (9, "%$ #$ %% $$", "", 0)], "doc_id long, text string, votes string, n int"))
+    drawn = quality_classifier.training_rows(some, 43, bound).collect()
+    assert 1 <= len(drawn) <= bound and sum(r.n for r in drawn) <= 43
+    assert quality_classifier.training_rows(some, 10**30, 2).count() == 2  # a share that rounds to nothing
+
+
+def test_unfinished_constructs_take_no_more_than_their_length():
+    began = time.process_time()
+    for piece in ("<a ", "<!--", '<a b="', "</a ", "<!x ", "<?x ", "<![CDATA[", "<!-- x>", "<a b='>", "<script><!--", "&am"):
+        text = html_text.main_text("<html><body><article><p>Words of an article stand here.</p></article>" + piece * 20_000)
+        assert text.startswith("Words of an article stand here.")
+    assert time.process_time() - began < 20
+
+
+def test_formulas_belong_to_the_article():
+    page = "<html><body><article><p>Let <math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> be large.</p><p>And <svg><text>no</text></svg>more.</p></article></body></html>"
+    assert html_text.main_text(page) == "Let x be large.\nAnd more."

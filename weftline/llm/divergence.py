@@ -39,7 +39,7 @@ from weftline.llm.common import materialize, settle, ship, text_rows
 #: Documents of a language that a kept term is found in; rows of a group in part ``term``; what probabilities are multiplied by.
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 #: Postings that fill a block (some 400 bytes each), and terms of a segment.
-BLOCK, SEGMENT = 500_000, 256
+BLOCK, SEGMENT = 900_000, 256
 #: Bytes of input for each merging task at most, and slots of a task.
 SHARD, SLOTS = 32 << 20, 8
 #: Bytes of a text that are split into terms at a time; sums of pairs that a task holds.
@@ -163,10 +163,14 @@ def merged(rows: Iterator[tuple[int, bytes, list, list, list, list, list]]) -> I
                 key, found, total = least, {}, 0
             _, _, keys, ends, sources, n, docs = held
             end = ends[at]
-            for i in range(start, end):
-                source = sources[i]
-                found[source] = found.get(source, 0) + n[i]
-                total += docs[i]
+            if end - start == 1 and not found:  # most terms: one source of one run
+                found[sources[start]] = n[start]
+                total = docs[start]
+            else:
+                for i in range(start, end):
+                    source = sources[i]
+                    found[source] = found.get(source, 0) + n[i]
+                    total += docs[i]
             at += 1
             if at < len(keys):
                 heapq.heapreplace(heap, (keys[at], order, at, end, held))
@@ -192,8 +196,8 @@ def _frequencies(least: int):
 
         out, size = [], 0
         for key, found, docs in merged(rows()):
-            lang, _, term = key.rpartition(b"\0")
-            if docs >= least or not term:
+            if docs >= least or key.endswith(b"\0"):
+                lang, _, term = key.rpartition(b"\0")
                 sources = sorted(found)
                 out.append((lang.decode(), term.decode(), sources, [found[s] for s in sources]))
                 size += len(sources)

@@ -61,19 +61,19 @@ def labellers() -> list[tuple[str, Column]]:
     ]
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, words, votes): a pattern of one digit per labeller for every row."""
+def described(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, words, votes), and the columns in ``more``: a pattern of one digit per labeller for every row."""
     text = F.coalesce("text", F.lit(""))
-    split = docs.select("doc_id", "text", F.filter(F.split(text, _SPLIT), lambda w: w != "").alias("words"), F.split(text, "\n").alias("lines"))
+    split = docs.select("doc_id", "text", *more, F.filter(F.split(text, _SPLIT), lambda w: w != "").alias("words"), F.split(text, "\n").alias("lines"))
     stop = sorted({w for line in STOP_WORDS for w in line.split()})
     counts = split.select(
-        "doc_id", "text", "words", F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"),
+        "doc_id", "text", *more, "words", F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_lines_distinct"),
         F.size(F.filter("words", lambda w: w.isin(stop))).alias("n_stops"),
         *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).alias(n) for n, p in
           (("n_symbols", r"[#*$%&|<>]"), ("n_capitals", r"\p{Lu}"), ("n_marks", r"[!?|=~_^]"), ("n_letters", r"[^\x20\x09-\x0D]"))],
     )
-    return counts.select("doc_id", "text", "words", F.concat(*[v.cast("string") for _, v in labellers()]).alias("votes"))
+    return counts.select("doc_id", "text", *more, "words", F.concat(*[v.cast("string") for _, v in labellers()]).alias("votes"))
 
 
 def fit_labellers(patterns: list[tuple[str, int]], steps: int = STEPS) -> tuple[dict[str, float], np.ndarray]:
@@ -98,6 +98,21 @@ def _features(described: DataFrame) -> DataFrame:
     return Normalizer(inputCol="hashed", outputCol="features").transform(hashed).drop("hashed", "words")
 
 
+def training_rows(docs: DataFrame, total: int, bound: int) -> DataFrame:
+    """(doc_id, text, n): at most ``bound`` different rows, of least hash, and how often each stands in ``docs``; never none if there are rows.
+
+    Hashes of about twice the bound are looked at; only if all of these are missing, as with few different rows, are all of them.
+    """
+    whole = 1 << 62
+    place = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(whole))
+    for limit in (min(whole, max(1, 2 * bound * whole // max(1, total))), whole):
+        least = docs.select(place.alias("place")).where(F.col("place") < limit).distinct().orderBy("place").limit(bound).agg(F.max("place")).head()[0]
+        if least is not None:
+            break
+    some = docs.select("doc_id", "text", place.alias("place")).where(F.col("place") <= F.lit(least))
+    return some.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).drop("place")
+
+
 def classify(docs: DataFrame, bound: int = TRAIN_BOUND, keep: float = KEEP) -> DataFrame:
     """doc_id, votes, posterior, score, kept per row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -108,10 +123,9 @@ def classify(docs: DataFrame, bound: int = TRAIN_BOUND, keep: float = KEEP) -> D
         return spark.createDataFrame([], "doc_id long, votes string, posterior double, score double, kept boolean")
     table = F.broadcast(spark.createDataFrame(list(posteriors.items()), "votes string, posterior double"))
     total = sum(n for _, n in patterns)
-    share = int(min(1.0, bound / total) * (1 << 20))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 20)) < share)
-    both = F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))
-    soft = _features(described(sample)).join(table, "votes").select("features", F.explode(both).alias("x")).select("features", "x.label", "x.weight")
+    sample = training_rows(docs, total, bound)
+    both = F.array(*[F.struct(F.lit(y).alias("label"), (F.col("n") * w).alias("weight")) for y, w in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))])
+    soft = _features(described(sample, "n")).join(table, "votes").select("features", F.explode(both).alias("x")).select("features", "x.label", "x.weight")
     train = materialize(soft, "train")
     model = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-4, standardization=False).fit(train)
     remove(train)
