@@ -247,7 +247,7 @@ def _ingested(t: Tables, name: str) -> DataFrame:
     write_table(made, f"{folder}/in")
     stream = t.spark.readStream.schema(made.schema).parquet(f"{folder}/in")
     streams.stream_ingest(stream, f"{folder}/out", f"{folder}/state", availableNow=True).awaitTermination()
-    return streams.Versions(f"{folder}/out").table(t.spark, name, 0)
+    return streams.Tables(f"{folder}/out").table(t.spark, name)
 
 
 register(
@@ -257,6 +257,65 @@ register(
 register("t5_stream_contributions", ORACLES["s7_extract_contributions"])(lambda t: _ingested(t, "contributions").select("repo_id", "owner_login", "contributions"))
 
 
+def crawled(t: Tables, contributions: DataFrame, day: int, *, repos: bool = True) -> DataFrame:
+    """Contributors of repositories as a crawler stores them: whole URLs, two pages, ids of people, and no id of the repository."""
+    host = F.lit("https://api.example.org/repos/")
+    named = t.repos.select(F.col("id").alias("repo_id"), F.regexp_replace("full_name", "#", "").alias("full_name"))
+    people = t.owners.select(F.col("login").alias("owner_login"), F.col("id").alias("person"), "type")
+    entry = F.struct(F.col("person").alias("id"), F.col("owner_login").alias("login"), "type", "contributions")
+    page = (2 - F.col("contributions") % 2).cast("string").alias("page")
+    lists = contributions.join(named, "repo_id").join(people, "owner_login").groupBy("full_name", page).agg(F.to_json(F.collect_list(entry)).alias("body"))
+    rows = lists.select(F.concat(host, "full_name", F.lit("/contributors?per_page=100&page="), "page").alias("url"), "body")
+    if repos:
+        rows = rows.unionByName(named.select(F.concat(host, "full_name").alias("url"), F.to_json(F.struct(F.col("repo_id").alias("id"), "full_name")).alias("body")))
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    return rows.select("url", none("string", "etag"), none("string", "last_modified"), F.lit(200).cast("long").alias("status"), "body", F.timestamp_seconds(F.lit(86400 * day)).alias("fetched_at"))
+
+
+def _cached(t: Tables) -> DataFrame:
+    """The cache of a crawl, read with its fixed schema."""
+    folder = G.passing_folder(t.spark, "crawl")
+    write_table(crawled(t, t.contributions, 1), f"{folder}/http_cache.parquet")
+    return read_table(t.spark, folder, "http_cache")
+
+
+_PEOPLE = "SELECT repo_id, owner_login, contributions FROM contributions WHERE repo_id IN (SELECT id FROM repos)"
+register("s7_crawled_contributions", over("repos owners contributions", _PEOPLE))(lambda t: B.extract_contributions(_cached(t)))
+register(
+    "s4_contributor_owners",
+    over("repos owners contributions", "SELECT o.id, o.login, o.type, 0::BIGINT AS enriched FROM owners o WHERE o.login IN (SELECT owner_login FROM contributions WHERE repo_id IN (SELECT id FROM repos))"),
+)(lambda t: B.extract_owners(_cached(t)).select("id", "login", "type", "enriched").distinct())
+
+
+def _logged(t: Tables) -> DataFrame:
+    """Contributions after four batches that overlap: some lists come broken in the third, some empty in the fourth."""
+    folder = G.passing_folder(t.spark, "log")
+    tables = streams.Tables(f"{folder}/tables", fan=2)
+    broken, emptied = F.col("id") % 5 == 0, F.col("id") % 7 == 0
+    ids = t.repos.select("id", F.regexp_replace("full_name", "#", "").alias("full_name"))
+    for k in range(4):
+        some = t.contributions.where((F.col("repo_id") + k) % 3 != 0).withColumn("contributions", F.col("contributions") + 1000 * k)
+        rows = crawled(t, some, 1 + k, repos=k == 0)
+        name_of = F.regexp_extract("url", r"/repos/([^/]+/[^/]+)/contributors", 1)
+        if k == 2:
+            bad = ids.where(broken).select(F.col("full_name").alias("bad"))
+            rows = rows.join(bad, name_of == F.col("bad"), "left").withColumn("body", F.when(F.col("bad").isNull(), F.col("body")).otherwise("<html>502</html>")).drop("bad")
+        if k == 3:
+            gone = ids.where(emptied & ((F.col("id") + k) % 3 != 0))
+            rows = rows.join(gone.select(F.col("full_name").alias("gone")), name_of == F.col("gone"), "left_anti")
+            empty = gone.select(F.concat(F.lit("https://api.example.org/repos/"), "full_name", F.lit("/contributors?per_page=100&page=1")).alias("url"), F.lit("[]").alias("body"), F.timestamp_seconds(F.lit(86400 * 4)).alias("fetched_at"))
+            rows = rows.unionByName(empty, allowMissingColumns=True)
+        write_table(rows, f"{folder}/in{k}")
+        streams.ingest_batch(t.spark.read.schema(rows.schema).parquet(f"{folder}/in{k}"), k, tables)
+    return tables.table(t.spark, "contributions")
+
+
+register(
+    "t5_log_contributions",
+    over("repos owners contributions", """SELECT c.repo_id, owner_login, contributions + 1000 * k AS contributions FROM contributions c JOIN (
+ SELECT id, max(k) AS k FROM repos CROSS JOIN range(4) r(k) WHERE (id + k) % 3 <> 0 AND NOT (k = 2 AND id % 5 = 0) GROUP BY id) l ON l.id = c.repo_id WHERE NOT (k = 3 AND c.repo_id % 7 = 0)"""),
+)(lambda t: _logged(t).select("repo_id", "owner_login", "contributions"))
+
 def _streamed_places(t: Tables) -> DataFrame:
     folder, places = G.passing_folder(t.spark, "places"), _places(t).select("id", "location")
     write_table(places, f"{folder}/in")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.router import current_pages, route, sort_out
+
 _OWNER = "STRUCT<id: BIGINT, login: STRING, type: STRING, html_url: STRING>"
 _REPO = f"""id BIGINT, full_name STRING, name STRING, owner {_OWNER}, description STRING, homepage STRING, language STRING,
  license STRUCT<spdx_id: STRING>, stargazers_count BIGINT, forks_count BIGINT, subscribers_count BIGINT, open_issues_count BIGINT, size BIGINT,
@@ -20,13 +22,10 @@ def latest_response(bronze: DataFrame) -> DataFrame:
     return bronze.groupBy("url").agg(F.max_by(F.struct(*columns), F.struct("fetched_at", "body")).alias("r")).select("url", "r.*")
 
 
-def parsed(bronze: DataFrame, schema: str, pattern: str) -> DataFrame:
-    """Responses whose URL matches, with their body parsed as ``j``; bodies that are no such JSON are dropped."""
-    rows = bronze.where(F.col("url").rlike(pattern)).withColumn("j", F.from_json("body", schema))
-    return rows.where(F.col("j").isNotNull())
-
-
-REPO_URL, USER_URL = r"^/repos/[^/]+/[^/]+$", r"^/users/[^/]+$"
+def parsed(bronze: DataFrame, schema: str, kind: str) -> DataFrame:
+    """Responses of a kind, with their body parsed as ``j``; bodies that are no such JSON are dropped. Routes what is not routed yet."""
+    routed = bronze if "kind" in bronze.columns else route(bronze)
+    return routed.where(F.col("kind") == kind).withColumn("j", F.from_json("body", schema)).where("j IS NOT NULL")
 
 
 def _time(c: str) -> Column:
@@ -35,7 +34,7 @@ def _time(c: str) -> Column:
 
 def extract_repos(bronze: DataFrame) -> DataFrame:
     """Repository responses as rows; missing booleans are false."""
-    return parsed(bronze, _REPO, REPO_URL).where("j.id IS NOT NULL").select(
+    return parsed(bronze, _REPO, "repo").where("j.id IS NOT NULL").select(
         "j.id", "j.full_name", F.col("j.owner.login").alias("owner_login"), "j.name", "j.description", "j.homepage", F.col("j.language").alias("primary_language"),
         F.col("j.license.spdx_id").alias("license"), F.col("j.stargazers_count").alias("stars"), F.col("j.forks_count").alias("forks"),
         F.col("j.subscribers_count").alias("watchers"), F.col("j.open_issues_count").alias("open_issues"), "j.size",
@@ -45,60 +44,98 @@ def extract_repos(bronze: DataFrame) -> DataFrame:
 
 
 def extract_owners(bronze: DataFrame) -> DataFrame:
-    """Full profiles (enriched 1), and owners embedded in repository responses (enriched 0)."""
-    full = parsed(bronze, _PROFILE, USER_URL).where("j.id IS NOT NULL").select("j.*", F.lit(1).alias("enriched"), "fetched_at").withColumn("created_at", F.try_to_timestamp("created_at"))
-    embedded = parsed(bronze, _REPO, REPO_URL).where("j.owner.id IS NOT NULL").select("j.owner.*", F.lit(0).alias("enriched"), "fetched_at")
-    return full.unionByName(embedded, allowMissingColumns=True)
+    """Full profiles (enriched 1), and owners embedded in repository responses and contributors (enriched 0); entries without an id are skipped."""
+    full = parsed(bronze, _PROFILE, "user").where("j.id IS NOT NULL").select("j.*", F.lit(1).alias("enriched"), "fetched_at").withColumn("created_at", F.try_to_timestamp("created_at"))
+    embedded = parsed(bronze, _REPO, "repo").where("j.owner.id IS NOT NULL").select("j.owner.*", F.lit(0).alias("enriched"), "fetched_at")
+    listed = parsed(bronze, f"ARRAY<{_OWNER}>", "contributors").select(F.explode("j").alias("e"), "fetched_at")
+    people = listed.where("e.id IS NOT NULL AND e.login <> ''").select("e.*", F.lit(0).alias("enriched"), "fetched_at")
+    return full.unionByName(embedded.unionByName(people), allowMissingColumns=True)
 
 
 def extract_topics(bronze: DataFrame) -> DataFrame:
     """(repo_id, topic), each once."""
-    return parsed(bronze, _REPO, REPO_URL).select(F.col("j.id").alias("repo_id"), F.explode("j.topics").alias("topic")).where("topic IS NOT NULL").dropDuplicates()
+    return parsed(bronze, _REPO, "repo").select(F.col("j.id").alias("repo_id"), F.explode("j.topics").alias("topic")).where("topic IS NOT NULL").dropDuplicates()
 
 
-def _child(bronze: DataFrame, schema: str, part: str) -> DataFrame:
-    """Parsed child responses; repo_id is a column of the bronze table."""
-    return parsed(bronze, schema, rf"^/repos/[^/]+/[^/]+/{part}$")
+#: Kind -> schema of the bodies of a repository's children.
+BODIES = {
+    "languages": "MAP<STRING, BIGINT>",
+    "contributors": "ARRAY<STRUCT<login: STRING, contributions: BIGINT>>",
+    "releases": "ARRAY<STRUCT<id: BIGINT, tag_name: STRING, name: STRING, author: STRUCT<login: STRING>, published_at: STRING>>",
+    "sbom": "sbom STRUCT<packages: ARRAY<STRUCT<name: STRING, versionInfo: STRING, externalRefs: ARRAY<STRUCT<referenceLocator: STRING>>>>>",
+}
 
 
-def extract_languages(bronze: DataFrame) -> DataFrame:
-    """(repo_id, language, bytes) of objects whose keys are the languages."""
-    return _child(bronze, "MAP<STRING, BIGINT>", "languages").select("repo_id", F.explode("j").alias("language", "bytes"))
+def listings(bronze: DataFrame, kind: str) -> DataFrame:
+    """(repo_id, page, fetched_at, full_name, j) of every response of a repository's children of a kind, also where it lists nothing.
 
+    Without a column repo_id the repository is told from the URL, by its number or by the name that a repository's response gives it.
+    """
+    if "kind" in bronze.columns:
+        sound = bronze
+    elif "repo_id" in bronze.columns:
+        sound = route(bronze).withColumn("repo_id", F.coalesce("repo_id", "url_repo_id"))
+    else:
+        sound = sort_out(bronze)[0]
+    return parsed(sound, BODIES[kind], kind).where("repo_id IS NOT NULL").select("repo_id", "page", "fetched_at", "url", F.coalesce("full_name", F.lit("")).alias("full_name"), "j")
 
-def extract_contributions(bronze: DataFrame) -> DataFrame:
+
+def _child(bronze: DataFrame, kind: str) -> DataFrame:
+    return current_pages(listings(bronze, kind), "full_name", "j")
+
+
+def languages_of(pages: DataFrame) -> DataFrame:
+    """(repo_id, language, bytes) of pages whose keys are the languages."""
+    return pages.select("repo_id", F.explode("j").alias("language", "bytes"))
+
+
+def contributions_of(pages: DataFrame) -> DataFrame:
     """(repo_id, owner_login, contributions): entries without a login are skipped, a missing count is 0, the last of a login wins."""
-    entries = _child(bronze, "ARRAY<STRUCT<login: STRING, contributions: BIGINT>>", "contributors").select("repo_id", F.posexplode("j").alias("at", "e"))
+    entries = pages.select("repo_id", "page", F.posexplode("j").alias("at", "e"))
     named = entries.where("e.login IS NOT NULL AND e.login <> ''")
     n = F.coalesce("e.contributions", F.lit(0))
-    return named.groupBy("repo_id", F.col("e.login").alias("owner_login")).agg(F.max_by(n, "at").alias("contributions"))
+    return named.groupBy("repo_id", F.col("e.login").alias("owner_login")).agg(F.max_by(n, F.struct("page", "at")).alias("contributions"))
 
 
-def extract_releases(bronze: DataFrame) -> DataFrame:
+def releases_of(pages: DataFrame) -> DataFrame:
     """(repo_id, tag, name, author_login, published_at): a missing tag becomes ``_id`` and the release's id; the last of a tag wins."""
-    rows = _child(bronze, "ARRAY<STRUCT<id: BIGINT, tag_name: STRING, name: STRING, author: STRUCT<login: STRING>, published_at: STRING>>", "releases")
-    entries = rows.select("repo_id", "fetched_at", "url", F.posexplode("j").alias("at", "e")).where("e IS NOT NULL").select(
+    entries = pages.select("repo_id", "page", F.posexplode("j").alias("at", "e")).where("e IS NOT NULL").select(
         "repo_id", F.coalesce(F.nullif("e.tag_name", F.lit("")), F.concat(F.lit("_id"), F.col("e.id").cast("string"))).alias("tag"),
-        F.struct("e.name", F.col("e.author.login").alias("author_login"), _time("e.published_at")).alias("r"), F.struct("fetched_at", "url", "at").alias("place"),
+        F.struct("e.name", F.col("e.author.login").alias("author_login"), _time("e.published_at")).alias("r"), F.struct("page", "at").alias("place"),
     )
     return entries.groupBy("repo_id", "tag").agg(F.max_by("r", "place").alias("r")).select("repo_id", "tag", "r.*")
 
 
-def extract_dependencies(bronze: DataFrame) -> DataFrame:
+def dependencies_of(pages: DataFrame) -> DataFrame:
     """(repo_id, package, version, ecosystem) of bills of materials, each once; nameless packages and the repository itself are dropped."""
-    schema = "sbom STRUCT<packages: ARRAY<STRUCT<name: STRING, versionInfo: STRING, externalRefs: ARRAY<STRUCT<referenceLocator: STRING>>>>>"
-    rows = _child(bronze, schema, "dependency-graph/sbom").select("repo_id", "url", F.explode("j.sbom.packages").alias("p"))
-    itself = F.concat(F.lit("com.github."), F.regexp_extract("url", r"^/repos/([^/]+/[^/]+)/", 1))
+    rows = pages.select("repo_id", "full_name", F.explode("j.sbom.packages").alias("p"))
+    itself = F.concat(F.lit("com.github."), "full_name")
     locators = F.filter(F.transform("p.externalRefs", lambda r: r["referenceLocator"]), lambda u: u.startswith("pkg:"))
     kept = rows.where((F.col("p.name") != "") & (F.lower("p.name") != F.lower(itself)))
     ecosystem = F.nullif(F.regexp_extract(F.get(locators, F.lit(0)), r"^pkg:([^/]+)", 1), F.lit(""))
     return kept.select("repo_id", F.col("p.name").alias("package"), F.col("p.versionInfo").alias("version"), ecosystem.alias("ecosystem")).dropDuplicates(["repo_id", "package", "version"])
 
 
+def extract_languages(bronze: DataFrame) -> DataFrame:
+    return languages_of(_child(bronze, "languages"))
+
+
+def extract_contributions(bronze: DataFrame) -> DataFrame:
+    return contributions_of(_child(bronze, "contributors"))
+
+
+def extract_releases(bronze: DataFrame) -> DataFrame:
+    return releases_of(_child(bronze, "releases"))
+
+
+def extract_dependencies(bronze: DataFrame) -> DataFrame:
+    return dependencies_of(_child(bronze, "sbom"))
+
+
 def extract_stubs(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Minimal repository and owner rows of enumeration pages."""
     entry = f"ARRAY<STRUCT<id: BIGINT, full_name: STRING, name: STRING, owner: {_OWNER}, description: STRING, fork: BOOLEAN>>"
-    rows = parsed(bronze, entry, r"^/repositories\b").select(F.explode("j").alias("e"), "fetched_at").where("e.id IS NOT NULL")
+    rows = parsed(bronze, entry, "enumeration").select(F.explode("j").alias("e"), "fetched_at").where("e.id IS NOT NULL")
     repos = rows.select(
         "e.id", "e.full_name", F.col("e.owner.login").alias("owner_login"), "e.name", "e.description", F.coalesce("e.fork", F.lit(False)).alias("is_fork"),
         F.lit(0).alias("detailed"), F.lit(0).cast("long").alias("attempts"), F.col("fetched_at").alias("discovered_at"),

@@ -5,136 +5,99 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from weftline.operators import geo, merges
 from weftline.operators.progress import ALPHA
 from weftline.sources import bronze as B
+from weftline.sources.router import current_pages, sort_out
+from weftline.streaming.log import FAN, Log, Spec, stamped
 
 
-#: Parts of a table by hash of its key; versions that are kept.
-PARTS, KEPT = 32, 3
-
-
-class Versions:
-    """Tables in parts by key. A batch writes the parts that it touches under its number; a manifest a batch tells where each part lies.
-
-    A repeated batch writes its own files again. Folders of the batches before the last ``KEPT`` go when no part lies there.
-    """
-
-    def __init__(self, folder: str, parts: int = PARTS):
-        self.folder, self.parts = folder, parts
-
-    def part(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
-
-    def path(self, name: str, batch: int) -> str:
-        return f"{self.folder}/{name}/v{batch}"
-
-    def _files(self, spark: SparkSession, path: str):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-    def manifest(self, spark: SparkSession, batch: int) -> dict[tuple[str, int], int]:
-        """(table, part) -> batch that wrote it, as of the end of ``batch``; ``PARTS`` rows a table at most."""
-        store, at = self._files(spark, self.path("_manifest", batch))
-        if batch < 0 or not store.exists(at):
-            return {}
-        return {(r.name, r.part): r.batch for r in spark.read.parquet(self.path("_manifest", batch)).collect()}
-
-    def read(self, like: DataFrame, name: str, batch: int, only: list[int] | None = None) -> DataFrame:
-        """The version before ``batch``, or only some of its parts; empty before the first."""
-        spark = like.sparkSession
-        held = [(b, p) for (n, p), b in self.manifest(spark, batch - 1).items() if n == name and (only is None or p in only)]
-        paths = [f"{self.path(name, b)}/part={p}" for b, p in held]
-        return spark.read.schema(like.schema).parquet(*paths) if paths else spark.createDataFrame([], like.schema)
-
-    def merge(self, name: str, key: str, batch: int, increment: DataFrame, touched: DataFrame, rule) -> list[int]:
-        """Write the parts of the keys in ``touched`` as ``rule(current, increment)``; returns those parts."""
-        parts = [r[0] for r in touched.select(self.part(touched.columns[0])).distinct().collect()]
-        if parts:
-            table = rule(self.read(increment, name, batch, parts), increment)
-            table.withColumn("part", self.part(key)).write.mode("overwrite").partitionBy("part").parquet(self.path(name, batch))
-        return parts
-
-    def commit(self, spark: SparkSession, batch: int, wrote: dict[str, list[int]]) -> None:
-        """Write the manifest of a batch, and remove what only the manifest that is dropped names."""
-        now = self.manifest(spark, batch - 1)
-        for name, parts in wrote.items():
-            for p in parts:
-                store, at = self._files(spark, f"{self.path(name, batch)}/part={p}")
-                if store.exists(at):
-                    now[name, p] = batch
-                else:
-                    now.pop((name, p), None)  # no row is left there
-        rows = [(n, p, b) for (n, p), b in now.items()]
-        spark.createDataFrame(rows, "name string, part int, batch int").coalesce(1).write.mode("overwrite").parquet(self.path("_manifest", batch))
-        folders = lambda k: {(n, b) for (n, _), b in self.manifest(spark, k).items()}
-        old = batch - KEPT
-        if old >= 0:
-            gone = folders(old) - set().union(*(folders(k) for k in range(old + 1, batch + 1)))
-            for name, b in [*gone, ("_manifest", old)]:
-                store, at = self._files(spark, self.path(name, b))
-                store.delete(at, True)
-
-    def table(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
-        """The version as of the end of ``batch``; none while it has no row."""
-        paths = [f"{self.path(name, b)}/part={p}" for (n, p), b in self.manifest(spark, batch).items() if n == name]
-        return spark.read.parquet(*paths) if paths else None
-
-
-def _with_crawl_columns(repos: DataFrame) -> DataFrame:
-    return repos.selectExpr("*", "1 AS detailed", "0L AS attempts", "fetched_at AS discovered_at")
-
-
+#: Children of a repository: table, kind of response, rows of its current pages.
 CHILDREN = (
-    ("repo_topics", B.extract_topics, None), ("repo_languages", B.extract_languages, "languages"), ("contributions", B.extract_contributions, "contributors"),
-    ("releases", B.extract_releases, "releases"), ("dependencies", B.extract_dependencies, "dependency-graph/sbom"),
+    ("repo_languages", "languages", B.languages_of), ("contributions", "contributors", B.contributions_of),
+    ("releases", "releases", B.releases_of), ("dependencies", "sbom", B.dependencies_of),
 )
 
-
-def ingest_batch(batch: DataFrame, number: int, versions: Versions) -> None:
+#: Owners: a profile keeps what a later null says nothing of. Children are kept as the pages that list them.
+SPECS = {
+    "owners": Spec(("id",), keep=merges.OWNER_KEPT, greatest=("enriched",)),
+    "repos": Spec(("id",), keep=("parent_id", "source_id"), first=("created_at", "attempts", "discovered_at"), greatest=("detailed",)),
+    "repo_topics": Spec(("repo_id",)),
+    **{name: Spec(("repo_id", "page")) for name, _, _ in CHILDREN},
+    "quarantine": Spec(("url", "fetched_at")),
+}
+
+
+class Tables:
+    """What a stream of responses has come to: a log of deltas, read as the model's tables."""
+
+    def __init__(self, folder: str, fan: int = FAN):
+        self.log = Log(folder, SPECS, fan)
+
+    def table(self, spark: SparkSession, name: str, batch: int | None = None) -> DataFrame | None:
+        """A table as of the end of ``batch``, or of the last one; none before its first row. ``quarantine`` holds what could not be used, and why."""
+        stored = self.log.stored(spark, name, batch)
+        if stored is None:
+            return None
+        rows = stored.drop("seq", "born")
+        if name == "repo_topics":
+            return rows.select("repo_id", F.explode("topics").alias("topic"))
+        for child, _, of in CHILDREN:
+            if name == child:
+                return of(current_pages(rows, "full_name", "j"))
+        return rows
+
+
+def ingest_batch(batch: DataFrame, number: int, tables: Tables) -> None:
     """Raw responses of one micro-batch into owners, repositories and their children; idempotent per batch number.
 
     Enumeration pages add stubs of absent repositories and owners; a later response of the repository itself fills the stub.
-    Only the parts of a table that the batch touches are read and written.
+    Contributors become owners that are not enriched. A response is a refresh only if it is sound: an empty list empties its
+    page, a body that is no such JSON goes to quarantine and changes nothing. Only deltas are written; of the tables, the names of repositories
+    are read, and only if the batch has responses that do not say which repository they belong to.
     """
+    spark = batch.sparkSession
     latest = B.latest_response(batch).persist()
     try:
-        pages, embedded = B.extract_stubs(latest)
-        rest = [c for c in pages.columns if c not in ("id", "discovered_at")]
-        stubs = pages.groupBy("id").agg(F.min(F.struct("discovered_at", *rest)).alias("s")).select("id", "s.*")  # the first seen
-        repos = merges.last_per_key(_with_crawl_columns(B.extract_repos(latest)), "id", "fetched_at", ("parent_id", "source_id"))
-        repos = repos.withColumn("fetched_at", repos["discovered_at"])
-
-        def with_stubs(current: DataFrame, new: DataFrame) -> DataFrame:
-            merged = merges.merge_repos(current, new)
-            ids = new.select(F.col("id").alias("filled"))
-            filled = merged.join(ids, merged.id == ids.filled, "left").withColumn("detailed", F.when(F.col("filled").isNotNull(), 1).otherwise(F.col("detailed")))
-            return merges.merge_stubs(filled.select(*merged.columns), stubs)
-
-        wrote = {"repos": versions.merge("repos", "id", number, repos, repos.select("id").union(stubs.select("id")), with_stubs)}
-        owners = merges.last_per_key(B.extract_owners(latest), "id", "fetched_at", merges.OWNER_KEPT, ("enriched",))
-        seen = merges.last_per_key(embedded, "id", "fetched_at")
-        wrote["owners"] = versions.merge(
-            "owners", "id", number, owners, owners.select("id").union(seen.select("id")), lambda current, new: merges.merge_stubs(merges.merge_owners(current, new), seen)
-        )
-        for name, extract, tail in CHILDREN:
-            rows = extract(latest)
-            pattern = rf"^/repos/[^/]+/[^/]+/{tail}$" if tail else B.REPO_URL
-            refreshed = latest.where(latest.url.rlike(pattern)).select("repo_id").where("repo_id IS NOT NULL")
-            wrote[name] = versions.merge(name, "repo_id", number, rows, refreshed, lambda current, new, ids=refreshed: merges.replace_children(current, new, ids))
-        versions.commit(batch.sparkSession, number, wrote)
+        names = tables.log.columns(spark, "repos", ["id", "full_name"], number - 1)
+        known = names.where("full_name IS NOT NULL").select(F.lower("full_name").alias("name"), "id", F.col("seq.place.at").alias("at")) if names is not None else None
+        sound, bad = sort_out(latest, known)
+        sound = sound.persist()
+        try:
+            kinds = {r[0] for r in sound.select("kind").distinct().collect()}  # what the batch has nothing of is not written
+            deltas = {}
+            pages, embedded = B.extract_stubs(sound)
+            if kinds & {"repo", "enumeration"}:
+                full = B.extract_repos(sound).selectExpr("*", "1 AS detailed", "0L AS attempts", "fetched_at AS discovered_at")
+                stubs = stamped(pages, number, False, "discovered_at", *[c for c in pages.columns if c != "id"])
+                deltas["repos"] = stamped(full, number, True, "fetched_at", "full_name").unionByName(stubs, allowMissingColumns=True)
+            if kinds & {"repo", "user", "contributors", "enumeration"}:
+                owners = stamped(B.extract_owners(sound), number, True, "fetched_at", "enriched", "login")
+                deltas["owners"] = owners.unionByName(stamped(embedded, number, False, "fetched_at", "login"), allowMissingColumns=True)
+            if "repo" in kinds:
+                named = F.array_distinct(F.array_compact(F.coalesce("j.topics", F.array().cast("array<string>")))).alias("topics")
+                topics = B.parsed(sound, "id BIGINT, topics ARRAY<STRING>", "repo").where("j.id IS NOT NULL").select(F.col("j.id").alias("repo_id"), "fetched_at", named)
+                deltas["repo_topics"] = stamped(topics, number, True, "fetched_at")
+            for name, kind, _ in CHILDREN:
+                if kind in kinds:
+                    deltas[name] = stamped(B.listings(sound, kind).drop("url"), number, True, "fetched_at")
+            if not bad.isEmpty():
+                deltas["quarantine"] = stamped(bad, number, True, "fetched_at", "body")
+            tables.log.commit(spark, number, deltas)
+        finally:
+            sound.unpersist()
     finally:
         latest.unpersist()
 
 
 def stream_ingest(responses: DataFrame, folder: str, checkpoint: str, **trigger):
-    """Start the ingest of a stream of responses (url, repo_id, body, fetched_at); returns the query. ``trigger`` is as of ``DataStreamWriter.trigger``."""
-    versions = Versions(folder)
-    writer = responses.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, versions)).option("checkpointLocation", checkpoint)
+    """Start the ingest of a stream of responses (url, body, fetched_at, and repo_id if known); returns the query. ``trigger`` is as of ``DataStreamWriter.trigger``."""
+    tables = Tables(folder)
+    writer = responses.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, tables)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
