@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.cells import point_in_polygon  # noqa: F401
 from weftline.operators.merges import merge_geo
 from weftline.sources.gazetteer import AMBIGUOUS
 
@@ -116,21 +117,3 @@ def largest_city(items: DataFrame) -> DataFrame:
     per = items.where("city IS NOT NULL").groupBy("country", "city").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "city"))
     return per.withColumn("r", rank).where("r = 1").drop("r")
-
-
-def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(point, polygon) pairs of ``points(id, x, y)`` inside ``polygons(name, ring)``; ring is an array of (x, y), even-odd rule.
-
-    Segments are cut into horizontal bands of one unit and joined to points by band, so no point meets a segment at another height.
-    """
-    def segment(p: Column, i: Column) -> Column:
-        q = F.get(F.col("ring"), F.pmod(i + 1, F.size("ring")))
-        return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
-
-    segments = polygons.select("name", F.explode(F.transform("ring", segment)).alias("s")).select("name", "s.*").where("y1 <> y2")
-    banded = segments.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
-    at = points.withColumn("band", F.floor("y"))
-    crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    right = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = at.join(banded, "band").where(crosses & right).groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where("n % 2 = 1").select("id", "name")
