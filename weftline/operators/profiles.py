@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.bots import is_bot_ui
 from weftline.operators.filters import NO_LANGUAGE, restrict_children
-from weftline.operators.graph import adjacency
+from weftline.operators.graph import adjacency, written
 from weftline.operators.patterns import _leader
 
 
@@ -78,7 +78,40 @@ def repo_profile(nodes: DataFrame, core: DataFrame, contributions: DataFrame, ed
     )
 
 
-def person_profile(contributions: DataFrame, owners: DataFrame, nodes: DataFrame, clusters: DataFrame, mates: int = 3) -> DataFrame:
+#: People of a repository up to which all its pairs are made.
+CROWD = 1000
+
+
+def mates(inside: DataFrame, k: int, crowd: int = CROWD) -> DataFrame:
+    """(owner_login, mate, k): shared repositories of ``inside(repo_id, owner_login)``; for each person at least the ``k`` first mates, ties by name. Bots are no mates.
+
+    Pairs are made in repositories of at most ``crowd`` people, so their number is bounded by that times the links. Of a crowded one no pairs are made.
+    People who are in the same crowded ones have the same number of these in common with anyone, so candidates are ranked
+    for each such set: the ``k + 1`` first names of every set that overlaps. Whoever is not among these, and was not met in a small
+    repository, has ``k`` others before them. Who was met gets the crowded repositories in common added.
+    """
+    crowded = inside.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("repo_id")
+    small = inside.join(crowded, "repo_id", "left_anti").select("repo_id", "owner_login")
+    other = small.where(~is_bot_ui("owner_login")).select("repo_id", F.col("owner_login").alias("mate"))
+    met = small.join(other, "repo_id").where("owner_login <> mate").groupBy("owner_login", "mate").agg(F.count(F.lit(1)).alias("k"))
+
+    at = inside.join(crowded, "repo_id", "left_semi").groupBy("owner_login").agg(F.array_sort(F.collect_set("repo_id")).alias("at"))
+    sets = written(at.withColumn("crowds", F.array_join(F.col("at").cast("array<string>"), ",")), "crowds")
+    common = F.coalesce(F.size(F.array_intersect("own", "at")), F.lit(0))
+    met = met.join(sets.select("owner_login", F.col("at").alias("own")), "owner_login", "left").join(sets.select(F.col("owner_login").alias("mate"), "at"), "mate", "left")
+    met = met.select("owner_login", "mate", (F.col("k") + common).alias("k"))
+
+    by_name = F.row_number().over(Window.partitionBy("crowds").orderBy("owner_login"))
+    first = sets.where(~is_bot_ui("owner_login")).withColumn("r", by_name).where(F.col("r") <= k + 1).select(F.col("crowds").alias("theirs"), F.col("owner_login").alias("mate"))
+    held = sets.select("crowds", "at").distinct().select("crowds", F.explode("at").alias("repo_id"))
+    overlap = held.join(held.withColumnRenamed("crowds", "theirs"), "repo_id").groupBy("crowds", "theirs").agg(F.count(F.lit(1)).alias("k"))
+    best = F.row_number().over(Window.partitionBy("crowds").orderBy(F.desc("k"), "mate"))
+    ranked = overlap.join(first, "theirs").withColumn("r", best).where(F.col("r") <= k + 1).groupBy("crowds").agg(F.collect_list(F.struct("mate", "k")).alias("c"))
+    seen = sets.join(ranked, "crowds").select("owner_login", F.inline("c")).where("owner_login <> mate")
+    return met.unionByName(seen).groupBy("owner_login", "mate").agg(F.max("k").alias("k"))
+
+
+def person_profile(contributions: DataFrame, owners: DataFrame, nodes: DataFrame, clusters: DataFrame, closest: int = 3, crowd: int = CROWD) -> DataFrame:
     """Kind, work, language, first repository, clusters and closest collaborators of everyone in the pile."""
     inside = restrict_children(contributions, nodes).select("repo_id", "owner_login", "contributions")
     kind = F.when(is_bot_ui("owner_login"), "bot").when(F.col("type") == "Organization", "organisation").otherwise("user")
@@ -88,11 +121,9 @@ def person_profile(contributions: DataFrame, owners: DataFrame, nodes: DataFrame
     spoken = inside.join(nodes.select(F.col("id").alias("repo_id"), F.col("primary_language").alias("language")), "repo_id").where("language IS NOT NULL")
     language = spoken.groupBy("owner_login", "language").agg(F.count(F.lit(1)).alias("k")).groupBy("owner_login").agg(F.min_by("language", F.struct(-F.col("k"), "language")).alias("language"))
     spread = inside.join(clusters.select(F.col("id").alias("repo_id"), "cluster"), "repo_id").groupBy("owner_login").agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"))
-    other = inside.where(~is_bot_ui("owner_login")).select("repo_id", F.col("owner_login").alias("mate"))
-    pairs = inside.select("repo_id", "owner_login").join(other, "repo_id").where("owner_login <> mate").groupBy("owner_login", "mate").agg(F.count(F.lit(1)).alias("k"))
-    closest = _first(pairs, "owner_login", [F.desc("k"), "mate"], mates, _pair("mate", "k"), "mates")
+    near = _first(mates(inside, closest, crowd), "owner_login", [F.desc("k"), "mate"], closest, _pair("mate", "k"), "mates")
     out = base.join(owners.select(F.col("login").alias("owner_login"), "type"), "owner_login", "left")
-    for part in (language, spread, closest):
+    for part in (language, spread, near):
         out = out.join(part, "owner_login", "left")
     found = F.coalesce("clusters", F.lit(0))
     return out.select(
