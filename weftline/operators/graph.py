@@ -56,6 +56,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stands(table: DataFrame) -> bool:
     """Whether the folder of a table of ``written`` is still there."""
     spark = table.sparkSession
@@ -159,23 +166,48 @@ def number_clusters(labels: DataFrame) -> DataFrame:
     return labels.join(places, "label", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"))
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each node reaches.
+def contracted(edges: DataFrame, trace: list[int] | None = None) -> DataFrame | None:
+    """(id, root): vertices of ``edges(u, v)`` with one of their component; none without edges. ``trace`` gets the edges of each round.
 
-    Each round every node takes the least label near it and then its label's label, so the distance that labels travel
-    doubles; rounds grow with the logarithm of the diameter on most graphs.
+    In a round each vertex goes to the vertex of least random rank among itself and its neighbours, and edges are drawn anew between where their
+    ends went. About half of the vertices remain, whatever the shape, and so fewer edges are joined in each round. What a round
+    decided is written; roots are looked up from the last round back, each round's vertices once.
     """
-    near = cut(adjacency(edges).select("id", "nbr"))
-    labels = cut(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        seen = near.join(labels.select(F.col("id").alias("nbr"), "component"), "nbr").groupBy("id").agg(F.min("component").alias("least"))
-        once = labels.join(seen, "id", "left").select("id", F.least("component", "least").alias("next"), "component")
-        jump = once.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = cut(once.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("component")).alias("m")))
-        done = new.where("m").isEmpty()
-        labels = new.select("id", F.col("label").alias("component"))
-        if done:
-            return labels
+    pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    left, went = written(edges.where("u <> v").select(*pair("u", "v")).distinct(), "edges"), []
+    while n := left.count():
+        if trace is not None:
+            trace.append(n)
+        rank = lambda c, k=len(went): F.struct(F.xxhash64(F.lit(k), c).alias("r"), F.col(c).alias("x"))
+        ends = left.select("u", "v").unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        goal = written(ends.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), "m")["x"].alias("goal")), "goals")
+        a, b = goal.withColumnRenamed("goal", "gu"), goal.select(F.col("u").alias("v"), F.col("goal").alias("gv"))
+        drawn = written(left.join(a, "u").join(b, "v").where("gu <> gv").select(*pair("gu", "gv")).distinct(), "edges")
+        removed(left)
+        left = drawn
+        went.append(goal)
+    removed(left)
+    roots = None
+    for goal in reversed(went):
+        if roots is None:
+            roots = goal.select(F.col("u").alias("id"), F.col("goal").alias("root"))
+        else:
+            later = roots.withColumnRenamed("id", "goal")
+            roots = written(goal.join(later, "goal", "left").select(F.col("u").alias("id"), F.coalesce("root", "goal").alias("root")), "roots")
+    removed(*went[:-1])
+    return roots
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame, trace: list[int] | None = None) -> DataFrame:
+    """(id, component): the smallest id that each node reaches. Edges that leave ``nodes`` are ignored."""
+    ids = nodes.select("id")
+    ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    roots = contracted(restrict(restrict(ends, ids, "u"), ids, "v"), trace)
+    if roots is None:
+        return ids.select("id", F.col("id").alias("component"))
+    # written, so that the join can be split where one component holds many nodes
+    least = written(roots.groupBy("root").agg(F.min("id").alias("component")), "least")
+    return ids.join(roots.join(least, "root").select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
