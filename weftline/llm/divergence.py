@@ -112,7 +112,7 @@ def segments(run: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
     key, source, n, docs = (run[c].chunk(0) for c in ("key", "source", "n", "docs"))
     new = np.append(True, np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1))))
     starts = np.flatnonzero(new)
-    distinct = key.take(pa.array(starts)).to_pylist()
+    distinct = key.take(pa.array(starts)).to_numpy(zero_copy_only=False).tolist()
     slots = np.array([int.from_bytes(k[:4], "big") for k in distinct], np.int32)
     keys, starts = pa.array([k[4:] for k in distinct], pa.binary()), np.append(starts, run.num_rows)
     edges = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
@@ -184,6 +184,12 @@ def merged(rows: Iterator[tuple[int, bytes, list, list, list, list, list]]) -> I
             heapq.heappush(heap, (row[1], number, 0, 0, row))
 
 
+def _unlisted(column: pa.ListArray) -> list[list]:
+    """A column of lists as Python's, converted all at once."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.array(column.offsets)
+    return [values[a:b] for a, b in itertools.pairwise((at - at[0]).tolist())]
+
+
 def _frequencies(least: int):
     names = ["lang", "term", "sources", "counts"]
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
@@ -192,7 +198,8 @@ def _frequencies(least: int):
         def rows() -> Iterator[tuple]:
             for batch in batches:  # a few segments at a time become Python's
                 for k in range(0, batch.num_rows, 64):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True)
+                    slot, first, *lists = batch.slice(k, 64).columns
+                    yield from zip(slot.to_pylist(), first.to_pylist(), *map(_unlisted, lists), strict=True)
 
         out, size = [], 0
         for key, found, docs in merged(rows()):
