@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from weftline.llm import centroids, divergence, html_text, quality_classifier, sharding
+from weftline.llm import centroids, divergence, html_text, quality_classifier, quality_rules, sharding
 
 LONG_TEXT = "Zebra " + "ab-Cd é " * 300_000
 
@@ -235,3 +235,11 @@ def test_unfinished_constructs_take_no_more_than_their_length():
 def test_formulas_belong_to_the_article():
     page = "<html><body><article><p>Let <math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> be large.</p><p>And <svg><text>no</text></svg>more.</p></article></body></html>"
     assert html_text.main_text(page) == "Let x be large.\nAnd more."
+
+
+def test_null_ids_are_no_trusted_document(spark):
+    docs = spark.createDataFrame([(-1, "good words here"), (None, "other words there"), (0, "zero")], "doc_id long, text string")
+    labels = spark.createDataFrame([(-1, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    without = docs.where("doc_id IS NOT NULL")
+    null_too, none = quality_rules.log_ratios(docs, labels), quality_rules.log_ratios(without.unionByName(spark.createDataFrame([(7, "other words there")], docs.schema)), labels)
+    assert (null_too == none).all()

@@ -14,7 +14,7 @@ local root for each vertex that is joined, never all pairs.
 
 Equal vectors of a label are one vertex that counts its copies, so they never multiply. Vectors that are null, empty,
 zero, or hold null or non-finite components link with nothing, nor do those without a label; their component is their own
-id. Vectors of different lengths link with nothing. Rows equal in vec_id count as different vectors with one id. Vectors
+id. Vectors of different lengths link with nothing. Rows equal in vec_id count as different vectors with one id. Labels are whole numbers; text that is none raises an error. Vectors
 may be of any length; a block holds at most about ``BLOCK`` a side. Other columns are not read; an empty table gives an empty
 result.
 """

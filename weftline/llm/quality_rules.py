@@ -93,7 +93,8 @@ def _counts(trusted: np.ndarray):
                 held[kind].clear()
 
         for batch in batches:
-            target = np.isin(np.array(batch.column("doc_id").fill_null(-1)), trusted)
+            ids = batch.column("doc_id")
+            target = np.isin(np.array(ids.fill_null(0)), trusted) & np.array(ids.is_valid())
             size = 0
             for text, good in zip(text_rows(batch), target, strict=True):
                 if words := text.split():

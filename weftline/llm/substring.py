@@ -18,7 +18,7 @@ Documents are dealt by hash into *buckets* of about ``BUCKET`` bytes of text, wh
 
 Null and empty texts have no words. A null doc_id sorts last. Rows equal in doc_id and text count as one document:
 neither is earlier than the other. Different texts of one doc_id are ordered by start as if they were one document.
-Very long texts are a bucket of their own. An empty table gives an empty result. Other columns are not read.
+A very long text shares its bucket's task with the other documents that fall there. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
