@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregates as A
+from weftline.operators import facets as Fa
 from weftline.operators import filters as Fi
 from weftline.operators import graph as G
 from weftline.operators import patterns as P
@@ -228,6 +229,16 @@ query(
 SELECT 'language' AS facet, primary_language AS value, count(*) AS n FROM nodes WHERE primary_language IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'license', license, count(*) FROM nodes WHERE license IS NOT NULL GROUP BY 2 UNION ALL SELECT 'topic', unnest(tl), count(*) FROM nodes GROUP BY 2)) WHERE r <= 12""",
 )(lambda p: A.facet_counts(p.nodes, 12, None))
+#: A choice of facet values: not archived, with releases, of two languages or none, pushed late or never.
+_CHOICE = {"archived": ["false"], "releases": ["true"], "language": ["Lang1", "Lang4", "—"], "year": ["1996", "1997", "1998", "none"]}
+query(
+    "a8_bitmap_facets",
+    """SELECT facet, value, count(*) AS n FROM (SELECT *, id IN (SELECT repo_id FROM dependencies) AS deps FROM facts WHERE NOT archived AND id IN (SELECT repo_id FROM releases)
+ AND coalesce(primary_language, '—') IN ('Lang1', 'Lang4', '—') AND (year IS NULL OR year BETWEEN 1996 AND 1998)), LATERAL (SELECT unnest(
+ [('language', coalesce(primary_language, '—')), ('license', license), ('owner_type', owner_type), ('year', coalesce(year::VARCHAR, 'none')), ('archived', 'false'), ('fork', is_fork::VARCHAR),
+  ('releases', 'true'), ('dependencies', deps::VARCHAR)] || list_transform(coalesce(tl, []), lambda t: ('topic', t))) AS x) f(x), LATERAL (SELECT x[1] AS facet, x[2] AS value) WHERE value IS NOT NULL GROUP BY 1, 2""",
+    FACTS,
+)(lambda p: Fa.facets_of_chosen(Fa.facet_index(p.core, p.tables.releases, p.tables.dependencies), _CHOICE))
 query(
     "a9_coverage_counts",
     """SELECT (SELECT count(*) FROM facts WHERE archived) AS archived, (SELECT count(*) FROM facts WHERE is_fork) AS forks,
