@@ -12,11 +12,11 @@ from weftline.operators import patterns as P
 from weftline.operators import reports as C
 from weftline.plans.pile import PILE, pile, shared_pile
 from weftline.plans.registry import ORACLES, Tables, over, register
-from weftline.plans.tables import CORE
+from weftline.plans.tables import CORE, PAIRS
 from weftline.sources import bronze as B
 from weftline.sources import gazetteer as Z
 from weftline.sources.tables import read_table, write_table
-from weftline.streaming import streams
+from weftline.streaming import overlaps, streams
 
 
 def _values(rows: list[tuple]) -> str:
@@ -316,6 +316,22 @@ register(
  SELECT id, max(k) AS k FROM repos CROSS JOIN range(4) r(k) WHERE (id + k) % 3 <> 0 AND NOT (k = 2 AND id % 5 = 0) GROUP BY id) l ON l.id = c.repo_id WHERE NOT (k = 3 AND c.repo_id % 7 = 0)"""),
 )(lambda t: _logged(t).select("repo_id", "owner_login", "contributions"))
 
+
+def _kept_edges(t: Tables) -> DataFrame:
+    """Overlap edges after three batches of changes: links come, go, come again."""
+    kept = overlaps.Overlaps(G.passing_folder(t.spark, "overlaps"))
+    for k, (came, gone) in enumerate((("repo_id % 4 <> 0", "false"), ("repo_id % 4 = 0", "repo_id % 4 = 1"), ("repo_id % 8 = 1", "repo_id % 16 = 2"))):
+        rows = t.contributions.withColumn("change", F.expr(f"CASE WHEN {came} THEN 1 WHEN {gone} THEN -1 END")).where("change IS NOT NULL")
+        kept.apply(rows.select("repo_id", "owner_login", "change"), k)
+    return kept.edges(t.spark)
+
+
+register(
+    "g1_delta_edges",
+    over("contributions", PAIRS.replace("FROM contributions a JOIN contributions b", "FROM held a JOIN held b"), "held AS (SELECT * FROM contributions WHERE (repo_id % 4 <> 1 OR repo_id % 8 = 1) AND repo_id % 16 <> 2)"),
+)(_kept_edges)
+
+
 def _streamed_places(t: Tables) -> DataFrame:
     folder, places = G.passing_folder(t.spark, "places"), _places(t).select("id", "location")
     write_table(places, f"{folder}/in")

@@ -37,8 +37,15 @@ class Spec:
     keep: tuple[str, ...] = ()  # the last that is not null
     first: tuple[str, ...] = ()  # of the first row, null or not
     greatest: tuple[str, ...] = ()
+    add: tuple[str, ...] = ()  # sums; a key whose sums are all zero is no row
+    parts: int = 0  # folders by hash of the first key column, so that a reader of some keys opens theirs alone
 
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
 
+
+#: Folder column of tables with parts.
+PART = "_part"
 #: Of a row: its sequence, and the batch and place at which its key was first seen.
 SEQ = "struct<full: int, batch: bigint, place: struct<at: timestamp, tie: bigint>>"
 BORN = "struct<batch: bigint, place: struct<at: timestamp, tie: bigint>>"
@@ -63,12 +70,14 @@ def merged(rows: DataFrame, spec: Spec) -> DataFrame:
     """One row for each key, with its sequence."""
     kept = [c for c in rows.columns if c not in (*spec.key, "seq", "born")]
     last = unused("last", rows)
-    latest = [c for c in kept if c not in (*spec.keep, *spec.first, *spec.greatest)]
+    latest = [c for c in kept if c not in (*spec.keep, *spec.first, *spec.greatest, *spec.add)]
     aggs: list[Column] = [F.max_by(F.struct(F.lit(0).alias("present"), *latest), "seq").alias(last)]
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in spec.keep]
     aggs += [F.min_by(F.struct(F.lit(0).alias("present"), c), "born")[c].alias(c) for c in spec.first]
-    aggs += [F.max(c).alias(c) for c in spec.greatest]
+    aggs += [F.max(c).alias(c) for c in spec.greatest] + [F.sum(c).alias(c) for c in spec.add]
     held = rows.groupBy(*spec.key).agg(*aggs, F.max("seq").alias("seq"), F.min("born").alias("born"))
+    if spec.add:
+        held = held.where(" OR ".join(f"`{c}` <> 0" for c in spec.add))
     return held.select(*[F.col(last)[c].alias(c) if c in latest else F.col(c) for c in rows.columns])
 
 
@@ -115,21 +124,25 @@ class Log:
             raise OSError(f"cannot put {self._manifest_path(batch)} in its place")
 
     def _write(self, rows: DataFrame, name: str, folder: str, low: int, high: int) -> dict:
-        path = f"{self.folder}/{name}/{folder}"
-        rows.write.mode("overwrite").parquet(path)
-        spark = rows.sparkSession
+        path, spark, spec = f"{self.folder}/{name}/{folder}", rows.sparkSession, self.specs[name]
+        if spec.parts:
+            rows = rows.withColumn(PART, spec.part(F.col(spec.key[0])))
+            rows.hint("rebalance", PART).sortWithinPartitions(PART, *spec.key).write.mode("overwrite").partitionBy(PART).parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
         return {"path": path, "low": low, "high": high, "rows": spark.read.schema(rows.schema).parquet(path).count(), "schema": rows.schema.json()}
 
-    def rows(self, spark: SparkSession, segments: list[dict]) -> DataFrame:
-        """All rows of some segments; columns that an older one lacks are null there."""
-        frames: dict[str, list[str]] = {}
+    def rows(self, spark: SparkSession, segments: list[dict], parts: list[int] | None = None) -> DataFrame:
+        """All rows of some segments, or those in some parts; columns that an older one lacks are null there."""
+        frames: dict[tuple, list[str]] = {}
         for s in segments:
-            frames.setdefault(s["schema"], []).append(s["path"])
-        parts = [spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*paths) for schema, paths in frames.items()]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        return out
+            alone = s["path"] if PART in s["schema"] else ""  # folders of parts are found from one root only
+            frames.setdefault((s["schema"], alone), []).append(s["path"])
+        tables = [spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*paths) for (schema, _), paths in frames.items()]
+        out = tables[0]
+        for table in tables[1:]:
+            out = out.unionByName(table, allowMissingColumns=True)
+        return (out if parts is None else out.where(F.col(PART).isin(parts))).drop(PART)
 
     def _folds(self, segments: list[dict]) -> Iterator[int]:
         """How many of the last segments to fold: none, or the first number that is due."""
@@ -170,10 +183,13 @@ class Log:
             store, at = self._at(spark, path)
             store.delete(at, True)
 
-    def stored(self, spark: SparkSession, name: str, batch: int | None = None) -> DataFrame | None:
-        """A table with its sequence as of the end of ``batch`` (the last one if not given); none while it has no row."""
+    def stored(self, spark: SparkSession, name: str, batch: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
+        """A table with its sequence as of the end of ``batch`` (the last one if not given); none while it has no row.
+
+        Of a table with parts some can be asked for: folders of the others are not read.
+        """
         segments = self.manifest(spark, batch).get(name)
-        return merged(self.rows(spark, segments), self.specs[name]) if segments else None
+        return merged(self.rows(spark, segments, parts), self.specs[name]) if segments else None
 
     def columns(self, spark: SparkSession, name: str, columns: list[str], batch: int | None = None) -> DataFrame | None:
         """Some columns and the sequence of every row of a table, unmerged: a scan of those columns alone."""
