@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -125,27 +126,38 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(_count().alias("degree"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 9) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 9, trace: list[int] | None = None) -> DataFrame:
     """(id, label): synchronous weighted label propagation from each node's own id.
 
     A round's label is the one of greatest weight among the neighbours, then the node's own, then the smallest; it
-    ends after ``rounds`` or when nothing moves. Neighbours outside ``nodes`` are ignored.
+    ends after ``rounds`` or when nothing moves. Neighbours outside ``nodes`` are ignored. Weights are whole numbers.
+
+    Votes are kept: only who moved writes to its neighbours, taking its weight from its old label and giving it to the new,
+    and only who is written to counts again. (Another's votes are the same, and its own label already led them.) ``trace`` gets the messages of each round.
     """
     ids = nodes.select("id")
-    inner = cut(restrict(restrict(adjacency(edges), ids, "id"), ids, "nbr"))
-    labels = cut(ids.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
-        votes = (
-            inner.join(labels.select(F.col("id").alias("nbr"), F.col("label").alias("vote")), "nbr")
-            .groupBy("id", "vote").agg(F.sum("w").alias("score"))
-        )
-        own = votes.join(labels, "id")
-        best = own.groupBy("id").agg(F.max_by("vote", F.struct("score", F.col("vote") == F.col("label"), -F.col("vote"))).alias("new"))
-        moved = cut(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("m")))
-        still = moved.where("m").isEmpty()
-        labels = moved.select("id", "label")
-        if still:
+    inner = written(restrict(restrict(adjacency(edges), ids, "id"), ids, "nbr"), "adjacency")
+    # at first a node's vote is its own id, so the adjacency is the votes
+    votes = [inner.select("id", F.col("nbr").alias("vote"), F.col("w").cast("long").alias("score"), F.lit(1).alias("voters"))]
+    labels, told = cut(ids.select("id", F.col("id").alias("label"))), None
+    for k in range(rounds):
+        heard = [v if told is None else restrict(v, told, "id") for v in votes]
+        counted = functools.reduce(DataFrame.unionAll, heard).groupBy("id", "vote").agg(F.sum("score").alias("score"), F.sum("voters").alias("voters")).where("voters > 0")
+        best = counted.join(labels, "id").groupBy("id", "label").agg(F.max_by("vote", F.struct("score", F.col("vote") == F.col("label"), -F.col("vote"))).alias("new"))
+        moved = written(best.where("new <> label"), "moved")
+        if moved.isEmpty():
+            removed(moved)
             break
+        labels = cut(labels.join(moved.select("id", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        if k + 1 < rounds:
+            change = F.explode(F.array(*[F.struct(F.col(c).alias("vote"), F.lit(sign).alias("sign")) for c, sign in (("label", -1), ("new", 1))])).alias("c")
+            sent = inner.join(moved.select(F.col("id").alias("nbr"), change), "nbr")
+            votes.append(written(sent.groupBy("id", "c.vote").agg(F.sum(F.col("w") * F.col("c.sign")).cast("long").alias("score"), F.sum("c.sign").cast("int").alias("voters")), "votes"))
+            told = votes[-1].select("id").distinct()
+            if trace is not None:
+                trace.append(inner.join(moved, inner.nbr == moved.id, "left_semi").count())
+        removed(moved)
+    removed(inner, *votes[1:])
     return labels
 
 
