@@ -12,7 +12,7 @@ dropped as well. Vectors are joined to what is left, and all pairs of blocks com
 counts only in the first, which both sides' buckets tell. Comparisons report a count for each vector and one edge to a
 local root for each vertex that is joined, never all pairs.
 
-Equal vectors of a label are one vertex that counts its copies, so they never multiply. Vectors that are null, empty,
+Equal vectors of a label (by 128 bits of hashes) are one vertex that counts its copies, so they never multiply. Vectors that are null, empty,
 zero, or hold null or non-finite components link with nothing, nor do those without a label; their component is their own
 id. Vectors of different lengths link with nothing. Rows equal in vec_id count as different vectors with one id. Labels are whole numbers; text that is none raises an error. Vectors
 may be of any length; a block holds at most about ``BLOCK`` a side. Other columns are not read; an empty table gives an empty
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import components, materialize, remove, ship
@@ -207,30 +207,33 @@ def links(nodes: DataFrame) -> DataFrame:
     return placed.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_compared, "node long, links long, root long")
 
 
+def _name() -> list[Column]:
+    """A vector's name: two hashes of label and vector from different seeds."""
+    return [F.xxhash64("label", "embedding").alias("high"), F.xxhash64(F.lit(SEED), "label", "embedding").alias("low")]
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
     spread = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
-    # equal vectors of a label are one node, named by 64 bits of both; -0.0 and 0.0 are equal
+    # equal vectors of a label are one node, known by 128 bits of both; -0.0 and 0.0 are equal
     exact = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
-    named = usable(spread).withColumn("embedding", exact).withColumn("node", F.xxhash64("label", "embedding"))
-    nodes = materialize(
-        named.groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")),
-        "vectors",
-    )
-    found = materialize(links(nodes.drop("least")), "links")
+    named = usable(spread).withColumn("embedding", exact).select("*", *_name())
+    groups = named.groupBy("high", "low").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "vectors")  # any numbers do, once they are written
+    found = materialize(links(nodes.drop("least", "high", "low")), "links")
     grouped = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     others = found.groupBy("node").agg(F.sum("links").alias("others"))
-    rooted = nodes.join(grouped, nodes.node == grouped.id, "left").select("node", "copies", "least", F.coalesce("component_id", "node").alias("root"))
+    rooted = nodes.join(grouped, nodes.node == grouped.id, "left").select("node", "high", "low", "copies", "least", F.coalesce("component_id", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")  # so that the join can be split
     result = rooted.join(others, "node", "left").join(least, "root").select(
-        "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component")
+        "high", "low", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component")
     )
     rows = spread.withColumn("embedding", exact)
     able = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = rows.select("vec_id", F.when(able, F.xxhash64("label", "embedding")).alias("node"))
+    rows = rows.select("vec_id", *[F.when(able, c).alias(name) for c, name in zip(_name(), ("high", "low"), strict=True)])
     component = F.coalesce("component", "vec_id")
-    return rows.join(result, "node", "left").select(
+    return rows.join(result, ["high", "low"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
