@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import bots
@@ -9,6 +12,7 @@ from weftline.operators import aggregates as A
 from weftline.operators import filters as Fi
 from weftline.operators import graph as G
 from weftline.operators import progress as P
+from weftline.operators import search as S
 from weftline.operators import worklists as U
 from weftline.plans.registry import over, register
 
@@ -135,3 +139,18 @@ FROM (SELECT *, done + 1000 AS total FROM rates)""", _RATES).replace("WITH", "WI
         P.throughput(t.snapshots).join(t.snapshots.groupBy("k").agg({"value": "max"}).withColumnRenamed("max(value)", "done"), "k").selectExpr("k", "rate", "done", "done + 1000 AS total")
     ).withColumn("eta_s", F.round("eta_s", 2))
 )
+#: Searches: shorter than a gram, frequent, rare, absent.
+PATTERNS = ("7", "0001", "er", "ust", "42", "no such name")
+
+
+def _searched(t):
+    index = S.text_index(S.repo_texts(t.repos, t.contributions))
+    found = [S.search(index, p).select(F.lit(p).alias("pattern"), "id") for p in PATTERNS]
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+register(
+    "f4_text_search",
+    over("repos contributions", f"""SELECT DISTINCT p AS pattern, id FROM (SELECT id, full_name AS t FROM repos UNION ALL SELECT repo_id, owner_login FROM contributions)
+JOIN (VALUES {", ".join(f"('{p}')" for p in PATTERNS)}) v(p) ON contains(lower(t), p) WHERE id IS NOT NULL"""),
+)(_searched)
