@@ -28,3 +28,7 @@ def test_net_of_nothing(spark, none):
     one = spark.createDataFrame([(1, 5)], "id long, stars long")
     lone = G.net_stats(one, none[1], G.connected_components(one, none[1]), spark.createDataFrame([(1, -1, 1)], clusters.schema)).head()
     assert math.isnan(lone["density_pct"]) and (lone["mean_degree"], lone["largest_pct"], lone["isolates"]) == (0.0, 100.0, 1)
+
+
+def test_nothing_around_no_node(none):
+    assert G.default_center(none[1]) is None and G.ego_network(none[1], None).collect() == []
