@@ -32,3 +32,7 @@ def test_net_of_nothing(spark, none):
 
 def test_nothing_around_no_node(none):
     assert G.default_center(none[1]) is None and G.ego_network(none[1], None).collect() == []
+
+
+def test_components_of_nothing(none):
+    assert tuple(G.connected_components(*none).head()) == (0, None)
