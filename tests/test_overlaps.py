@@ -66,3 +66,30 @@ def test_a_stream_of_changes_and_duplicates(spark, tmp_path):
     kept = O.Overlaps(str(tmp_path / "log"))
     O.stream_overlaps(stream, kept, str(tmp_path / "state"), availableNow=True).awaitTermination()
     assert got(kept.edges(spark)) == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
+
+
+def test_edges_told_from_kept_links_equal_the_kept_edges(spark, tmp_path):
+    rng = random.Random(7)
+    both = [O.Overlaps(str(tmp_path / f"log{k}"), fan=2, keep_edges=k == 0) for k in range(2)]
+    assert both[1].edges(spark) is None
+    for batch in range(4):  # links that come twice, or go before they come, have counts other than 1
+        rows = [(rng.randint(1, 12), rng.choice(["hub", "hub", "a", "b", "ci[bot]"]), rng.choice([-1, 1, 1, 2])) for _ in range(25)]
+        for kept in both:
+            kept.apply(spark.createDataFrame(rows, LINKS + ", change int"), batch)
+        assert got(both[1].links(spark)) == got(both[0].links(spark)) and any(n != 1 for _, _, n in got(both[1].links(spark)))
+        for least in (-100, 1, 2):
+            assert got(both[1].edges(spark, least)) == got(both[0].edges(spark, least)) != []
+    assert got(both[1].edges(spark, batch=1)) == got(both[0].edges(spark, batch=1))
+    assert "edges" not in both[1].log.manifest(spark)
+    plan = both[1].edges(spark)._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.find("Initial Plan") :]
+    assert "Exchange" not in plan[: plan.find("explode(")]
+
+
+def test_g1_delta_edges_writes_no_edge(spark, monkeypatch):
+    from weftline.plans import QUERIES
+    from weftline.streaming.log import Log
+
+    tables, commit = set(), Log.commit
+    monkeypatch.setattr(Log, "commit", lambda self, spark, batch, deltas: (tables.update(deltas), commit(self, spark, batch, deltas)))
+    assert QUERIES["g1_delta_edges"](spark, "/root/testdata/sf0.001").count() > 0 and tables == {"links"}
