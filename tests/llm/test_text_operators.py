@@ -462,3 +462,18 @@ def test_extra_columns_do_not_clash(spark, clash):
         out.collect()
     for f in (simhash.report, substring.report, mixing.report, licenses.scan, bpe.report, quality_classifier.classify):
         assert f(clash).count() == 5
+
+
+def test_pieces_met_again_outlive_the_bound_of_what_is_kept(monkeypatch):
+    import public_tokenizers
+
+    from weftline.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    monkeypatch.setattr(bpe, "GROUP", 1)
+    encoder, learnt, learn = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY)), [], bpe.Encoder.learn
+    monkeypatch.setattr(bpe.Encoder, "learn", lambda self, new: (learnt.extend(new), learn(self, new)))
+    texts = ["again" if k % 2 else " ".join(f"q{chr(97 + k)}{x}zk" for x in "abcdefgh") for k in range(24)]
+    rows = list(encoder.pieces(texts))
+    assert learnt.count("again") == 1 and len(encoder.known) + len(getattr(encoder, "older", ())) <= 80
+    assert [b"".join(p[2] for p in row).decode() for row in rows] == texts

@@ -11,7 +11,8 @@ Time is near linear in a piece, too: one of over ``PIECE`` bytes is encoded in p
 two by two. A sequence of tokens is the encoding exactly if each two neighbours are the encoding of their bytes; so the
 tokens next to a joint are encoded anew, ever more of them, until the outermost ones on both sides come out as before.
 
-Results of pieces are kept for later batches of a task up to a bound.
+Results of pieces are kept for later batches of a task up to a bound, in two generations: when the younger holds half of the bound, it becomes the older,
+and what of that is met again moves to the younger.
 
 Null text is empty: no tokens. Equal rows give equal rows, null ids pass through, and other columns are not read. Very long
 texts are cut like any other; their pieces are held at once. Special tokens are ordinary text. An empty table gives an empty result.
@@ -27,6 +28,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -34,7 +36,7 @@ from weftline.llm.common import settle, ship, text_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces kept per worker; bytes of pieces per query; characters of texts cut at once; bytes beyond which a piece is long.
-CACHE, CHUNK, GROUP, LONG = 200_000, 1 << 17, 1 << 20, 64
+CACHE, CHUNK, GROUP, LONG = 300_000, 1 << 18, 1 << 20, 64
 #: Bytes beyond which a piece is encoded in parts, bytes of a part, tokens on each side of a joint at first.
 PIECE, PART, SIDE = 512, 128, 4
 
@@ -102,7 +104,12 @@ class Encoder:
         self.bytes = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
         self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.digits = pa.array(list(map(str, range(max(ranks.values()) + 1))))
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def _given(self, pieces: list[bytes]) -> pa.Table:
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -147,26 +154,34 @@ class Encoder:
             toks = self.encode_parts(piece.encode())
             table = pa.table([pa.array([0], pa.int32()), pa.array([toks], pa.list_(pa.int32()))], ["w", "toks"])
             self.known[piece] = (" ".join(map(str, toks)), len(toks), self.decode(table)[0])
-        new = [p for p in new if p not in self.known]
-        new.sort(key=lambda p: (len(p) > LONG // 4, p))
-        chunk, size = [], 0
-        for k, piece in enumerate(new):
-            chunk.append(piece)
-            size += len(piece)
-            if k + 1 == len(new) or size >= CHUNK or (len(new[k + 1]) > LONG // 4) != (len(piece) > LONG // 4):
-                ids = self.encode([p.encode() for p in chunk])
-                for piece_, toks, data in zip(chunk, ids.column("toks").to_pylist(), self.decode(ids), strict=True):
-                    self.known[piece_] = (" ".join(map(str, toks)), len(toks), data)
-                chunk, size = [], 0
+        rest = [p for p in new if p not in self.known]
+        for some in ([p for p in rest if len(p) <= LONG // 4], [p for p in rest if len(p) > LONG // 4]):
+            data = [p.encode() for p in some]
+            first, size = 0, 0
+            for k, n in enumerate(map(len, data), 1):
+                size += n
+                if size >= CHUNK or k == len(data):
+                    self.learn_chunk(some[first:k], data[first:k])
+                    first, size = k, 0
+
+    def learn_chunk(self, pieces: list[str], data: list[bytes]) -> None:
+        ids = self.encode(data)
+        toks = ids.column("toks").combine_chunks()
+        texts = pc.binary_join(pa.ListArray.from_arrays(toks.offsets, self.digits.take(toks.values)), " ")
+        self.known.update(zip(pieces, zip(texts.to_pylist(), pc.list_value_length(toks).to_pylist(), self.decode(ids), strict=True), strict=True))
 
     def pieces(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What is kept of each piece of each text; texts are taken in groups, so new pieces are encoded together."""
         for group in _groups(texts):
             cut = [self.split(t) for t in group]
             distinct = set().union(*cut)
+            if len(self.known) > CACHE // 2:
+                self.known, self.older = {}, self.known
             new = [p for p in distinct if p not in self.known]
-            if len(self.known) + len(new) > CACHE:
-                self.known = {p: self.known[p] for p in distinct if p in self.known}
+            if self.older:
+                again = [p for p in new if p in self.older]
+                self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+                new = [p for p in new if p not in self.known]
             if new:
                 self.learn(new)
             for words in cut:
@@ -193,7 +208,7 @@ def _run(path: str, row, kinds: dict[str, pa.DataType]):
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
-        encoder.known.clear()
+        encoder.forget()
         settle()
 
     return run
