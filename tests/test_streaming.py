@@ -186,3 +186,25 @@ def test_routes(spark):
     }
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: (r.kind, r.full_name, r.url_repo_id, r.page) for r in router.route(frame).collect()} == urls
+
+
+def test_owners_are_extracted_in_one_pass(spark):
+    from weftline.sources import bronze
+
+    rows = [
+        ("/users/a", '{"id": 1, "login": "a", "following": 2, "created_at": "2020-01-02T03:04:05Z"}'), ("/users/b", '{"login": "b"}'), ("/users/c", None),
+        ("/repos/o/n", '{"id": 5, "owner": {"id": 3, "login": "o", "type": "User"}}'), ("/repos/o/m", '{"id": 6}'),
+        ("/repos/o/n/contributors", '[{"id": 10, "login": "p"}, {"id": null, "login": "q"}, {"id": 11, "login": ""}, {"id": 12}, null]'), (None, '{"id": 9}'),
+    ]
+    owners = bronze.extract_owners(spark.createDataFrame(rows, "url string, body string").selectExpr("*", "timestamp '2024-01-01' AS fetched_at"))
+    found = owners.selectExpr("id", "login", "type", "following", "string(created_at)", "enriched").collect()
+    assert sorted(map(tuple, found)) == [(1, "a", None, 2, "2020-01-02 03:04:05", 1), (3, "o", "User", None, None, 0), (10, "p", None, None, None, 0)]
+    assert "Union" not in owners._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_join_lines_and_orders_once_a_kind(spark):
+    from weftline.plans import extras
+    from weftline.plans.registry import Tables
+
+    plan = extras.responses(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_") == 4  # contributors, releases, languages, dependencies
