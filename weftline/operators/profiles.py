@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.bots import is_bot_ui
-from weftline.operators.filters import NO_LANGUAGE, restrict_children
+from weftline.operators.filters import COPIES, NO_LANGUAGE, each, restrict_children, rows_of
 from weftline.operators.graph import adjacency, written
 from weftline.operators.patterns import _leader
 
@@ -54,16 +54,21 @@ def person_inspector(contributions: DataFrame, owners: DataFrame, core: DataFram
 
 
 def star_percentile(nodes: DataFrame) -> DataFrame:
-    """(id, stars, percentile): share of the pile with fewer stars; only distinct star values are put in order."""
-    histogram = nodes.groupBy("stars").agg(F.count(F.lit(1)).alias("n"))
+    """(id, stars, percentile): share of the pile with fewer stars; only distinct star values are put in order. Counted rows stay counted."""
+    histogram = nodes.groupBy("stars").agg(rows_of(nodes).alias("n"))
     running = Window.orderBy("stars").rowsBetween(Window.unboundedPreceding, -1)
     below = histogram.withColumn("below", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
-    total = nodes.agg(F.count(F.lit(1)).alias("all"))
-    return nodes.select("id", "stars").join(below, "stars").crossJoin(F.broadcast(total)).select("id", "stars", F.round(F.col("below") / F.col("all"), 6).alias("percentile"))
+    total = nodes.agg(rows_of(nodes).alias("all"))
+    kept = [c for c in ("id", "stars", COPIES) if c in nodes.columns]
+    return nodes.select(*kept).join(below, "stars").crossJoin(F.broadcast(total)).select(*kept, F.round(F.col("below") / F.col("all"), 6).alias("percentile"))
 
 
 def repo_profile(nodes: DataFrame, core: DataFrame, contributions: DataFrame, edges: DataFrame, clusters: DataFrame, stale_years: int = 5) -> DataFrame:
-    """Standing, freshness, first contributor, nearest neighbour and cluster of every node."""
+    """Standing, freshness, first contributor, nearest neighbour and cluster of every node.
+
+    Nodes and core may be counted rows. A node met several times in ``nodes`` meets each of its percentiles and clusters;
+    equal ones are joined once with their number, and told apart again behind all joins.
+    """
     latest = core.agg(F.max("year").alias("latest"))
     n = F.coalesce("contributions", F.lit(0))
     heads = restrict_children(contributions, nodes).withColumn("n", n).groupBy(F.col("repo_id").alias("id")).agg(
@@ -71,7 +76,12 @@ def repo_profile(nodes: DataFrame, core: DataFrame, contributions: DataFrame, ed
     )
     nearest = adjacency(edges).groupBy("id").agg(F.min_by("nbr", F.struct(-F.col("w"), "nbr")).alias("nearest"), F.max("w").alias("nearest_weight"))
     years = F.col("latest") - F.col("year")
-    joined = nodes.join(star_percentile(nodes).drop("stars"), "id").join(heads, "id", "left").join(nearest, "id", "left").join(clusters, "id").crossJoin(F.broadcast(latest))
+    shown, number = ["license", "year", "is_fork", "archived"], lambda df, *keys: df.groupBy("id", *keys).agg(rows_of(df).alias(COPIES))
+    standing = number(star_percentile(nodes), "percentile").withColumnRenamed(COPIES, "standings")
+    placed = number(clusters, "cluster", "cluster_size").withColumnRenamed(COPIES, "places")
+    joined = number(nodes, *shown).join(standing, "id").join(heads, "id", "left").join(nearest, "id", "left").join(placed, "id").crossJoin(F.broadcast(latest))
+    for copies in (COPIES, "standings", "places"):
+        joined = each(joined.withColumnRenamed(copies, COPIES))
     return joined.select(
         "id", "license", "percentile", years.alias("years_since_push"), F.coalesce(years >= stale_years, F.lit(False)).alias("stale"), "people", "top_login",
         F.round("part", 6).alias("top_share"), ((F.col("people") > 1) & (F.col("part") >= 0.7)).alias("bus_factor"), "nearest", "nearest_weight", "cluster", "cluster_size", "is_fork", "archived",
