@@ -1,9 +1,9 @@
-"""Byte-level BPE encoding and decoding, by DuckDB recursive queries in each partition.
+"""Byte-level BPE encoding, by DuckDB recursive queries in each partition, and decoding.
 
-A batch's texts are cut by the split pattern; each distinct piece is encoded once. Its bytes become
-token-position rows; every turn of a recursive query joins the neighbours to the merge table and contracts each
-piece's leftmost pair of least rank, until no piece has a pair left. Decoding joins token ids to the vocabulary
-and aggregates the bytes in order. Short pieces accumulate their turns; longer ones keep only the last state (``USING KEY``),
+A batch's texts are cut by the split pattern; each distinct piece is encoded once. Its bytes become a list of
+tokens; every turn of a recursive query joins the neighbours to the merge table and contracts each
+piece's leftmost pair of least rank, until no piece has a pair left. Decoding takes the ids' bytes from the vocabulary
+and joins them, by column. Short pieces accumulate their turns; longer ones keep only the last state (``USING KEY``),
 so memory stays proportional to the piece, and contract all pairs of their least rank in one turn, from the left, where the
 token so made joins no neighbour at a lesser rank.
 
@@ -45,17 +45,16 @@ SELECT w, min((rank::BIGINT << 32) | pos) AS best
 FROM (SELECT w, unnest(toks) AS tok, unnest(toks[2:]) AS nxt, generate_subscripts(toks, 1) AS pos FROM s)
 JOIN merges ON l = tok AND r = nxt GROUP BY w"""
 _NEXT = "s.toks[:(best & 4294967295) - 1] || [(best >> 32)::INTEGER] || s.toks[(best & 4294967295) + 2:]"
-_START = "list(tok ORDER BY pos) FROM given GROUP BY w"
 
 ENCODE_SHORT = f"""
 WITH RECURSIVE s(turn, w, toks) AS (
-  SELECT 0, w, {_START}
+  SELECT 0, w, toks FROM given
   UNION ALL
   SELECT turn + 1, s.w, {_NEXT} FROM s JOIN ({_PAIRS}) b ON b.w = s.w
-) SELECT w, arg_max(toks, turn) AS toks FROM s GROUP BY w ORDER BY w"""
-ENCODE_LONG = f"""
+) SELECT w, toks FROM s JOIN (SELECT w, max(turn) AS turn FROM s GROUP BY w) USING (w, turn) ORDER BY w"""
+ENCODE_LONG = """
 WITH RECURSIVE s(w, toks) USING KEY (w) AS (
-  SELECT w, {_START}
+  SELECT w, toks FROM given
   UNION
   SELECT w, list(CASE WHEN hit THEN best ELSE tok END ORDER BY pos) FILTER (WHERE NOT gone) FROM (
     SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM (
@@ -68,10 +67,6 @@ WITH RECURSIVE s(w, toks) USING KEY (w) AS (
         WHERE best IS NOT NULL)))
   GROUP BY w
 ) SELECT w, toks FROM s ORDER BY w"""
-DECODE = """
-SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM ids) JOIN vocabulary USING (id)
-GROUP BY w ORDER BY w"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,13 +93,13 @@ class Encoder:
         hasty = {x for a, b, rank in merges for x in (a, b) if rank < x}  # tokens that join a neighbour at a lesser rank than their own
         columns = [*(pa.array(c, pa.int32()) for c in zip(*merges, strict=True)), pa.array([rank not in hasty for _, _, rank in merges])]
         pairs = pa.table(columns, ["l", "r", "rank", "safe"])  # noqa: F841
-        words = pa.table([pa.array(ranks.values(), pa.int32()), pa.array([t.hex() for t in ranks])], ["id", "hex"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.bytes = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
         self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.digits = pa.array(list(map(str, range(max(ranks.values()) + 1))))
+        ids = range(max(ranks.values()) + 1)
+        self.digits = pa.array(list(map(str, ids)))
+        self.vocabulary = pa.array([self.token.get(k, b"") for k in ids] + [b""], pa.large_binary())  # the last stands for unknown ids
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
 
@@ -112,11 +107,9 @@ class Encoder:
         self.known, self.older = {}, {}
 
     def _given(self, pieces: list[bytes]) -> pa.Table:
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        at = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        return pa.table([pa.array(w), pa.array(at.astype(np.int32)), pa.array(self.bytes[data])], ["w", "pos", "tok"])
+        offsets = np.cumsum(np.fromiter(map(len, [b"", *pieces]), np.int32, len(pieces) + 1), dtype=np.int32)
+        tokens = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        return pa.table([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["w", "toks"])
 
     def encode(self, pieces: list[bytes]) -> pa.Table:
         """(w, toks) of non-empty pieces, in their order."""
@@ -144,16 +137,19 @@ class Encoder:
             side *= 4
         return [done[k] for k in range(len(pairs))]
 
-    def decode(self, ids: pa.Table) -> list[bytes]:
-        """Bytes of (w, toks) rows, in the order of w."""
-        return self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
+        """Bytes of lists of ids; null lists and unknown ids have none."""
+        known = pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False)
+        last = len(self.vocabulary) - 1
+        tokens = self.vocabulary.take(pa.array(np.where((known >= 0) & (known < last), known, last)))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), tokens), pa.scalar(b"", pa.large_binary()))
+        return joined.to_pylist()
 
     def learn(self, new: list[str]) -> None:
         """Encode and decode the given distinct pieces, and keep (ids as text, number of ids, bytes) of each."""
         for piece in [p for p in new if len(p) > PIECE // 4 and len(p.encode()) > PIECE]:
             toks = self.encode_parts(piece.encode())
-            table = pa.table([pa.array([0], pa.int32()), pa.array([toks], pa.list_(pa.int32()))], ["w", "toks"])
-            self.known[piece] = (" ".join(map(str, toks)), len(toks), self.decode(table)[0])
+            self.known[piece] = (" ".join(map(str, toks)), len(toks), self.decode(pa.array([toks], pa.list_(pa.int32())))[0])
         rest = [p for p in new if p not in self.known]
         for some in ([p for p in rest if len(p) <= LONG // 4], [p for p in rest if len(p) > LONG // 4]):
             data = [p.encode() for p in some]
@@ -165,10 +161,9 @@ class Encoder:
                     first, size = k, 0
 
     def learn_chunk(self, pieces: list[str], data: list[bytes]) -> None:
-        ids = self.encode(data)
-        toks = ids.column("toks").combine_chunks()
+        toks = self.encode(data).column("toks").combine_chunks()
         texts = pc.binary_join(pa.ListArray.from_arrays(toks.offsets, self.digits.take(toks.values)), " ")
-        self.known.update(zip(pieces, zip(texts.to_pylist(), pc.list_value_length(toks).to_pylist(), self.decode(ids), strict=True), strict=True))
+        self.known.update(zip(pieces, zip(texts.to_pylist(), pc.list_value_length(toks).to_pylist(), self.decode(toks), strict=True), strict=True))
 
     def pieces(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """What is kept of each piece of each text; texts are taken in groups, so new pieces are encoded together."""
@@ -188,12 +183,12 @@ class Encoder:
                 yield [self.known[w] for w in words]
 
 
-def _groups(texts: Iterable[str], size: int = GROUP) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
     group, held = [], 0
     for t in texts:
         group.append(t)
         held += len(t)
-        if held >= size:
+        if held >= GROUP:
             yield group
             group, held = [], 0
     if group:
@@ -238,13 +233,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            some = [k for k, ids in enumerate(lists) if ids]
-            out = [b""] * len(lists)
-            if some:
-                table = pa.table([pa.array(some, pa.int32()), pa.array([lists[k] for k in some], pa.list_(pa.int32()))], ["w", "toks"])
-                for k, data in zip(some, encoder.decode(table), strict=True):
-                    out[k] = data
+            out = encoder.decode(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
