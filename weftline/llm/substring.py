@@ -43,6 +43,8 @@ SPAN = WINDOW - PHRASE + 1
 #: Bytes of text in a bucket, on average; phrases of one automaton at most; characters of a word and bits of a character in
 #: it, enough for all words of a shard.
 BUCKET, SHARD, DIGITS, BITS = 4 << 20, 100_000, 3, 7
+#: Bytes of texts whose words are hashed and compared at once.
+GROUP = 1 << 18
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -55,8 +57,9 @@ class Rolling:
 
     def grow(self, n: int) -> None:
         if n > len(self.powers):
-            n = max(n, 1 << 15)
-            self.powers, self.inverses = (np.cumprod(np.array([1] + [b] * (n - 1), np.uint64)) for b in (self.base, self.inverse))
+            n = max(1 << n.bit_length(), 1 << 15)
+            factors = (np.full(n, b, np.uint64) for b in (self.base, self.inverse))
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), f[1:]])) for f in factors)
 
     def prefix(self, h: np.ndarray) -> np.ndarray:
         self.grow(len(h) + 1)
@@ -78,8 +81,8 @@ class Rolling:
 PLACE = np.uint64(24)
 
 
-def chosen(prefix: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase hash of every position, and per run of windows that share a phrase its position and first window."""
+def chosen(prefix: np.ndarray, rolling: Rolling, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase hash of every position, and per run of windows that share a phrase its position, first window and end; ``text`` is each word's."""
     phrase = rolling.every(prefix, PHRASE)
     high = phrase >> PLACE
     if len(phrase) < 1 << int(PLACE):
@@ -92,8 +95,12 @@ def chosen(prefix: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray
         pick = (least & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     else:
         pick = sliding_window_view(high, SPAN).argmin(axis=1) + np.arange(len(phrase) - SPAN + 1)
-    first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-    return phrase, pick[first], first
+    own = np.flatnonzero(text[: len(pick)] == text[WINDOW - 1 :])  # windows that lie in one text
+    pick = pick[own]
+    changes = np.flatnonzero(pick[1:] != pick[:-1]) + 1
+    first = np.concatenate([np.zeros(min(len(own), 1), np.int64), changes])
+    last = np.concatenate([changes, np.full(min(len(own), 1), len(own))]) - 1
+    return phrase, pick[first], own[first], own[last] + 1
 
 
 class WordHashes:
@@ -106,12 +113,49 @@ class WordHashes:
         self.separator[[9, 10, 11, 12, 13, 32]] = True
         self.rolling = Rolling(0xA0761D6478BD642F)
 
-    def of(self, text: bytes) -> np.ndarray:
-        data = np.frombuffer(text, np.uint8)
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end."""
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = ~self.separator[data]
         change = np.flatnonzero(inside[1:] != inside[:-1])
-        return self.rolling.ranges(self.rolling.prefix(self.table[data]), change[::2], change[1::2])
+        return change[::2], change[1::2]
+
+    def of(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        return self.rolling.ranges(self.rolling.prefix(self.table[data]), *self.places(data))
+
+
+class Group:
+    """Words of some texts in a row: ``h`` their hashes, ``text`` the text of each, ``first`` the first word of each text."""
+
+    def __init__(self, texts: list[bytes], hashes: WordHashes):
+        self.data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # a separator behind each
+        self.start, self.end = hashes.places(self.data)
+        self.h = hashes.rolling.ranges(hashes.rolling.prefix(hashes.table[self.data]), self.start, self.end)
+        bounds = np.searchsorted(self.start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        self.first = bounds[:-1]
+        self.text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """All words, a space behind each, and where each begins; the end of the last is there too."""
+        length = self.end - self.start + 1
+        at = np.concatenate([[0], np.cumsum(length)])
+        spelling = self.data[np.repeat(self.start - at[:-1], length) + np.arange(at[-1])]
+        spelling[at[1:] - 1] = 32
+        return spelling.tobytes(), at
+
+
+def _groups(rows: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[int, Group]]:
+    """Groups of the packed texts of a batch, with the row of the first of each; those of fewer words than a window are left out."""
+    texts, held, row = [], 0, 0
+    for k, text in enumerate(unpacked(rows), 1):
+        texts.append(text)
+        held += len(text)
+        if held >= GROUP or k == rows.num_rows:
+            group = Group(texts, hashes)
+            if len(group.h) >= WINDOW:
+                yield row, group
+            texts, held, row = [], 0, k
 
 
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -142,13 +186,12 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, rolling = WordHashes(), Rolling(BASE)
     for batch in batches:
         h, b = [], []
-        for text, bucket in zip(unpacked(batch), np.array(batch.column("bucket")), strict=True):
-            words = hashes.of(text)
-            if len(words) >= WINDOW:
-                phrase, pick, _ = chosen(rolling.prefix(words), rolling)
-                h.append(phrase[pick]), b.append(np.full(len(pick), bucket, np.int32))
-        if h:
-            h, b = np.concatenate(h), np.concatenate(b)
+        bucket = np.array(batch.column("bucket"))
+        for row, group in _groups(batch, hashes):
+            phrase, pick, _, _ = chosen(rolling.prefix(group.h), rolling, group.text)
+            h.append(phrase[pick]), b.append(bucket[row + group.text[pick]])
+        h, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, b))
+        if len(h):
             order = np.lexsort((h, b))
             h, b = h[order], b[order]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])]))
@@ -188,18 +231,15 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if wanted is None:
             wanted = np.unique(np.concatenate(parts))
-        for text in unpacked(rows):
-            h = hashes.of(text)
-            if len(h) < WINDOW:
-                continue
-            phrase, pick, _ = chosen(rolling.prefix(h), rolling)
+        for _, group in _groups(rows, hashes):
+            phrase, pick, _, _ = chosen(rolling.prefix(group.h), rolling, group.text)
             some = phrase[pick]
             pick = pick[wanted[np.minimum(np.searchsorted(wanted, some), len(wanted) - 1)] == some]
             if len(pick):
-                words = text.split()
-                for p in pick.tolist():
-                    spelling = b" ".join(words[p : p + PHRASE])
-                    counts[spelling] = counts.get(spelling, 0) + 1
+                spelling, at = group.spelled()
+                for x, y in zip(at[pick].tolist(), (at[pick + PHRASE] - 1).tolist(), strict=True):
+                    phrase = spelling[x:y]
+                    counts[phrase] = counts.get(phrase, 0) + 1
     if counts:
         yield result()
     settle()
@@ -253,34 +293,31 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if automata is None:
             automata = shards(sorted(parts))
         out: list[list] = [[] for _ in names]
-        for text, d, variant in zip(unpacked(rows), rows.column("d").to_pylist(), rows.column("variant").to_pylist(), strict=True):
-            h = hashes.of(text)
-            if len(h) < WINDOW:
-                continue
+        d, variant = (np.array(rows.column(c)) for c in ("d", "variant"))
+        for row, group in _groups(rows, hashes):
+            h = group.h
             located = np.zeros(len(h), bool)
             for automaton in automata:
                 located[automaton.hits(h)] = True
             if not located.any():
                 continue
             p1 = one.prefix(h)
-            phrase, pick, first = chosen(p1, one)
-            last = np.concatenate([first[1:], [len(h) - WINDOW + 1]])
+            phrase, pick, first, last = chosen(p1, one, group.text)
             keep = located[pick]
             if not keep.any():
                 continue
             phrase, first, last = phrase[pick[keep]], first[keep], last[keep]
-            words = text.split()
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            begin, end = (ends[first - 1] * (first > 0)).tolist(), (ends[last + WINDOW - 2] - 1).tolist()
-            digest = b"".join([hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in zip(begin, end, strict=True)])
+            spelling, at = group.spelled()
+            digest = b"".join([hashlib.blake2b(spelling[x:y], digest_size=16).digest() for x, y in zip(at[first].tolist(), (at[last + WINDOW - 1] - 1).tolist(), strict=True)])
             a, b = np.frombuffer(digest, np.int64).reshape(-1, 2).T
             p2 = two.prefix(h)
             key = one.every(p1, WINDOW) ^ two.every(p2, WINDOW) * _MIX
             n = last - first
             inside = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            text = group.text[first]
+            start = (first - group.first[text]).astype(np.int32)
             for column, x in zip(
-                out, (phrase.view(np.int64), a, b, np.full(len(n), d), np.full(len(n), variant), first.astype(np.int32), n.astype(np.int32), key[inside].view(np.int64)), strict=True
+                out, (phrase.view(np.int64), a, b, d[row + text], variant[row + text], start, n.astype(np.int32), key[inside].view(np.int64)), strict=True
             ):
                 column.append(x)
         if out[0]:
